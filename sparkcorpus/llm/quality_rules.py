@@ -9,7 +9,7 @@ struct column. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,6 +37,9 @@ class Rule:
     most: float | None = None
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+RATIOS = ("mean_word_chars", "symbol_word_ratio", "stop_word_ratio", "dup_line_ratio", "repeat_word_ratio", "upper_ratio")
+
 #: Fixed by the query's contract: too few words, or over half of them in repeated 3-word windows.
 BASE_RULES = (Rule("base_length", "n_words", least=50), Rule("base_repeats", "repeat_word_ratio", most=0.5))
 #: The method's own thresholds.
@@ -49,17 +52,22 @@ RULES = (
 )
 
 
-def fails(rules: Iterable[Rule], of: str) -> Column:
-    """The rules compiled to one boolean expression over the statistics struct `of`."""
-    tests = [F.col(f"{of}.{r.metric}") < r.least for r in rules if r.least is not None] + [F.col(f"{of}.{r.metric}") > r.most for r in rules if r.most is not None]
+def fails(rules: Iterable[Rule], of: Column) -> Column:
+    """The rules compiled to one boolean expression over a statistics struct."""
+    tests = [of[r.metric] < r.least for r in rules if r.least is not None] + [of[r.metric] > r.most for r in rules if r.most is not None]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def failed_names(rules: Iterable[Rule], of: str) -> Column:
+def failed_names(rules: Iterable[Rule], of: Column) -> Column:
     """Names of the rules that a document fails, in table order."""
     return F.array_compact(F.array(*(F.when(fails([r], of), r.name) for r in rules)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where the optimizer moves or copies the whole expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(words: Column) -> Column:
     """64-bit hash of the three words from each position on."""
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
@@ -77,55 +85,59 @@ def _covered(at: Column) -> Column:
     return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
 
-def with_statistics(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
-    """Adds the struct column `into`: counts of the text and their ratios.
+def statistics(text: Column) -> Column:
+    """Struct of the counts of a text and their ratios.
 
-    Built as layers of projections, so that words, windows and sorted windows are each computed once. Repeated windows
-    are found by sorting and comparing neighbours, n log n for a long text.
+    Repeated windows are found by sorting them and comparing neighbours, n log n for a long text; a text without
+    repeated windows isn't sorted.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != into]
-    body, tmp = F.coalesce(F.col(f"`{text}`"), F.lit("")), f"{into}__"
-    words, lines, hashes, runs, at = (F.col(f"`{tmp}{k}`") for k in ("words", "lines", "hashes", "runs", "at"))
     stop = sorted({x for w in STOP_WORDS.split() for x in (w, w.capitalize())})
-
-    def layer(df: DataFrame, keep: tuple[str, ...] = (), **new: Column) -> DataFrame:
-        return df.select(*columns, *(f"`{tmp}{k}`" for k in keep), *(c.alias(f"{tmp}{k}") for k, c in new.items()))
-
-    df = layer(
-        docs,
-        words=F.array_remove(F.split(body, SPACE), ""),
-        lines=F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        n_symbols=F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", "")),
-        n_upper=F.length(body) - F.length(F.regexp_replace(body, r"\p{Lu}", "")),
-    )
-    df = layer(
-        df,
-        ("n_symbols", "n_upper"),
-        n_words=F.size(words),
-        word_chars=F.length(F.array_join(words, "")),
-        n_stop_words=F.size(F.filter(words, lambda w: w.isin(*stop))),
-        n_lines=F.size(lines),
-        n_dup_lines=F.size(lines) - F.size(F.array_distinct(lines)),
-        hashes=_windows(words),
-    )
-    counts = ("n_words", "word_chars", "n_stop_words", "n_symbols", "n_upper", "n_lines", "n_dup_lines")
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    df = layer(df, counts, runs=F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), pairs).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
-    df = layer(df, counts, at=_repeated(runs))
-    df = layer(df, counts, n_repeat_words=_covered(at))
-    n = {k: F.col(f"`{tmp}{k}`").cast("long") for k in (*counts, "n_repeat_words")}
-    ratio = lambda a, b: F.coalesce(F.try_divide(n[a], n[b]), F.lit(0.0))
-    ratios = {"mean_word_chars": ("word_chars", "n_words"), "symbol_word_ratio": ("n_symbols", "n_words"), "stop_word_ratio": ("n_stop_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_word_ratio": ("n_repeat_words", "n_words"), "upper_ratio": ("n_upper", "word_chars")}
-    return df.select(*columns, F.struct(*(c.alias(k) for k, c in n.items()), *(ratio(*ab).alias(k) for k, ab in ratios.items())).alias(into))
+    body = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    runs = lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).otherwise(none)
+    repeats = lambda words: let(let(let(_windows(words), runs), _repeated), _covered)
+
+    def counts(words: Column, lines: Column) -> dict[str, Column]:
+        return {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", "")),
+            "n_upper": F.length(body) - F.length(F.regexp_replace(body, r"\p{Lu}", "")),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*stop))),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeats(words),
+        }
+
+    def ratios(n: Column) -> dict[str, Column]:
+        ratio = lambda a, b: F.coalesce(F.try_divide(n[a], n[b]), F.lit(0.0))
+        return {
+            "mean_word_chars": ratio("word_chars", "n_words"),
+            "symbol_word_ratio": ratio("n_symbols", "n_words"),
+            "stop_word_ratio": ratio("n_stop_words", "n_words"),
+            "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+            "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
+            "upper_ratio": ratio("n_upper", "word_chars"),
+        }
+
+    struct = lambda columns: F.struct(*(c.alias(k) for k, c in columns.items()))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    words = F.array_remove(F.split(body, SPACE), "")
+    counted = let(words, lambda w: let(lines, lambda x: struct({k: c.cast("long") for k, c in counts(w, x).items()})))
+    return let(counted, lambda n: struct({k: n[k] for k in COUNTS} | ratios(n)))
+
+
+def verdict(text: Column, rules: Iterable[Rule] = RULES) -> Column:
+    """The statistics with base_failed, failed_rules (names) and kept."""
+    rules = (*BASE_RULES, *rules)
+    return let(statistics(text), lambda q: F.struct(*(q[k].alias(k) for k in (*COUNTS, *RATIOS)), fails(BASE_RULES, q).alias("base_failed"), failed_names(rules, q).alias("failed_rules"), (~fails(rules, q)).alias("kept")))
 
 
 def judge(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text", into: str = "quality") -> DataFrame:
-    """Adds the statistics, with base_failed, failed_rules (names) and kept inside the struct `into`."""
-    rules = tuple(rules)
-    df = with_statistics(docs, text, into)
-    return df.withColumn(into, F.struct(F.col(f"{into}.*"), fails(BASE_RULES, into).alias("base_failed"), failed_names((*BASE_RULES, *rules), into).alias("failed_rules"), (~fails((*BASE_RULES, *rules), into)).alias("kept")))
+    """Adds the verdict as the struct column `into`."""
+    return docs.withColumn(into, verdict(F.col(f"`{text}`"), rules))
 
 
 def keep_good(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass every rule, with their own columns."""
-    return judge(docs, rules, text, "quality__").where("quality__.kept").select(*(f"`{c}`" for c in docs.columns))
+    return docs.where(verdict(F.col(f"`{text}`"), rules)["kept"])
