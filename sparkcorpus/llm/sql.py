@@ -54,4 +54,35 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
-ORACLE_SQL = {"op5_quality_rules": OP5, "op7_mix_sources": OP7}
+OP10 = r"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, array_to_string(list_distinct(string_split(coalesce(text, ''), chr(10))), chr(10)) AS unordered FROM documents),
+l AS (SELECT doc_id, source, lang, text, string_split(text, chr(10)) AS lines FROM d),
+r AS (SELECT doc_id, source, lang, text, array_to_string(list_filter(lines, lambda x, i: list_position(lines, x) = i), chr(10)) AS short FROM l),
+w AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w0,
+             len(list_filter(regexp_split_to_array(short, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w1,
+             length(text) - length(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')) AS p0, length(short) - length(regexp_replace(short, '[!-/:-@\[-`{-~]', '', 'g')) AS p1 FROM r),
+c AS (SELECT doc_id, source, lang, 'words-1' AS tokenizer, w0 AS t0, w1 AS t1 FROM w UNION ALL SELECT doc_id, source, lang, 'words-2', w0 + p0, w1 + p1 FROM w),
+x AS (SELECT c.*, CAST(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS BIGINT) AS gone FROM c)
+SELECT source, lang, tokenizer, CAST(sum(1 - gone) AS BIGINT) AS docs, CAST(sum(t1 * (1 - gone)) AS BIGINT) AS tokens,
+       CAST(count(*) + 2 * count(*) FILTER (WHERE t0 <> t1) + sum(gone) AS BIGINT) AS n_changes
+FROM x GROUP BY source, lang, tokenizer
+"""
+
+OP2 = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(lines) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+s AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words FROM l),
+m AS (SELECT words, len(words) AS n, min(struct_pack(doc_id := doc_id, line := line)) AS first, count(*) AS copies, row_number() OVER () AS k FROM s WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT k, n, unnest(words) AS word FROM m),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+p AS (SELECT k, n, t.word, row_number() OVER (PARTITION BY k ORDER BY df, t.word) AS pos FROM t JOIN f ON t.word = f.word),
+q AS (SELECT k, n, word FROM p WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT x.k AS a, y.k AS b FROM q x JOIN q y ON x.word = y.word AND x.k < y.k AND x.n >= 0.8 * y.n - 1e-9 AND y.n >= 0.8 * x.n - 1e-9),
+v AS (SELECT a, b FROM (SELECT a, b, x.n AS n, y.n AS o, len(list_intersect(x.words, y.words)) AS i FROM c JOIN m x ON x.k = a JOIN m y ON y.k = b) WHERE i >= 0.8 * (n + o - i) - 1e-9),
+e AS (SELECT a AS k, b AS o FROM v UNION ALL SELECT b, a FROM v),
+g AS (SELECT e.k, min(m.first) AS other, count(*) AS n_links FROM e JOIN m ON m.k = e.o GROUP BY e.k),
+h AS (SELECT m.words, CASE WHEN g.other < m.first THEN g.other ELSE m.first END AS first, coalesce(g.n_links, 0) AS n_links FROM m LEFT JOIN g ON m.k = g.k)
+SELECT s.doc_id, CAST(s.line AS INTEGER) AS line, h.first.doc_id AS first_doc_id, CAST(h.first.line AS INTEGER) AS first_line, CAST(h.n_links AS BIGINT) AS n_links
+FROM s JOIN h ON s.words = h.words WHERE h.first < struct_pack(doc_id := s.doc_id, line := s.line)
+"""
+
+ORACLE_SQL = {"op2_line_dedup": OP2, "op10_token_counts": OP10, "op5_quality_rules": OP5, "op7_mix_sources": OP7}
