@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import bit_sums, connected_components, majority, materialize, slices
 
-#: A node of the index with more fingerprints is refined.
+#: A node of the index with more fingerprints is refined. Each level fixes a third of the free bits or more of them, so
+#: five levels are enough for this size, however many fingerprints there are.
 NODE_SIZE = 1024
 #: Fingerprints, or nodes, below one node inside a task.
 FAN_OUT = 16
@@ -159,6 +160,8 @@ def links(codes: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> Data
         if held is not None and held.num_rows:
             yield edges(held)
 
+    if node_size < 64:
+        raise ValueError("small nodes need very many masks; 64 is the least node size")
     masks, out = _split_mask(0, radius + 1), None
     nodes = codes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("n")).select("n.path", "n.key", "fp")
     while True:
