@@ -34,6 +34,8 @@ from .common import bit_sums, bits_for, hash_words, majority, materialize, mix,
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
 GOLDEN = 0x9E3779B97F4A7C15
+#: Each shingle is marked under the size of its item and under this; a document's shingles are first looked up by this.
+ANY_SIZE = 0
 
 
 def _sized(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -60,7 +62,8 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
             for i, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
                 if z - a >= shingle:
                     h = shingle_hashes(codes[a:z], hashes, shingle)
-                    rows.append((i, z - a, np.uint64(majority(bit_sums(h), len(h))).astype(np.int64), _numbered(h).view(np.int64), _sized(h, z - a).view(np.int64)))
+                    marks = np.concatenate([_sized(h, ANY_SIZE), _sized(h, z - a)])
+                    rows.append((i, z - a, np.uint64(majority(bit_sums(h), len(h))).astype(np.int64), _numbered(h).view(np.int64), marks.view(np.int64)))
             at, size, fp, sets, marks = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.record_batch({"item_id": part.column("id").take(pa.array(at, pa.int64())), "size": pa.array(size, pa.int32()), "fp": pa.array(fp, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64())), "marks": pa.array(marks, pa.list_(pa.int64()))})
 
@@ -112,12 +115,8 @@ def windows(docs: DataFrame, table: np.ndarray, sizes: list[int], id_col: str =
         for part in slices(batches, "text"):
             codes, words, ends = word_codes(part.column("text"))
             h = shingle_hashes(codes, hash_words(words), shingle)
-            # a shingle is looked up once for each item size; most fail all of them
-            found = np.zeros(len(h), bool)
-            for k in sizes:
-                found |= _marked(shared.value, _sized(h, k))
             rows, seen = [], {}
-            at = np.flatnonzero(found)
+            at = np.flatnonzero(_marked(shared.value, _sized(h, ANY_SIZE)))
             for i in np.unique(np.searchsorted(ends, at, side="right") - 1):
                 a, z = int(ends[i]), int(ends[i + 1]) - shingle + 1
                 own = h[a : max(a, z)]
