@@ -21,10 +21,11 @@ import bisect
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ PART_ROWS = 20_000
 CACHE_WORDS = 1 << 18
 
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def tokenizer_of(path: str):
@@ -49,40 +51,103 @@ def tokenizer_of(path: str):
     return _tokenizers[path]
 
 
-def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to (ids, offsets by text), for a tokenizer that drops white space between words.
+#: What the tokenizer splits a word at, for words of the plain kind below (lower-cased). Fixed pattern of the vocabulary.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Words that normalisation only lower-cases, and that hold no special token.
+PLAIN = r"^[!-;=-~\x{A1}-\x{FF}]+$"
 
-    Such a tokenizer gives a text the ids of its words, one after another, so a word is encoded once.
+
+class WordEncoder:
+    """Encodes texts for a tokenizer that drops white space between words, so that a text has the ids of its words.
+
+    The distinct words of a slice of texts are encoded once. Those seen more than once in it are remembered, up to
+    cache_words; most words of a corpus are rare, and would only push out frequent ones.
+
+    Plain words are encoded many at a time, as one text; where a word ends in its ids is known from the number of its
+    parts, as the last id of a part is marked as a word's end. If the count doesn't agree, or a word isn't plain, words
+    are encoded one by one.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-    known: dict[str, np.ndarray] = {}
 
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
+        self.tokenizer, self.cache_words = tokenizer_of(path), cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _together(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != parts.sum() or (parts < 1).any():
+            return self._one_by_one(words)
+        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, number of each)."""
+        low = pc.utf8_lower(pa.array(words, pa.string()))
+        plain = pc.match_substring_regex(low, PLAIN).to_numpy(zero_copy_only=False)
+        parts = pc.count_substring_regex(low, PARTS).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        flats, sizes, n_plain = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], int(plain.sum())
+        for a in range(0, len(order), 2048):
+            for part in (order[a : min(a + 2048, n_plain)], order[max(a, n_plain) : a + 2048]):
+                if len(part):
+                    own = [words[i] for i in part]
+                    flat, size = self._together(own, parts[part]) if plain[part[0]] else self._one_by_one(own)
+                    flats.append(flat)
+                    sizes.append(size)
+        size = np.concatenate(sizes)
+        first, back = np.cumsum(size) - size, np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        flat = np.concatenate(flats)
+        n = size[back]
+        at = np.arange(n.sum()) + np.repeat(first[back] - (np.cumsum(n) - n), n)
+        return flat[at], n
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after another, offsets by text)."""
         codes, distinct, ends = word_codes(texts, lower=False)
         words = distinct.to_pylist()
-        if len(known) > cache_words:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], tokenizer_of(path).encode_batch_fast(new[a : a + 4096], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        ids = [known[w] for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(size) - size
+        where = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(where < 0)
+        new_flat, new_size = self.words([words[i] for i in new])
+        size, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        old = where >= 0
+        size[old], first[old] = self.size[where[old]], self.first[where[old]]
+        size[new], first[new] = new_size, len(self.flat) + np.cumsum(new_size) - new_size
+        flat = np.concatenate([self.flat, new_flat])
+        again = new[np.bincount(codes, minlength=len(words))[new] > 1][: max(0, self.cache_words - len(self.known))]
+        if len(again):
+            n = size[again]
+            kept = flat[np.arange(n.sum()) + np.repeat(first[again] - (np.cumsum(n) - n), n)]
+            self.first, self.size = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n]), np.concatenate([self.size, n])
+            self.flat = np.concatenate([self.flat, kept])
+            self.known.update(zip((words[i] for i in again), range(len(self.known), len(self.known) + len(again)), strict=True))
         n = size[codes]
         total = np.cumsum(n)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(first[codes] - (total - n), n)
         return flat[at], np.concatenate([[0], total])[ends]
 
-    return encode
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each process, so that the next task finds the frequent words known."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids): the token ids of each text and the end id, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = word_encoder(path), np.dtype(f"<u{width}")
-        for part in slices(batches, "text", 1 << 20):
+        encode, kind = encoder_of(path), np.dtype(f"<u{width}")
+        for part in slices(batches, "text"):
             ids, ends = encode(part.column("text"))
             n = len(ends) - 1
             packed = np.insert(ids, ends[1:], end_id).astype(kind)
@@ -143,7 +208,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
             yield close()
 
     rows = encoded(docs, path, end_id, width, id_col, text_col).mapInArrow(part_of, "part int, id long, ids binary")
-    totals = rows.repartition("part").sortWithinPartitions("part", "id", "ids").mapInArrow(write, "part int, n_docs long, n_ids long")
+    # one part is one task
+    totals = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "ids").mapInArrow(write, "part int, n_docs long, n_ids long")
     parts = sorted(totals.collect())  # one row for each file
     spark, base, out = docs.sparkSession, 0, []
     for part, n_docs, n_ids in parts:
