@@ -219,7 +219,7 @@ def i4_run_detail(t: Tables) -> DataFrame:
 _HISTORY = "WITH h AS (SELECT id, CASE status WHEN 'pending' THEN 'queued' ELSE status END AS status, created_at, CASE WHEN status = 'running' THEN 1767225600000 - (1700000000 + created_at * 60) * 1000 ELSE duration_ms END AS elapsed_ms, CAST(floor(100 * completed_examples / total_examples + 0.5) AS BIGINT) AS percent FROM runs)"
 
 
-@query(_HISTORY + " SELECT id, status, CAST(elapsed_ms AS BIGINT) AS elapsed_ms, CAST(floor(elapsed_ms / 1000) AS BIGINT) AS elapsed_seconds, percent, CAST(position AS INT) AS position, 2 AS page FROM (SELECT *, row_number() OVER (ORDER BY elapsed_ms DESC NULLS LAST, created_at DESC, id DESC) AS position FROM h WHERE contains(id, '1')) WHERE position BETWEEN 21 AND 40", "runs")
+@query(_HISTORY + " SELECT id, status, CAST(elapsed_ms AS BIGINT) AS elapsed_ms, CAST(floor(elapsed_ms / 1000) AS BIGINT) AS elapsed_seconds, percent, CAST(position AS INT) AS position, page FROM (SELECT *, row_number() OVER (ORDER BY elapsed_ms DESC NULLS LAST, created_at DESC, id DESC) AS position, CAST(least(2, greatest(ceil(count(*) OVER () / 20), 1)) AS INT) AS page FROM h WHERE contains(id, '1')) WHERE position > (page - 1) * 20 AND position <= page * 20", "runs")
 def i5_run_history(t: Tables) -> DataFrame:
     rows = t["runs"].withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("created_at") * 60))
     rows = rows.withColumn("started_at", F.col("created_at")).withColumn("index_id", F.lit("i")).withColumn("index_name", F.lit("i")).withColumn("dataset_id", F.lit("d")).withColumn("dataset_name", F.lit("d"))
