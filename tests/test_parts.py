@@ -111,3 +111,8 @@ def test_labels(spark):
     examples = spark.createDataFrame([("e", "c", [" a ", "a", "b", "", "zz"])], "example_id string, corpus_id string, relevant_documents array<string>")
     assert [tuple(r) for r in questions.resolve_labels(examples, docs).collect()] == [("e", "1", 0)]
     assert sorted((r.position, r.code) for r in questions.label_warnings(examples, docs).collect()) == [(2, "ambiguous_document_name"), (3, "document_not_found"), (4, "document_not_found")]
+
+
+def test_export(spark, tmp_path):
+    files.export_runs(spark.createDataFrame([("b", 2), ("a", None)], "id string, n int"), str(tmp_path / "out"))
+    assert [r.id for r in spark.read.json(str(tmp_path / "out")).orderBy("id").collect()] == ["a", "b"]
