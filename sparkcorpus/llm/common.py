@@ -116,6 +116,18 @@ def uniform(*columns, seed: str = "") -> F.Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def sampled(rows: DataFrame, share: F.Column, by: str) -> DataFrame:
+    """Rows (text, by, copies): distinct texts of a share of the rows (id, text, by), drawn by id and text. No null texts."""
+    drawn = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) < share * 1_000_003))
+    return drawn.groupBy("text", by).agg(F.count("*").alias("copies"))
+
+
+def repeats(copies: np.ndarray, most: int) -> np.ndarray:
+    """Indexes of items, each as often as it has copies; scaled down, to once at least, if there are over `most` copies."""
+    scale = min(1.0, most / max(int(copies.sum()), 1))
+    return np.repeat(np.arange(len(copies)), np.maximum(1, np.round(copies * scale).astype(np.int64)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of the undirected edges (a, b): root is the smallest node that is reachable.
 

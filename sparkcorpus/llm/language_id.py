@@ -2,8 +2,8 @@
 
 Features are the 1- to 3-grams of letters (lower case, other characters as one blank), hashed. Document frequencies are
 counted over all training documents. The weights are learned by follow-the-regularised-leader with elastic-net
-penalties (L1 makes them sparse, L2 small), on a sample of at most about PER_LANGUAGE training documents of each
-language; a fifth of the sample is kept out of the fit and sets the temperature that calibrates the scores.
+penalties (L1 makes them sparse, L2 small), on a sample of about PER_LANGUAGE training documents of each language, drawn
+by id and text, of which equal texts are one item with their number as weight; a fifth of the sample is kept out of the fit and sets the temperature that calibrates the scores.
 
 The sample is the only bound, and only the fit uses it: counting and predicting cover whole texts of all rows. The model
 has 2**BITS rows of one number for each language, whatever the input, and is what is broadcast.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, repeats, sampled, slices
 
 BITS = 16
 #: Training documents of each language that the fit uses, about.
@@ -115,35 +115,41 @@ def temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(label)), label], 1e-12)).mean()))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS) -> dict | None:
-    """Model from the rows of docs with a language, all of which are training rows."""
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS, id_col: str | None = None) -> dict | None:
+    """Model from the rows of docs with a language, all of which are training rows. Without id_col, all copies of a text
+    are in the sample or none."""
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), (F.lit(0) if id_col is None else F.col(f"`{id_col}`")).alias("id"))
+    counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.count("text").alias("texts")).collect()}  # one row for each language
     if not counts:
         return None
     langs = sorted(counts)
     frequency, n = document_frequencies(rows, bits)
     idf = np.log((1 + n) / (1 + frequency)) + 0.1
-    share = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_language / counts[k])))), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    share = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_language / max(counts[k], 1))))), F.col("lang"))
+    sample = sampled(rows, share, "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             feature, row = ngrams(part.column("text").to_pylist(), bits)
             pair, count = np.unique((row.astype(np.int64) << bits) | feature, return_counts=True)
             ends = np.searchsorted(pair, np.arange(part.num_rows + 1) << bits)
-            yield pa.record_batch({"lang": part.column("lang"), "f": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(count, pa.int32()))})
+            yield pa.record_batch({"lang": part.column("lang"), "f": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(count, pa.int32())), "copies": part.column("copies")})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, label = [], []
+        data, label, copies = [], [], []
         for b in batches:
-            for lang, f, c in zip(b.column("lang").to_pylist(), b.column("f"), b.column("n"), strict=True):
+            for lang, f, c, k in zip(b.column("lang").to_pylist(), b.column("f"), b.column("n"), b.column("copies").to_pylist(), strict=True):
                 f, c = f.values.to_numpy(), c.values.to_numpy()
                 if len(f):
                     data.append((f, SCALE * idf[f] * c / c.sum()))
                     label.append(langs.index(lang))
+                    copies.append(k)
         label = np.array(label, np.int64)
         order = sorted(range(len(data)), key=lambda i: (label[i], len(data[i][0]), data[i][0].tobytes(), data[i][1].tobytes()))  # a retry gives the same
+        copies = np.array(copies, np.int64)
+        if len(order):
+            parts = [np.array([i for i in order if label[i] == k], np.int64) for k in range(len(langs))]
+            order = np.concatenate([p[repeats(copies[p], per_language)] for p in parts])
         data, label = [data[i] for i in order], label[order]
         held = np.arange(len(data)) % 5 == 4
         w = ftrl([data[i] for i in np.flatnonzero(~held)], label[~held], len(langs), 1 << bits)
@@ -152,7 +158,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
         np.savez(out, w=w.astype(np.float32), t=temperature(logits, label[held]))
         yield pa.record_batch({"model": pa.array([out.getvalue()], pa.binary())})
 
-    kept = materialize(sample.mapInArrow(features, "lang string, f array<int>, n array<int>"))  # bounded by per_language
+    kept = materialize(sample.mapInArrow(features, "lang string, f array<int>, n array<int>, copies long"))  # bounded by per_language
     model = np.load(io.BytesIO(bytes(kept.coalesce(1).mapInArrow(fit, "model binary").first()[0])))
     return {"langs": langs, "weights": (SCALE * idf[:, None] * model["w"]).astype(np.float32), "temperature": float(model["t"]), "bits": bits}
 

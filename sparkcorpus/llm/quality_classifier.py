@@ -6,9 +6,11 @@ each combination of votes occurs, which Spark counts over all documents; there a
 posterior of a combination is the soft label of its documents, and trains a linear scorer on hashed words and word
 shapes, which then scores every whole text.
 
-Only the fit of the scorer uses a sample, of about SAMPLE documents. Broadcast are its 2**BITS weights.
+Only the fit of the scorer uses a sample: about SAMPLE rows with a text, drawn by id and text, of which equal texts are
+one item with their number as weight. So its input is bounded whatever the copies. Broadcast are its 2**BITS weights.
 
-Edge cases: a null text has no words: its votes are those of an empty text, its score the intercept's. If no labeller
+Edge cases: a null text has no words: its votes are those of an empty text, its score the intercept's, and it is not in
+the sample. If no labeller
 ever votes, posteriors stay at the prior. Repeated rows count as often as they occur. Other columns are not read. An
 empty table gives an empty result.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, slices, word_codes
+from .common import hash_words, materialize, repeats, sampled, slices, word_codes
 from .quality_rules import statistics
 
 BITS = 18
@@ -133,8 +135,8 @@ def logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits
 
 
 def train(rows: DataFrame, posterior: dict[tuple[int, ...], float], n: int, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Scorer from rows (text, votes), of which about `sample` are used."""
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < min(1.0, sample / max(n, 1)) * 1_000_003)
+    """Scorer from rows (id, text, votes), of whose n texts about `sample` are used."""
+    picked = sampled(rows, F.lit(min(1.0, sample / max(n, 1))), "votes")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -142,19 +144,21 @@ def train(rows: DataFrame, posterior: dict[tuple[int, ...], float], n: int, samp
             pair, count = np.unique((row << bits) | f, return_counts=True)
             ends = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) << bits), pa.int32())
             p = pa.array([posterior[tuple(v)] for v in part.column("votes").to_pylist()], pa.float64())
-            yield pa.record_batch({"p": p, "f": pa.ListArray.from_arrays(ends, pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(ends, pa.array(count, pa.int32()))})
+            yield pa.record_batch({"p": p, "f": pa.ListArray.from_arrays(ends, pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(ends, pa.array(count, pa.int32())), "copies": part.column("copies")})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = []
         for b in batches:
-            data += [(p, f.values.to_numpy(), c.values.to_numpy()) for p, f, c in zip(b.column("p").to_pylist(), b.column("f"), b.column("n"), strict=True)]
+            data += [(p, f.values.to_numpy(), c.values.to_numpy(), k) for p, f, c, k in zip(b.column("p").to_pylist(), b.column("f"), b.column("n"), b.column("copies").to_pylist(), strict=True)]
         data.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # a retry gives the same
-        w, b = logistic([(f, 2.0 * c / max(c.sum(), 1)) for _, f, c in data], np.array([p for p, *_ in data]), bits)
+        at = repeats(np.array([k for *_, k in data], np.int64), sample)
+        scaled = [(f, 2.0 * c / max(c.sum(), 1)) for _, f, c, _ in data]
+        w, b = logistic([scaled[i] for i in at], np.array([p for p, *_ in data])[at], bits)
         out = io.BytesIO()
         np.savez(out, w=w.astype(np.float32), b=b)
         yield pa.record_batch({"model": pa.array([out.getvalue()], pa.binary())})
 
-    kept = materialize(picked.mapInArrow(encode, "p double, f array<int>, n array<int>"))  # bounded by the sample
+    kept = materialize(picked.mapInArrow(encode, "p double, f array<int>, n array<int>, copies long"))  # bounded by the sample
     model = np.load(io.BytesIO(bytes(kept.coalesce(1).mapInArrow(fit, "model binary").first()[0])))
     return model["w"], float(model["b"])
 
@@ -163,13 +167,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Rows (id, weak_label, score, kept), one for each row of docs: posterior of the votes, score of the text, and
     whether the document counts as good."""
     votes = voted(docs, [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")], "text", labellers)
-    patterns = votes.groupBy("votes").count().collect()  # 3 ** labellers at most
+    patterns = votes.groupBy("votes").agg(F.count("*").alias("count"), F.count("text").alias("texts")).collect()  # 3 ** labellers at most
     if not patterns:
         return docs.sparkSession.createDataFrame([], f"id {votes.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean")
     count = np.array([r["count"] for r in patterns], float)
     _, post, _ = expectation_maximisation(np.array([r.votes for r in patterns]), count)
     posterior = {tuple(r.votes): float(p) for r, p in zip(patterns, post, strict=True)}
-    w, b = train(votes.select("text", "votes"), posterior, int(count.sum()), sample, bits)
+    w, b = train(votes, posterior, sum(r.texts for r in patterns), sample, bits)
     shared = docs.sparkSession.sparkContext.broadcast((w, b, posterior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,7 +64,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = language_id.train(docs.where(~held_out))
+    model = language_id.train(docs.where(~held_out), id_col="doc_id")
     return language_id.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
 
 
