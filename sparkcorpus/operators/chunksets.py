@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ CHUNK_NAMESPACE = "8a7f0c14-93c1-4f0b-8f3a-6b1c9d2e4f20"
 VERSION = "1"
 #: Width of the buckets that range joins are split by.
 BUCKET = 32_000
+#: Buckets that the document hashes of a corpus are dealt to.
+RANGES = 4096
 
 
 def unparsed_documents(documents: DataFrame, parses: DataFrame) -> DataFrame:
@@ -65,12 +69,54 @@ def chunk_id(set_id: Column, document_id: Column, ordinal: Column) -> Column:
     return uuid5(CHUNK_NAMESPACE, F.concat_ws(":", F.lit("chunk"), set_id, document_id, ordinal.cast("string")))
 
 
+def _set_json(documents: Column, config: str, chunker: str, tokenizer: str, cap: int) -> Column:
+    return canonical_json(F.struct(F.lit(cap).alias("cap"), F.lit(chunker).alias("chunker"), F.lit(VERSION).alias("chunker_version"), F.lit(config).alias("config"), F.col("corpus_id"), documents.alias("documents"), F.lit(tokenizer).alias("tokenizer")))
+
+
+def _parsed(documents: DataFrame, parses: DataFrame) -> DataFrame:
+    return documents.select("corpus_id", F.col("id").alias("document_id"), "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
+
+
 def chunk_set_fingerprints(documents: DataFrame, parses: DataFrame, config: str, chunker: str, tokenizer: str, cap: int = 32_000) -> DataFrame:
-    """Rows (corpus_id, fingerprint): over the ordered documents of a corpus and all that decides its chunks."""
-    pairs = documents.select("corpus_id", F.col("id").alias("document_id"), "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("uploaded_at", "document_id", "parse_id"))), lambda x: F.struct(x["document_id"].alias("document_id"), x["parse_id"].alias("parse_id")))
-    print_ = fingerprint(F.struct(F.lit(cap).alias("cap"), F.lit(chunker).alias("chunker"), F.lit(VERSION).alias("chunker_version"), F.lit(config).alias("config"), F.col("corpus_id"), F.col("documents"), F.lit(tokenizer).alias("tokenizer")))
-    return pairs.groupBy("corpus_id").agg(listed.alias("documents")).select("corpus_id", print_.alias("fingerprint"))
+    """Rows (corpus_id, fingerprint): over the ordered documents of a corpus and all that decides its chunks.
+
+    The SHA-256 of one flat JSON text, which goes on document by document: a corpus is read in one task, of which
+    nothing is held. `chunk_set_tree_fingerprints` spreads a corpus over tasks.
+    """
+    around = F.split(_set_json(F.array().cast("array<string>"), config, chunker, tokenizer, cap), '"documents":\\[\\]')
+    rows = _parsed(documents, parses).withColumn("around", around)
+    rows = rows.repartition("corpus_id").sortWithinPartitions("corpus_id", "uploaded_at", "document_id", "parse_id")
+    rows = rows.select("corpus_id", canonical_json(F.struct("document_id", "parse_id")).alias("item"), F.concat(F.col("around")[0], F.lit('"documents":[')).alias("head"), F.concat(F.lit("]"), F.col("around")[1]).alias("tail"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # (head, corpus, tail, hash so far); heads differ as corpora do
+
+        def row(now: tuple) -> pa.RecordBatch:
+            now[3].update(now[2].encode())
+            return pa.record_batch({"corpus_id": now[1], "fingerprint": pa.array([now[3].hexdigest()])})
+
+        for batch in batches:
+            corpus = batch.column("corpus_id")
+            for i, (head, item, tail) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("head", "item", "tail")), strict=True)):
+                if now is None or now[0] != head:
+                    if now is not None:
+                        yield row(now)
+                    now = (head, corpus.take(pa.array([i])), tail, hashlib.sha256((head + item).encode()))
+                else:
+                    now[3].update(("," + item).encode())
+        if now is not None:
+            yield row(now)
+
+    return rows.mapInArrow(run, f"corpus_id {rows.schema['corpus_id'].dataType.simpleString()}, fingerprint string")
+
+
+def chunk_set_tree_fingerprints(documents: DataFrame, parses: DataFrame, config: str, chunker: str, tokenizer: str, cap: int = 32_000) -> DataFrame:
+    """Rows (corpus_id, fingerprint) like chunk_set_fingerprints, by a tree of hashes: of each document with its time of
+    upload, which is its place in the order; of those of a bucket of hashes; of the buckets of a corpus, RANGES at most."""
+    rows = _parsed(documents, parses).select("corpus_id", fingerprint(F.struct("document_id", "parse_id", "uploaded_at")).alias("h"))
+    over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    ranges = rows.groupBy("corpus_id", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(RANGES)).alias("place")).agg(over("h").alias("h"))
+    return ranges.groupBy("corpus_id").agg(F.array_sort(F.collect_list("h")).alias("documents")).select("corpus_id", F.sha2(_set_json(F.col("documents"), config, chunker, tokenizer, cap), 256).alias("fingerprint"))
 
 
 def split_reusable(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +127,7 @@ def split_reusable(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame
 
 def build_chunk_set(documents: DataFrame, parses: DataFrame, pages: DataFrame, blocks: DataFrame, chunker: Callable[[DataFrame], DataFrame], config: str, tokenizer: str = "whitespace") -> DataFrame:
     """Chunk rows of all corpora in `documents`: chunker gives rows like chunk_fixed from (document_id, text)."""
-    prints = chunk_set_fingerprints(documents, parses, config, "custom", tokenizer)
+    prints = chunk_set_tree_fingerprints(documents, parses, config, "custom", tokenizer)
     chunks = chunk_blocks(chunk_pages(chunker(parses.select("document_id", "text")), pages), blocks)
     meta = documents.select(F.col("id").alias("document_id"), "corpus_id", "original_filename", "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
     rows = chunks.join(meta, "document_id").join(prints, "corpus_id").withColumn("chunk_set_id", chunk_set_id(F.col("fingerprint")))

@@ -39,11 +39,11 @@ def run_summary(runs: DataFrame, example_runs: DataFrame) -> DataFrame:
 
 
 def run_detail(runs: DataFrame, example_runs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Runs with their examples in order, each with its hits by rank. hits: (example_run_id, rank, chunk_id, document_name, start, end)."""
+    """One row for each example of a run, by run and ordinal, with its hits by rank, which top k bounds; a run without
+    examples is one row. hits: (example_run_id, rank, chunk_id, document_name, start, end)."""
     ranked = hits.groupBy("example_run_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_name", "start", "end"))).alias("hits"))
-    rows = example_runs.join(ranked, "example_run_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
-    listed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "example_run_id", "status", "hits"))).alias("examples"))
-    return runs.join(listed, runs["id"] == listed["run_id"], "left").drop("run_id")
+    rows = example_runs.select("run_id", "ordinal", "example_run_id", F.col("status").alias("example_status")).join(ranked, "example_run_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
+    return runs.join(rows, runs["id"] == rows["run_id"], "left").drop("run_id").orderBy("id", "ordinal", "example_run_id")
 
 
 def run_history(summary: DataFrame, now: str, text: str | None = None, status: str | None = None, index_id: str | None = None, dataset_id: str | None = None, days: int | None = None, sort: str = "newest", page: int = 1, size: int = 20) -> DataFrame:

@@ -314,7 +314,7 @@ def c11_reuse_or_build(t: Tables) -> DataFrame:
 def c12_chunk_set(t: Tables) -> DataFrame:
     texts = _texts(t)
     parses = canonical.canonical_text(texts).withColumn("parse_id", F.concat(F.lit("p"), F.col("document_id")))
-    docs = parses.select(F.col("document_id").alias("id"), F.lit("conversations").alias("corpus_id"), F.concat(F.col("document_id"), F.lit(".md")).alias("original_filename"), F.col("document_id").cast("long").alias("uploaded_at"))
+    docs = parses.select(F.col("document_id").alias("id"), F.concat(F.lit("c"), F.pmod(F.col("document_id").cast("long"), F.lit(16))).alias("corpus_id"), F.concat(F.col("document_id"), F.lit(".md")).alias("original_filename"), F.col("document_id").cast("long").alias("uploaded_at"))
     return chunksets.build_chunk_set(docs, parses, canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks()), lambda d: chunking.chunk_recursive(d, 40, 5), "40/5")
 
 
