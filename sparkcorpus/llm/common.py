@@ -128,15 +128,17 @@ def repeats(copies: np.ndarray, most: int) -> np.ndarray:
     return np.repeat(np.arange(len(copies)), np.maximum(1, np.round(copies * scale).astype(np.int64)))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
     """Rows (node, root) for every node of the undirected edges (a, b): root is the smallest node that is reachable.
 
+    Fails if no two rounds agree in `most` rounds, rather than giving roots that aren't the smallest.
+
     Large-star and small-star steps in turn (Kiveris et al., 2014). A step is a minimum by key, combined before the
     shuffle, and a join that Spark can split at a hot key; nothing is collected by node. Each round is checkpointed.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = materialize(edges), None
-    for _ in range(64):
+    for _ in range(most):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -148,6 +150,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components didn't settle in {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
