@@ -62,9 +62,11 @@ def run_history(summary: DataFrame, now: str, text: str | None = None, status: s
         rows = rows.where((F.unix_millis(at) - F.unix_millis("created_at")) < days * 86_400_000)
     newest = [F.desc("created_at"), F.desc("id")]
     order = {"newest": newest, "oldest": [F.asc("created_at"), F.asc("id")], "longest": [F.desc_nulls_last("elapsed_ms"), *newest]}[sort]
-    last = F.greatest(F.ceil(F.count("*").over(Window.partitionBy()) / F.lit(size)), F.lit(1))
-    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(*order))).withColumn("page", F.least(F.lit(max(page, 1)), last).cast("int"))
-    return rows.where((F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size))
+    page = min(max(page, 1), max(-(-rows.count() // size), 1))
+    rows = rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    # only the rows of the page are numbered
+    position = F.row_number().over(Window.orderBy(*order)) + (page - 1) * size
+    return rows.withColumn("position", position).withColumn("page", F.lit(page))
 
 
 def status_counts(runs: DataFrame) -> DataFrame:
