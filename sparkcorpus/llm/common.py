@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six; written for Java, Python and RE2 alike.
@@ -20,25 +22,52 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder of spark.checkpoint.dir.
+def split_words(text: Column) -> Column:
+    """The words of a text. Where blanks and line ends are its only white space, as is usual, no pattern is needed."""
+    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"))
+    blanks = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.array_remove(F.split(blanks, F.when(odd, F.lit(SPACE)).otherwise(F.lit(" "))), "")
 
-    Where neither the setting nor a checkpoint folder exists (tests, local use), a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """See that there is a checkpoint folder. Only a local master may use a folder of its own machine."""
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder of spark.checkpoint.dir."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    _checkpoint_folder(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like materialize, as a table of Parquet files: smaller, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -116,10 +145,19 @@ def uniform(*columns, seed: str = "") -> F.Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def sampled(rows: DataFrame, share: F.Column, by: str) -> DataFrame:
-    """Rows (text, by, copies): distinct texts of a share of the rows (id, text, by), drawn by id and text. No null texts."""
-    drawn = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) < share * 1_000_003))
-    return drawn.groupBy("text", by).agg(F.count("*").alias("copies"))
+def sampled(rows: DataFrame, share: Column, most: int, by: str | None = None) -> DataFrame:
+    """Rows (text, by, copies): `most` of the rows (id, text, by) at most, for each value of `by`, with equal texts as one.
+
+    Every row with a text is as likely as any other, equal ones too: they are told apart by their place in the input. So
+    the sample is bounded and in proportion whatever the copies. share: so many of the rows make up `most`, about; twice
+    as many are drawn, and of those the first ones by hash stay.
+    """
+    drawn = rows.where(F.col("text").isNotNull()).withColumn("u", F.xxhash64("id", "text", F.monotonically_increasing_id()))
+    drawn = materialize(drawn.where(F.pmod("u", F.lit(1_000_003)) < F.greatest(2 * share * 1_000_003, F.lit(1))).drop("id"))
+    if by is None:
+        return drawn.orderBy("u").limit(most).groupBy("text").agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("u"))
+    return drawn.withColumn("place", place).where(F.col("place") <= most).groupBy("text", by).agg(F.count("*").alias("copies"))
 
 
 def repeats(copies: np.ndarray, most: int) -> np.ndarray:

@@ -2,14 +2,15 @@
 
 Features are the 1- to 3-grams of letters (lower case, other characters as one blank), hashed. Document frequencies are
 counted over all training documents. The weights are learned by follow-the-regularised-leader with elastic-net
-penalties (L1 makes them sparse, L2 small), on a sample of about PER_LANGUAGE training documents of each language, drawn
-by id and text, of which equal texts are one item with their number as weight; a fifth of the sample is kept out of the fit and sets the temperature that calibrates the scores.
+penalties (L1 makes them sparse, L2 small), on a sample of PER_LANGUAGE training documents of each language at most, each
+as likely as any other, of which equal texts are one item with their number as weight; a fifth of the sample is kept out
+of the fit and sets the temperature that calibrates the scores.
 
 The sample is the only bound, and only the fit uses it: counting and predicting cover whole texts of all rows. The model
 has 2**BITS rows of one number for each language, whatever the input, and is what is broadcast.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0. Ties between languages go to the first in code
-point order. Without training rows every text is `und`. Repeated rows count as often as they occur. Labels of null are
+Edge cases: a null text, or one without a letter, is `und` with score 0. A very long text is read whole, in memory of some
+20 times its size. Ties between languages go to the first in code point order. Without training rows every text is `und`. Repeated rows count as often as they occur. Labels of null are
 not learned from. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, repeats, sampled, slices
+from .common import fresh, materialize, repeats, sampled, slices
 
 BITS = 16
-#: Training documents of each language that the fit uses, about.
+#: Training documents of each language that the fit uses at most.
 PER_LANGUAGE = 800
+#: A model of so many languages is 64 MB; a column with more values isn't one of languages.
+MOST_LANGUAGES = 256
 SCALE = 30.0
 
 _letters: list[np.ndarray] = []
@@ -116,17 +119,21 @@ def temperature(logits: np.ndarray, label: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS, id_col: str | None = None) -> dict | None:
-    """Model from the rows of docs with a language, all of which are training rows. Without id_col, all copies of a text
-    are in the sample or none."""
+    """Model from the rows of docs with a language, all of which are training rows.
+
+    Refuses over MOST_LANGUAGES languages: counts, model and broadcast have a place for each of them.
+    """
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), (F.lit(0) if id_col is None else F.col(f"`{id_col}`")).alias("id"))
-    counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.count("text").alias("texts")).collect()}  # one row for each language
+    counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.count("text").alias("texts")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:
         return None
     langs = sorted(counts)
     frequency, n = document_frequencies(rows, bits)
     idf = np.log((1 + n) / (1 + frequency)) + 0.1
     share = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_language / max(counts[k], 1))))), F.col("lang"))
-    sample = sampled(rows, share, "lang")
+    sample = sampled(rows, share, per_language, "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -166,22 +173,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
 def predict(docs: DataFrame, model: dict | None, keep: list[Column], text_col: str = "text") -> DataFrame:
     """The columns `keep` with lang_pred and score, for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(f"`{text_col}`").alias("__text"))
+    kept = docs.select(*keep)
+    (text,) = fresh(kept, "text")
+    rows = docs.select(*keep, F.col(f"`{text_col}`").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "__text", 1 << 20):
+        for part in slices(batches, text, 1 << 20):
             n = part.num_rows
             lang, score = np.full(n, "und", object), np.zeros(n)
             if m is not None:
-                feature, row = ngrams(part.column("__text").to_pylist(), m["bits"])
+                feature, row = ngrams(part.column(text).to_pylist(), m["bits"])
                 total = np.bincount(row, minlength=n)
                 logits = np.stack([np.bincount(row, m["weights"][feature, k], minlength=n) for k in range(len(m["langs"]))], axis=1) / np.maximum(total, 1)[:, None]
                 p = softmax(logits / m["temperature"])
                 has = total > 0
                 lang[has], score[has] = np.array(m["langs"], object)[p.argmax(axis=1)][has], p.max(axis=1)[has]
-            columns = {c: part.column(c) for c in part.schema.names if c != "__text"}
+            columns = {c: part.column(c) for c in part.schema.names if c != text}
             yield pa.record_batch(columns | {"lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

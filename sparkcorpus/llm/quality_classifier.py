@@ -6,13 +6,14 @@ each combination of votes occurs, which Spark counts over all documents; there a
 posterior of a combination is the soft label of its documents, and trains a linear scorer on hashed words and word
 shapes, which then scores every whole text.
 
-Only the fit of the scorer uses a sample: about SAMPLE rows with a text, drawn by id and text, of which equal texts are
-one item with their number as weight. So its input is bounded whatever the copies. Broadcast are its 2**BITS weights.
+Only the fit of the scorer uses a sample: SAMPLE rows with a text at most, each as likely as any other, of which equal
+texts are one item with their number as weight. So its input is bounded and in proportion whatever the copies. Broadcast
+are its 2**BITS weights.
 
 Edge cases: a null text has no words: its votes are those of an empty text, its score the intercept's, and it is not in
-the sample. If no labeller
-ever votes, posteriors stay at the prior. Repeated rows count as often as they occur. Other columns are not read. An
-empty table gives an empty result.
+the sample. A very long text is read whole, in the memory of its own size; it is one document like any other. If no
+labeller ever votes, posteriors stay at the prior. Repeated rows count as often as they occur and get the same result; a
+score of exactly `least` is good. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_words, materialize, repeats, sampled, slices, word_codes
-from .quality_rules import statistics
+from .quality_rules import let, statistics
 
 BITS = 18
-#: Documents that the fit of the scorer uses, about.
+#: Documents that the fit of the scorer uses at most.
 SAMPLE = 8_000
 PRIOR = 0.8
 
@@ -65,9 +66,14 @@ LABELLERS = (
 )
 
 
-def voted(docs: DataFrame, keep: Sequence[Column], text_col: str = "text", labellers: Sequence[Labeller] = LABELLERS) -> DataFrame:
-    """The columns `keep` and the votes, as an array."""
-    return docs.select(*keep, statistics(F.col(f"`{text_col}`")).alias("__q")).select(*(f"`{c}`" for c in docs.select(*keep).columns), F.array(*(x.vote(F.col("__q")) for x in labellers)).alias("votes"))
+def votes_code(text: Column, labellers: Sequence[Labeller] = LABELLERS) -> Column:
+    """The votes on a text as one number: digits of base 3, the first labeller's last."""
+    votes = lambda q: F.array(*(x.vote(q) for x in labellers))
+    return let(let(statistics(text), votes), lambda v: sum(((F.get(v, F.lit(i)) + 1) * 3**i for i in range(len(labellers))), F.lit(0)).cast("long"))
+
+
+def votes_of(code: int, labellers: int) -> tuple[int, ...]:
+    return tuple(code // 3**i % 3 - 1 for i in range(labellers))
 
 
 def expectation_maximisation(votes: np.ndarray, count: np.ndarray, prior: float = PRIOR, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -134,22 +140,25 @@ def logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits
     return w, float(b)
 
 
-def train(rows: DataFrame, posterior: dict[tuple[int, ...], float], n: int, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Scorer from rows (id, text, votes), of whose n texts about `sample` are used."""
-    picked = sampled(rows, F.lit(min(1.0, sample / max(n, 1))), "votes")
+def train(rows: DataFrame, posterior: dict[int, float], n: int, sample: int = SAMPLE, bits: int = BITS, labellers: Sequence[Labeller] = LABELLERS) -> tuple[np.ndarray, float]:
+    """Scorer from rows (id, text), of whose n texts `sample` are used at most. posterior: by the number of the votes."""
+    picked = sampled(rows, F.lit(min(1.0, sample / max(n, 1))), sample).withColumn("votes", votes_code(F.col("text"), labellers))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             f, row = features(part.column("text"), bits)
             pair, count = np.unique((row << bits) | f, return_counts=True)
             ends = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) << bits), pa.int32())
-            p = pa.array([posterior[tuple(v)] for v in part.column("votes").to_pylist()], pa.float64())
-            yield pa.record_batch({"p": p, "f": pa.ListArray.from_arrays(ends, pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(ends, pa.array(count, pa.int32())), "copies": part.column("copies")})
+            own, count = pa.array(pair & ((1 << bits) - 1), pa.int32()), pa.array(count, pa.int32())
+            p = pa.array([posterior[v] for v in part.column("votes").to_pylist()], pa.float64())
+            lists = {"f": pa.ListArray.from_arrays(ends, own), "n": pa.ListArray.from_arrays(ends, count)}
+            yield pa.record_batch({"p": p} | lists | {"copies": part.column("copies")})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = []
         for b in batches:
-            data += [(p, f.values.to_numpy(), c.values.to_numpy(), k) for p, f, c, k in zip(b.column("p").to_pylist(), b.column("f"), b.column("n"), b.column("copies").to_pylist(), strict=True)]
+            columns = (b.column("p").to_pylist(), b.column("f"), b.column("n"), b.column("copies").to_pylist())
+            data += [(p, f.values.to_numpy(), c.values.to_numpy(), k) for p, f, c, k in zip(*columns, strict=True)]
         data.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # a retry gives the same
         at = repeats(np.array([k for *_, k in data], np.int64), sample)
         scaled = [(f, 2.0 * c / max(c.sum(), 1)) for _, f, c, _ in data]
@@ -165,25 +174,33 @@ def train(rows: DataFrame, posterior: dict[tuple[int, ...], float], n: int, samp
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labellers: Sequence[Labeller] = LABELLERS, sample: int = SAMPLE, bits: int = BITS, least: float = 0.5) -> DataFrame:
     """Rows (id, weak_label, score, kept), one for each row of docs: posterior of the votes, score of the text, and
-    whether the document counts as good."""
-    votes = voted(docs, [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")], "text", labellers)
-    patterns = votes.groupBy("votes").agg(F.count("*").alias("count"), F.count("text").alias("texts")).collect()  # 3 ** labellers at most
+    whether the document counts as good.
+
+    The votes are kept between the two passes over the texts, a number for each id and text, and joined with the scores.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    votes = materialize(rows.select("id", F.xxhash64("text").alias("h"), F.col("text").isNotNull().alias("has"), votes_code(F.col("text"), labellers).alias("votes")))
+    patterns = votes.groupBy("votes").agg(F.count("*").alias("count"), F.count_if("has").alias("texts")).collect()  # 3 ** labellers at most
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean"
     if not patterns:
-        return docs.sparkSession.createDataFrame([], f"id {votes.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean")
-    count = np.array([r["count"] for r in patterns], float)
-    _, post, _ = expectation_maximisation(np.array([r.votes for r in patterns]), count)
-    posterior = {tuple(r.votes): float(p) for r, p in zip(patterns, post, strict=True)}
-    w, b = train(votes, posterior, sum(r.texts for r in patterns), sample, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((w, b, posterior))
+        return docs.sparkSession.createDataFrame([], schema)
+    patterns.sort()
+    codes, count = [r.votes for r in patterns], np.array([r["count"] for r in patterns], float)
+    _, post, _ = expectation_maximisation(np.array([votes_of(c, len(labellers)) for c in codes]), count)
+    posterior = dict(zip(codes, post.tolist(), strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, posterior, sum(r.texts for r in patterns), sample, bits, labellers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, posterior = shared.value
+        w, b = shared.value
         for part in slices(batches, "text"):
             f, row = features(part.column("text"), bits)
             n = part.num_rows
             x = np.bincount(row, w[f], n) / np.maximum(np.bincount(row, minlength=n), 1) * 2.0 + b
-            score = 1 / (1 + np.exp(-x))
-            weak = pa.array([posterior[tuple(v)] for v in part.column("votes").to_pylist()], pa.float64())
-            yield pa.record_batch({"id": part.column("id"), "weak_label": weak, "score": pa.array(score), "kept": pa.array(score >= least)})
-
-    return votes.select("id", "text", "votes").mapInArrow(run, f"id {votes.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean")
+            yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "score": pa.array(1 / (1 + np.exp(-x)))})
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    scored = rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {id_type}, h long, score double")
+    own = votes.select(F.col("id").alias("of"), F.col("h").alias("at"), "votes").distinct()
+    weak = F.element_at(F.create_map(*(F.lit(x) for kv in posterior.items() for x in kv)), F.col("votes"))
+    both = scored.join(own, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("at")))
+    return both.select("id", weak.alias("weak_label"), "score", (F.col("score") >= least).alias("kept"))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import split_words
 
 #: Frequent words of four languages. Fixed values.
 STOP_WORDS = (
@@ -70,14 +70,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _windows(words: Column) -> Column:
     """64-bit hash of the three words from each position on."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-    return F.when(F.size(words) > 3, hashes).otherwise(F.array().cast("array<bigint>"))
+    whole = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 2))
+    return F.transform(whole, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
-def _repeated(runs: Column) -> Column:
-    """From (hash, position) in order: sorted positions of the hashes that occur twice or more."""
-    same = lambda x, k: F.coalesce(F.get(runs, k)["h"] == x["h"], F.lit(False))
-    return F.sort_array(F.transform(F.filter(runs, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["at"]))
+def _repeated(hashes: Column) -> Column:
+    """Sorted positions of the hashes that occur twice or more.
+
+    Numbers sort much faster than pairs, so the last bits of each hash give way to its position. Where that puts different
+    hashes beside each other, which is rare, pairs are sorted.
+    """
+    no = F.lit(False)
+
+    def place(x: Column, bits: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, bits)
+
+    def numbered(bits: Column) -> Column:
+        cleared = lambda h: F.call_function("shiftleft", place(h, bits), bits)
+        sorted_numbers = F.sort_array(F.transform(hashes, lambda h, i: cleared(h).bitwiseOR(i.cast("long"))))
+        return let(sorted_numbers, lambda run: let(beside(run, bits), lambda near: positions(near, bits)))
+
+    def beside(run: Column, bits: Column) -> Column:
+        alike = lambda x, k: F.coalesce(place(F.get(run, k), bits) == place(x, bits), no)
+        return F.filter(run, lambda x, k: alike(x, k - 1) | alike(x, k + 1))
+
+    def positions(near: Column, bits: Column) -> Column:
+        at = F.transform(near, lambda x: (x - F.call_function("shiftleft", place(x, bits), bits)).cast("int"))
+        full = F.transform(near, lambda x, k: F.struct(place(x, bits).alias("p"), F.get(hashes, (x - F.call_function("shiftleft", place(x, bits), bits)).cast("int")).alias("h")))
+        differ = lambda pairs: F.exists(F.transform(pairs, lambda x, k: F.coalesce((F.get(pairs, k - 1)["p"] == x["p"]) & (F.get(pairs, k - 1)["h"] != x["h"]), no)), lambda x: x)
+        return F.when(let(full, differ), by_pairs()).otherwise(F.sort_array(at))
+
+    def by_pairs() -> Column:
+        same = lambda runs, x, k: F.coalesce(F.get(runs, k)["h"] == x["h"], no)
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return let(pairs, lambda runs: F.sort_array(F.transform(F.filter(runs, lambda x, k: same(runs, x, k - 1) | same(runs, x, k + 1)), lambda x: x["at"])))
+
+    return let(F.length(F.bin(F.size(hashes).cast("long"))), numbered)
 
 
 def _covered(at: Column) -> Column:
@@ -93,9 +121,8 @@ def statistics(text: Column) -> Column:
     """
     stop = sorted({x for w in STOP_WORDS.split() for x in (w, w.capitalize())})
     body = F.coalesce(text, F.lit(""))
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    runs = lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).otherwise(none)
-    repeats = lambda words: let(let(let(_windows(words), runs), _repeated), _covered)
+    positions = lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _repeated(hashes)).otherwise(F.array().cast("array<int>"))
+    repeats = lambda words: let(let(_windows(words), positions), _covered)
 
     def counts(words: Column, lines: Column) -> dict[str, Column]:
         return {
@@ -122,7 +149,7 @@ def statistics(text: Column) -> Column:
 
     struct = lambda columns: F.struct(*(c.alias(k) for k, c in columns.items()))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.array_remove(F.split(body, SPACE), "")
+    words = split_words(body)
     counted = let(words, lambda w: let(lines, lambda x: struct({k: c.cast("long") for k, c in counts(w, x).items()})))
     return let(counted, lambda n: struct({k: n[k] for k in COUNTS} | ratios(n)))
 

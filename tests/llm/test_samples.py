@@ -25,7 +25,16 @@ def test_bounded(skewed, monkeypatch, module):
         module.train(skewed, per_language=200, id_col="doc_id")
     rows = seen[-1].collect()
     copies = sorted(r.copies for r in rows)
-    assert 50 <= len(rows) <= 150 and 60 <= copies[-1] <= 140 and set(copies[:-1]) == {1}
+    assert sum(copies) == 200 and 70 <= copies[-1] <= 130 and set(copies[:-1]) == {1}
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    """All ids are null, half of the texts are null and most others are one text: the sample is bounded all the same."""
+    text = F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 10 == 1, F.col("id").cast("string")).otherwise("one text")
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("id"), text.alias("text"), F.lit("x").alias("lang"))
+    for by in (None, "lang"):
+        found = {r.text: r.copies for r in common.sampled(rows, F.lit(0.1), 200, by).collect()}
+        assert sum(found.values()) == 200 and 130 <= found.pop("one text") <= 185 and set(found.values()) == {1}
 
 
 def test_repeats():
