@@ -36,8 +36,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a document's repository is its source in its language, and its owner is the source
-    docs = table(spark, sf_dir, "documents").withColumn("__repo", F.concat_ws("/", "source", "lang"))
-    found = secrets.find_secrets(docs, repo_col="__repo")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), repo_col=F.concat_ws("/", "source", "lang"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), "n_live", "n_examples")
 
@@ -58,7 +57,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), quality=quality_weights(table(spark, sf_dir, "labels")))
-    return mixed.withColumnRenamed("id", "doc_id")
+    return mixed.drop("h").withColumnRenamed("id", "doc_id")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
