@@ -6,41 +6,46 @@ of an id in bytes (uint32), the number of documents n (uint64), n + 1 offsets in
 document ids (int64). Parts are in ascending order of document id; a reader maps the files into memory. The base of a
 part, which is the number of ids in all parts before it, is the prefix sum of the parts' totals.
 
-Tokenising is done where the texts are read, words in the tokenizers library, each distinct word once per process; the
-rows that are shuffled are ids, packed, and not texts. A part is a range of document ids with about so many rows; a
-range with one id only isn't split. Files get their name by an atomic rename, so a retried task leaves the same file.
-
-Edge cases: a null text is an empty text: only the end id is written. Rows with a null id come first, stored as the
-least 64-bit integer. Rows with equal ids follow one another, ordered by their ids' bytes. Other columns are not read.
-An empty table gives a folder without parts and an empty result.
+Tokenising is done where the texts are read, in the tokenizers library; the rows that are shuffled are ids, packed, and
+not texts. A tokenizer that is known to give a text the ids of its words encodes each distinct word once per process; any
+other one encodes whole texts. A part is a range of document ids with about PART_BYTES of text, at most twice as much; a
+range with one id only isn't split. The bounds of the parts are the one list that tasks get, 8 bytes for each part. Files
+get their name by a rename, and a second attempt puts the same file in the place of the first one.
+
+Edge cases: a null text is an empty text: only the end id is written. A very long text is one record of its part, in
+memory once. Rows with a null id come first, stored as the least 64-bit integer. Rows with equal ids follow one another,
+ordered by their ids' bytes; equal rows give equal records. Other columns are not read. An empty table gives a folder
+without parts and an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, word_codes
+from .common import materialize, shared_folder, slices, word_codes
 
 MAGIC = b"IDX1"
 NO_ID = -(1 << 63)
-#: Rows of one part, about.
-PART_ROWS = 20_000
+#: Bytes of text in one part, about.
+PART_BYTES = 64 << 20
 #: Distinct words that a process remembers.
 CACHE_WORDS = 1 << 18
 
 _tokenizers: dict[str, object] = {}
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
 def tokenizer_of(path: str):
@@ -53,10 +58,41 @@ def tokenizer_of(path: str):
 
 #: What the tokenizer splits a word at, for words of the plain kind below (lower-cased). Fixed pattern of the vocabulary.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: How a tokenizer of this kind describes itself: it drops white space and marks the ends of words. Fixed values.
+WORD_KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False},
+}
 #: Words that normalisation only lower-cases, and that hold no special token.
 PLAIN = r"^[!-;=-~\x{A1}-\x{FF}]+$"
 
 
+def by_words(path: str) -> bool:
+    """Whether a text has the ids of its words one after another, by the tokenizer's own description."""
+    kind = json.loads(tokenizer_of(path).to_str())
+    same = all(kind[k] == WORD_KIND[k] for k in ("normalizer", "pre_tokenizer"))
+    blanks = any(c.isspace() for t in kind["added_tokens"] for c in t["content"])
+    return same and not blanks and WORD_KIND["model"].items() <= kind["model"].items()
+
+
+class TextEncoder:
+    """Encodes whole texts, with any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
+        self.tokenizer = tokenizer_of(path)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after another, offsets by text)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        return flat, np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
+
 class WordEncoder:
     """Encodes texts for a tokenizer that drops white space between words, so that a text has the ids of its words.
 
@@ -135,10 +171,10 @@ class WordEncoder:
         return flat[at], np.concatenate([[0], total])[ends]
 
 
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """One encoder for each process, so that the next task finds the frequent words known."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if by_words(path) else TextEncoder(path)
     return _encoders[path]
 
 
@@ -158,20 +194,26 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: int, id_col: str = "
     return narrow.mapInArrow(run, "id long, ids binary")
 
 
-def part_bounds(docs: DataFrame, id_col: str, part_rows: int = PART_ROWS) -> list[int]:
-    """Ascending least ids of the parts but the first, from approximate quantiles of the id column alone."""
-    n, ids = docs.count(), docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"))
-    parts = -(-n // part_rows)
+def part_bounds(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> list[int]:
+    """Ascending least ids of the parts but the first, from approximate quantiles of ids weighted by length of text.
+
+    A document counts once for each average length that it has, rounded up, so no part has over twice its share.
+    """
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 8
+    sizes = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), size.alias("size"))
+    n, total = sizes.agg(F.count("*"), F.sum("size")).first()
+    parts = -(-(total or 0) // part_bytes)
     if parts < 2:
         return []
-    cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+    counted = sizes.select("id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / (total / n)).cast("int"))))
+    cuts = counted.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
     return sorted(set(cuts))
 
 
-def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Write the parts under the URI `folder`; rows (part, n_docs, n_ids, base), one for each file."""
     width = 2 if tokenizer_of(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    bounds = part_bounds(docs, id_col, part_rows)
+    bounds = part_bounds(docs, id_col, text_col, part_bytes)
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +232,10 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
             with store.open_output_stream(f"{name}.idx") as f:
                 f.write(index)
             for kind in ("bin", "idx"):
-                store.move(f"{name}.{kind}", f"{root}/part-{part:05d}.{kind}")
+                target = f"{root}/part-{part:05d}.{kind}"
+                if store.get_file_info(target).type != pyarrow.fs.FileType.NotFound:  # of an attempt before; some stores refuse to replace
+                    store.delete_file(target)
+                store.move(f"{name}.{kind}", target)
             return pa.record_batch({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([ends[-1]], pa.int64())})
 
         for b in batches:
@@ -210,12 +255,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
     rows = encoded(docs, path, end_id, width, id_col, text_col).mapInArrow(part_of, "part int, id long, ids binary")
     # one part is one task
     totals = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "ids").mapInArrow(write, "part int, n_docs long, n_ids long")
-    parts = sorted(totals.collect())  # one row for each file
-    spark, base, out = docs.sparkSession, 0, []
-    for part, n_docs, n_ids in parts:
-        out.append((part, n_docs, n_ids, base))
-        base += n_ids
-    return spark.createDataFrame(out, "part int, n_docs long, n_ids long, base long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    return materialize(totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
 
 
 def read_part(store: pyarrow.fs.FileSystem, root: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
