@@ -12,10 +12,11 @@ its occurrences. Pairs of 0.8 or more are leaks.
    own value, both with the item size, and joined. Windows with the same shingles are joined once.
 3. The exact similarity of each candidate decides.
 
-Only the bit table is broadcast: 2**27 bits at most (16 MB), from a count of the shingles. Beyond that it gets fuller and
-lets more windows through; the result stays the same.
+Only the bit table is broadcast, from a count of the shingles: 16 bits for each, up to 2**29 bits (64 MB, 32 million
+shingles of items). Beyond that it gets fuller and lets more windows through; the result stays the same.
 
-Edge cases: texts and items are lower-cased (A-Z) and split at white space, so line breaks don't matter. An item with
+Edge cases: a very long text is read whole. Of several windows with the best similarity the first one is reported. Texts
+and items are lower-cased (A-Z) and split at white space, so line breaks don't matter. An item with
 fewer words than a shingle has none and matches nothing. Null texts have no words. Repeated items are reported each under
 their id; repeated document ids share their rows. Other columns are not read. Empty tables give an empty result.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_sums, bits_for, hash_words, majority, materialize, mix, shingle_hashes, slices, word_codes
+from .common import bit_sums, bits_for, fresh, hash_words, majority, materialize, mix, shingle_hashes, slices, word_codes
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
 GOLDEN = 0x9E3779B97F4A7C15
@@ -71,7 +72,7 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return narrow.mapInArrow(run, f"item_id {narrow.schema['id'].dataType.simpleString()}, size int, fp long, shingles array<long>, marks array<long>")
 
 
-def bit_table(items: DataFrame, most: int = 27) -> np.ndarray:
+def bit_table(items: DataFrame, most: int = 29) -> np.ndarray:
     """Bits of the marks of all items, as 64-bit words; its size follows their number up to 2**most bits."""
     marks = items.select(F.explode("marks").alias("m"))
     bits = bits_for(marks.count(), 16, most)
@@ -168,6 +169,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a leak. Rows with a null id are judged as one document."""
-    bad = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without those that hold a leak. Each row is judged by its own text: rows are told apart by id and text."""
+    own, row, bad = fresh(docs, "own", "row", "bad")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h")).alias("doc_id"), text.alias("text"))
+    found = leaks(rows, items, **options).select(F.col("doc_id.id").alias(bad), F.col("doc_id.h").alias(row)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(bad)) & (F.col(own) == F.col(row))
+    return docs.withColumn(own, F.xxhash64(text)).join(found, same, "left_anti").drop(own)
