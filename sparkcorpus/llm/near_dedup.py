@@ -11,9 +11,10 @@ accumulated differences, dropping whole runs as soon as the sum exceeds the radi
 Links are not listed pair by pair: each node gives a forest (at most one edge per fingerprint), and components follow
 from large-star/small-star rounds in Spark.
 
-Edge cases: a null or wordless text has fingerprint zero, which links like any other. Exact copies share a fingerprint,
-which is handled once. A null id is kept with its row and is ignored as a component's name, unless all ids are null.
-Columns other than id and text are not read. An empty table gives an empty result.
+Edge cases: a null or wordless text has fingerprint zero, which links like any other; a bit that is set in just half of
+the hashes is 0. A very long text is hashed whole, in pieces. Exact copies share a fingerprint, which is handled once. A
+null id is kept with its row and is ignored as a component's name, unless all ids are null. Columns other than id and text
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import bit_sums, connected_components, majority, materialize, slices
 
 #: A node of the index with more fingerprints is refined. Each level fixes a third of the free bits or more of them, so
@@ -195,20 +197,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return components(materialize(fingerprints(docs, id_col, text_col, width)), radius)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, or any one of several with this id.
+def index_edges(items: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between the texts of rows (h, fp): those with equal fingerprints, and forests of the index's links."""
+    codes = materialize(items.groupBy("fp").agg(F.min("h").alias("least")))
+    same = items.select("h", "fp").join(codes, "fp").where("h > least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    named = lambda side: codes.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_h"))
+    near = links(codes.select("fp"), radius).join(named("a"), "a").join(named("b"), "b")
+    return same.union(near.select("a_h", "b_h"))
 
-    The decision is made on narrow columns; whole rows move once, to be matched with the ids that stay. A row without
-    id stays only where its component has no id at all, one row for each fingerprint.
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """docs with one row of each group of texts that pairs with a shingle similarity of `least` or more make.
+
+    The index finds the fingerprints within the radius. Texts just above the similarity of 0.8 differ in about 10 of 64
+    bits, which no such index can search, so the bands of `similar` add what it misses; every edge of both is verified on
+    the whole texts. Edge cases are those of `similar`.
     """
-    groups = materialize(near_duplicates(docs, id_col, text_col, radius, width))
-    stay = groups.where("id = component").groupBy(F.col("id").alias("__stay")).count()
-    named = docs.where(F.col(f"`{id_col}`").isNotNull()).join(stay.select("__stay").hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col("__stay"), "left_semi")
-    if not stay.where("count > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    unnamed = groups.where("component is null")
-    if unnamed.isEmpty():
-        return named
-    print_of = F.pandas_udf(lambda texts: texts.map(lambda x: np.uint64(text_fingerprint(x, width)).astype(np.int64)).astype("int64"), "long")
-    alone = docs.where(F.col(f"`{id_col}`").isNull()).withColumn("__fp", print_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    return named.unionByName(alone.join(unnamed.select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    return similar.drop_similar(docs, id_col, text_col, width, least, more=lambda items: index_edges(items, radius))
