@@ -84,14 +84,32 @@ def test_one_group_in_many_nodes(spark):
     assert {x.component for x in found.collect()} == {0}
 
 
-def test_one_document_of_each_group_stays(spark, corpus):
-    groups = {r.id: r.component for r in near_dedup.near_duplicates(corpus).collect()}
-    texts = {r.doc_id: r.text for r in corpus.collect()}
-    assert all((plain_fingerprint(texts[a]) == plain_fingerprint(texts[b])) <= (groups[a] == groups[b]) for a in texts for b in texts if texts[a] == texts[b])
-    stay = near_dedup.drop_near_duplicates(corpus)
-    assert stay.columns == corpus.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(groups.values()))
-    odd = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "q r s t"), (None, "q r s t"), (3, None), (4, "")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.drop_near_duplicates(odd).collect()) == [(0, "q r s t"), (1, "a b c d"), (3, "")]
+def test_near_duplicates_of_a_table(spark, corpus):
+    """Fingerprints, links and components together against all pairs, and one odd table."""
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    r = random.Random(3)
+    for i, text in rows[:40]:  # copies that differ in a word or two
+        w = (text or "").split()
+        for _ in range(i % 3):
+            w[r.randrange(len(w))] = f"new{i}"
+        rows.append((10_000 + i, " ".join(w)))
+    rows += [(20_000, None), (20_001, " \n"), (None, "a b c d"), (20_002, "A b c d")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    codes = [plain_fingerprint(t) for _, t in rows]
+    least = {}
+    for (i, _), root in zip(rows, plain_components(codes, 2), strict=True):
+        least[root] = min(least.get(root, 1 << 60), 1 << 60 if i is None else i)
+    wanted = [(i, c, least[root]) for (i, _), c, root in zip(rows, codes, plain_components(codes, 2), strict=True)]
+    named = lambda i: -1 if i is None else i
+    assert sorted((named(x.id), x.fp % (1 << 64), x.component) for x in found) == sorted((named(i), c, m) for i, c, m in wanted)
+    assert len({x.component for x in found}) < len(rows) - 20
+
+
+def test_index_edges_join_all_texts_within_the_radius(spark):
+    codes = [0, 0, 0b111, 0b1111 << 30, (0b1111 << 30) | 1]
+    items = spark.createDataFrame([(10 + k, c) for k, c in enumerate(codes)], "h long, fp long")
+    found = {frozenset((r.a, r.b)) for r in near_dedup.index_edges(items, 3).collect()}
+    assert found == {frozenset((10, 11)), frozenset((10, 12)), frozenset((13, 14))}
 
 
 # --- decontamination ---------------------------------------------------------------------------------------------
@@ -267,7 +285,7 @@ def plain_targets(sizes, weights=(5, 2, 1)):
 def test_mixing(spark, bucket_rows):
     r = random.Random(5)
     rows = [(i, r.choice(["a", "b", "b", "b", "b", None, "é", "z"]), r.randrange(0, 60), r.choice([0.5, 1.0, 2.0])) for i in range(400)] + [(400, "empty", 0, 1.0)]
-    sizes = spark.createDataFrame(rows, "id long, source string, size long, weight double")
+    sizes = spark.createDataFrame(rows, "id long, source string, size long, weight double").withColumn("h", F.col("id"))
     total = collections.Counter()
     for _, s, n, _ in rows:
         total[s] += n
@@ -285,7 +303,7 @@ def test_mixing(spark, bucket_rows):
 
 
 def test_heavy_documents_come_first(spark):
-    rows = spark.range(4000).selectExpr("id", "'s' as source", "10L as size", "if(id % 2 = 0, 4.0D, 1.0D) as weight")
+    rows = spark.range(4000).selectExpr("id", "id as h", "'s' as source", "10L as size", "if(id % 2 = 0, 4.0D, 1.0D) as weight")
     targets = mixing.source_targets(rows, share=0.3)
     taken = mixing.mix(rows, targets).where("taken > 0").groupBy((F.col("id") % 2).alias("k")).count().collect()
     n = {x.k: x["count"] for x in taken}
@@ -323,13 +341,13 @@ def test_word_encoder():
         assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in ODD * 2]
 
 
-@pytest.mark.parametrize("part_rows", [3, 20_000])
-def test_token_files(spark, tmp_path, part_rows):
+@pytest.mark.parametrize("part_bytes", [100, 1 << 20])
+def test_token_files(spark, tmp_path, part_bytes):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     rows = list(enumerate(ODD * 3)) + [(7, "seven again"), (None, "no id"), (-5, "below zero")]
     random.Random(0).shuffle(rows)
     folder = f"file://{tmp_path}/files"
-    parts = common.materialize(token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, TOKENIZER, 1, part_rows=part_rows))
+    parts = common.materialize(token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, TOKENIZER, 1, part_bytes=part_bytes))
     found = token_files.read_files(spark, folder, parts).orderBy("start").collect()
     start, plain = 0, collections.defaultdict(list)
     for i, text in rows:
@@ -341,7 +359,7 @@ def test_token_files(spark, tmp_path, part_rows):
         start += r.n_tokens
     order = [(p.part, p.n_docs, p.n_ids) for p in parts.orderBy("part").collect()]
     assert token_files.document(folder, order, 0).tolist() == [*tokenizer.encode("no id", add_special_tokens=False).ids, 1]
-    assert (len(order) > 3) == (part_rows == 3)
+    assert (len(order) > 3) == (part_bytes == 100)
 
 
 # --- token counts ------------------------------------------------------------------------------------------------
@@ -354,7 +372,7 @@ def test_token_counts(spark, tmp_path):
     ledger = token_counts.Ledger(spark, str(tmp_path / "ledger"))
     assert ledger.totals().count() == 0
     assert ledger.commit("1", token_counts.inserts(a)) and ledger.commit("2", token_counts.changes(a, b)) and not ledger.commit("2", token_counts.changes(a, b))
-    token_counts.rollup(token_counts.inserts(a)).write.parquet(f"{tmp_path}/ledger/delta/broken")  # an attempt without a manifest
+    token_counts.rollup(token_counts.inserts(a)).write.parquet(f"{tmp_path}/ledger/attempt/broken")  # an attempt that died
     totals = {tuple(r)[:3]: tuple(r)[3:5] for r in ledger.totals().collect() if r.docs or r.tokens}
     wanted = {tuple(r)[:3]: tuple(r)[3:5] for r in token_counts.rollup(token_counts.inserts(b)).collect()}
     assert totals == wanted
