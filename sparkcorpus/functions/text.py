@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it.
-_SPACE = r"[\s\x1c-\x1f]"
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def is_blank(text: Column) -> Column:

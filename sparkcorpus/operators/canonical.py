@@ -5,6 +5,9 @@ Windows go by document: the blocks of one document are bounded by its text. All
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +74,31 @@ def block_offsets(texts: DataFrame, blocks: DataFrame) -> DataFrame:
     return kept.join(starts, [*_page]).select(*_page, "block_index", "ordinal", (F.col("page_start") + F.col("from")).alias("start"), (F.col("page_start") + F.col("to")).alias("end"), "text")
 
 
-def validate_parses(parses: DataFrame) -> DataFrame:
-    """Adds reject_code: the first rule that a parse fails, or null."""
-    json_ok = F.try_parse_json("metadata").isNotNull() & ~F.coalesce(F.col("metadata").rlike(r"\bNaN\b|\bInfinity\b"), F.lit(False))
+def broken_json(parts: DataFrame, columns: Sequence[str] = ("metadata", "bounding_box")) -> DataFrame:
+    """Ids of the documents with a page or block whose metadata or box isn't JSON. A box may be null."""
+    broken = reduce(lambda a, b: a | b, (F.col(c).isNotNull() & F.try_parse_json(c).isNull() for c in columns))
+    return parts.where(broken).select("document_id").distinct()
+
+
+def validate_parses(parses: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """Adds reject_code: the first rule that a parse fails, or null. warnings are checked where there is such a column.
+
+    broken: rows (document_id) of the parses whose pages or blocks have metadata that isn't JSON.
+    """
+    json_ok = F.try_parse_json("metadata").isNotNull()
+    if "warnings" in parses.columns:
+        json_ok = json_ok & (F.col("warnings").isNull() | F.try_parse_json("warnings").isNotNull())
+    if broken is not None:
+        marked = broken.select("document_id").distinct().withColumn("broken_part", F.lit(True))
+        parses = parses.join(marked, "document_id", "left")
+        json_ok = json_ok & F.col("broken_part").isNull()
     code = (
-        F.when(is_blank(F.col("parser_name")) | is_blank(F.col("parser_version")) | ~json_ok, "invalid_parser_output")
-        .when(is_blank(F.col("text")), "empty_parsed_document").when(F.octet_length("text") > MAX_TEXT_BYTES, "parsed_document_too_large")
+        F.when(is_blank(F.col("parser_name")) | is_blank(F.col("parser_version")), "invalid_parser_output")
+        .when(is_blank(F.col("text")), "empty_parsed_document")
+        .when(F.octet_length("text") > MAX_TEXT_BYTES, "parsed_document_too_large")
+        .when(~json_ok, "invalid_parser_output")
     )
-    return parses.withColumn("reject_code", code)
+    return parses.withColumn("reject_code", code).drop("broken_part")
 
 
 def parse_stats(parses: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Tokens with offsets, the three chunking strategies, and the character cap.
 
 A tokenizer gives parallel arrays of token starts and ends in code points. Arrays live only inside the map stage that
-makes chunks; they are never shuffled. Fixed-size windows and the cap are built-in expressions; recursive and paragraph
-chunks pack greedily from left to right and use a vectorised helper, one document at a time.
+makes chunks; they are never shuffled. The cap is a built-in expression; all strategies use a vectorised helper, one
+document at a time, as with arrays of built-in functions a window would cost as much as its document.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, is_blank
+
 #: Fixed cap of a chunk, in characters.
 CHARACTER_CAP = 32_000
 CHUNK = "ordinal int, text string, start long, end long, token_start long, token_end long"
@@ -67,7 +69,7 @@ def token_offsets(docs: DataFrame, text_col: str = "text", tokenizer: Tokenizer
 
 def token_count(text: Column) -> Column:
     """Number of white-space tokens, without arrays of offsets."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"(?U){SPACE}+"), "")).cast("long")
 
 
 def enforce_character_cap(chunks: DataFrame, order: str = "ordinal", cap: int = CHARACTER_CAP) -> DataFrame:
@@ -78,7 +80,7 @@ def enforce_character_cap(chunks: DataFrame, order: str = "ordinal", cap: int =
     text = F.when(over, F.substring("text", F.col("part") * cap + 1, F.lit(cap))).otherwise(F.col("text"))
     tokens = [F.when(~over, F.col(c)).alias(c) for c in ("token_start", "token_end")]
     cut = rows.select("document_id", order, "part", text.alias("text"), start.alias("start"), (start + F.length(text)).alias("end"), *tokens)
-    return cut.where(r"text rlike '[^\\s]'")
+    return cut.where(~is_blank(F.col("text")))
 
 
 def _check(size: int, overlap: int) -> None:
@@ -86,8 +88,13 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("chunk size must be positive and the overlap smaller than it")
 
 
-#: Separators of the recursive strategy, coarse to fine: blank line, sentence end, newline, white space.
-LEVELS = (re.compile(r"\n[^\S\n]*\n+"), re.compile(r"(?<=[.!?。！？])(?:[^\S\n]+|\n+|(?=\S))"), re.compile(r"\n+"), re.compile(r"\s+"))  # noqa: RUF001
+#: Separators of the recursive strategy, coarse to fine: blank line, sentence end, newline, white space. Fixed values.
+LEVELS = (
+    re.compile(r"\n[^\S\n]*\n+"),
+    re.compile(r"(?<=[.!?。！？])(?:[ \t]+|\n+|(?=\S))"),  # noqa: RUF001
+    re.compile(r"\n+"),
+    re.compile(r"\s+"),
+)
 BLANK_LINE = LEVELS[0]
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..functions.text import canonical_json, fingerprint, uuid5
 
 #: Our own namespaces of version-5 ids, and the versions that go into fingerprints.
@@ -125,11 +126,26 @@ def split_reusable(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame
     return requests.join(ready, "fingerprint", "left_semi"), requests.join(ready, "fingerprint", "left_anti")
 
 
-def build_chunk_set(documents: DataFrame, parses: DataFrame, pages: DataFrame, blocks: DataFrame, chunker: Callable[[DataFrame], DataFrame], config: str, tokenizer: str = "whitespace") -> DataFrame:
-    """Chunk rows of all corpora in `documents`: chunker gives rows like chunk_fixed from (document_id, text)."""
-    prints = chunk_set_tree_fingerprints(documents, parses, config, "custom", tokenizer)
-    chunks = chunk_blocks(chunk_pages(chunker(parses.select("document_id", "text")), pages), blocks)
-    meta = documents.select(F.col("id").alias("document_id"), "corpus_id", "original_filename", "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
-    rows = chunks.join(meta, "document_id").join(prints, "corpus_id").withColumn("chunk_set_id", chunk_set_id(F.col("fingerprint")))
+def build_chunk_set(
+    documents: DataFrame, parses: DataFrame, pages: DataFrame, blocks: DataFrame, chunker: Callable[[DataFrame], DataFrame], config: str, chunker_name: str, tokenizer: str = "whitespace"
+) -> tuple[DataFrame, DataFrame]:
+    """(chunk rows, one row for each chunk set), for the corpora in `documents` whose documents are all parsed.
+
+    chunker gives rows like chunk_fixed from (document_id, text), and runs once; its name is part of the fingerprint.
+    Rows (chunk_set_id, corpus_id, fingerprint, chunker_name, chunker_version, status, chunk_count): a corpus with
+    unparsed documents has no id, the status `incomplete` and no chunks.
+    """
+    state = corpus_readiness(documents.select(F.col("corpus_id").alias("id")).distinct(), documents, parses).select("corpus_id", "state")
+    known = documents.join(state.where("state = 'ready'"), "corpus_id").drop("state")
+    prints = chunk_set_tree_fingerprints(known, parses, config, chunker_name, tokenizer).withColumn("chunk_set_id", chunk_set_id(F.col("fingerprint")))
+    meta = known.select(F.col("id").alias("document_id"), "corpus_id", "original_filename", "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
+    chunks = materialize(chunker(parses.select("document_id", "text").join(meta.select("document_id"), "document_id", "left_semi")))
+    rows = chunk_blocks(chunk_pages(chunks, pages), blocks).join(meta, "document_id").join(prints, "corpus_id")
     source = canonical_json(F.struct("block_ordinals", "original_filename", "parse_id"))
-    return rows.select(chunk_id(F.col("chunk_set_id"), F.col("document_id"), F.col("ordinal")).alias("id"), "chunk_set_id", "corpus_id", F.col("document_id").alias("source_document_id"), "uploaded_at", "ordinal", "text", "start", "end", "token_start", "token_end", "page_start", "page_end", source.alias("source_metadata"))
+    own = chunk_id(F.col("chunk_set_id"), F.col("document_id"), F.col("ordinal"))
+    place = ("ordinal", "text", "start", "end", "token_start", "token_end", "page_start", "page_end")
+    rows = rows.select(own.alias("id"), "chunk_set_id", "corpus_id", F.col("document_id").alias("source_document_id"), "uploaded_at", *place, source.alias("source_metadata"))
+    counts = chunks.join(meta.select("document_id", "corpus_id"), "document_id").groupBy("corpus_id").agg(F.count("*").alias("chunk_count"))
+    sets = state.join(prints, "corpus_id", "left").join(counts, "corpus_id", "left").fillna(0, ["chunk_count"])
+    sets = sets.select("chunk_set_id", "corpus_id", "fingerprint", F.lit(chunker_name).alias("chunker_name"), F.lit(VERSION).alias("chunker_version"), F.col("state").alias("status"), "chunk_count")
+    return rows, sets

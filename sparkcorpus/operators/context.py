@@ -15,7 +15,7 @@ NO_CONTEXT_ANSWER = "No source in the index fits this question."
 def page_label(start: Column, end: Column) -> Column:
     one = F.coalesce(start.cast("string"), F.lit("unknown"))
     two = F.coalesce(end.cast("string"), F.lit("unknown"))
-    return F.when(start == end, F.concat(F.lit("p"), start.cast("string"))).otherwise(F.concat(one, F.lit("-"), two))
+    return F.when(start == end, start.cast("string")).otherwise(F.concat(one, F.lit("-"), two))
 
 
 def source_blocks(hits: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import is_blank, strip
 from .questions import latest
 
 RETRIEVAL_METRICS = ("hit_rate", "recall", "mrr")
+USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 ANSWER_METRICS = ("answer_correctness", "groundedness", "answer_relevance")
-REPLY = "struct<results:array<struct<metric:string,score:int,rationale:string,evidence_ranks:array<int>>>,prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 JUDGMENT = "struct<metric:string,score:int,rationale:string,evidence_ranks:array<int>>"
 
 
@@ -79,9 +79,11 @@ def judge_requests(inputs: DataFrame, eligibility: DataFrame) -> DataFrame:
 
 
 def parse_judgments(replies: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows (example_id, metric, score, rationale, evidence_ranks, error): a reply is valid as a whole or not at all.
+    """Rows (example_id, metric, rubric_score, score, rationale, evidence_ranks, error) and the tokens that a reply used: a
+    reply is valid as a whole or not at all.
 
-    replies: (example_id, reply); requests: (example_id, metrics, context_size). Scores are 0 to 1.
+    replies: (example_id, reply); requests: (example_id, metrics, context_size). Rubric scores are 0 to 4, scores 0 to 1.
+    Token counts that aren't integers of 0 or more are null.
     """
     rows = requests.select("example_id", "metrics", "context_size").join(replies.select("example_id", "reply"), "example_id", "left")
     items = F.from_json(F.get_json_object("reply", "$.results"), f"array<{JUDGMENT}>")
@@ -91,9 +93,19 @@ def parse_judgments(replies: DataFrame, requests: DataFrame) -> DataFrame:
     whole = F.coalesce(F.forall(raw, lambda x: F.coalesce(x["score"].rlike(r"^-?\d+$"), F.lit(False))), F.lit(False))
     names = F.transform("items", lambda x: x["metric"])
     valid = F.coalesce((F.sort_array(names) == F.sort_array("metrics")) & F.forall("items", fine) & whole, F.lit(False))
-    rows = rows.withColumn("items", items).withColumn("valid", valid)
-    good = rows.where("valid").select("example_id", F.explode("items").alias("x")).select("example_id", "x.metric", (F.col("x.score") / 4).alias("score"), "x.rationale", F.when(F.col("x.metric") == "groundedness", F.col("x.evidence_ranks")).otherwise(F.array().cast("array<int>")).alias("evidence_ranks"), F.lit(None).cast("string").alias("error"))
-    bad = rows.where("not valid").select("example_id", F.explode("metrics").alias("metric"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("rationale"), F.array().cast("array<int>").alias("evidence_ranks"), F.lit("invalid_evaluator_response").alias("error"))
+    used = lambda name: F.get_json_object("reply", f"$.usage.{name}")
+    tokens = {name: F.when(used(name).rlike(r"^\d+$"), F.expr(f"try_cast(get_json_object(reply, '$.usage.{name}') as bigint)")) for name in USAGE}
+    rows = rows.withColumns({"items": items, "valid": valid} | tokens)
+    none, no_ranks = F.lit(None), F.array().cast("array<int>")
+    ranks = F.when(F.col("x.metric") == "groundedness", F.col("x.evidence_ranks")).otherwise(no_ranks)
+    good = rows.where("valid").select("example_id", F.explode("items").alias("x"), *USAGE).select(
+        "example_id", "x.metric", F.col("x.score").alias("rubric_score"), (F.col("x.score") / 4).alias("score"),
+        strip(F.col("x.rationale")).alias("rationale"), ranks.alias("evidence_ranks"), none.cast("string").alias("error"), *USAGE,
+    )
+    bad = rows.where("not valid").select(
+        "example_id", F.explode("metrics").alias("metric"), none.cast("int").alias("rubric_score"), none.cast("double").alias("score"),
+        none.cast("string").alias("rationale"), no_ranks.alias("evidence_ranks"), F.lit("invalid_evaluator_response").alias("error"), *USAGE,
+    )
     return good.unionByName(bad)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .questions import latest
 
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 
@@ -16,6 +17,18 @@ def compatible_inputs(indexes: DataFrame, datasets: DataFrame) -> DataFrame:
     return pairs.select("index_id", "dataset_id", reason.isNull().alias("launchable"), reason.alias("reason"))
 
 
+def launch_checks(requests: DataFrame, indexes: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Rows (index_id, dataset_id, launchable, reason) for requested pairs, also those of unknown or different corpora."""
+    own = indexes.select(F.col("id").alias("index_id"), "corpus_id", "status", "vector_index_id")
+    other = datasets.select(F.col("id").alias("dataset_id"), F.col("corpus_id").alias("dataset_corpus"), F.lit(True).alias("known"))
+    rows = requests.join(own, "index_id", "left").join(other, "dataset_id", "left")
+    reason = (
+        F.when(F.col("status").isNull() | F.col("known").isNull(), "unknown_input").when((F.col("status") != "ready") | F.col("vector_index_id").isNull(), "index_not_ready")
+        .when(F.col("corpus_id") != F.col("dataset_corpus"), "different_corpora")
+    )
+    return rows.select("index_id", "dataset_id", reason.isNull().alias("launchable"), reason.alias("reason"))
+
+
 def expand_runs(runs: DataFrame, examples: DataFrame) -> DataFrame:
     """Rows (run_id, example_id, ordinal, status, total_examples): one pending row for each question of a run's dataset."""
     total = examples.groupBy("dataset_id").agg(F.count("*").alias("total_examples"))
@@ -26,11 +39,20 @@ def runs_without_examples(runs: DataFrame, examples: DataFrame) -> DataFrame:
     return runs.join(examples.select("dataset_id").distinct(), "dataset_id", "left_anti")
 
 
-def run_summary(runs: DataFrame, example_runs: DataFrame) -> DataFrame:
+def run_summary(runs: DataFrame, example_runs: DataFrame, indexes: DataFrame | None = None, datasets: DataFrame | None = None, evaluations: DataFrame | None = None) -> DataFrame:
     """One row for each run, newest first. example_runs has its retrieval and generation on the row, null where missing.
 
-    Tokens that aren't known are left out of the sums and counted apart. Examples are summed before the join.
+    Tokens that aren't known are left out of the sums and counted apart. Examples are summed before the join. indexes and
+    datasets (id, name) give a run the names of its index_id and dataset_id, evaluations (run_id, id, status, created_at,
+    seq) its latest evaluation.
     """
+    for part, name in ((indexes, "index"), (datasets, "dataset")):
+        if part is not None:
+            runs = runs.join(part.select(F.col("id").alias(f"{name}_id"), F.col("name").alias(f"{name}_name")), f"{name}_id", "left")
+    if evaluations is not None:
+        last = latest(evaluations, ["run_id"], [F.desc("created_at"), F.desc("seq")])
+        last = last.select(F.col("run_id").alias("of"), F.col("id").alias("latest_evaluation_id"), F.col("status").alias("latest_evaluation_status"))
+        runs = runs.join(last, runs["id"] == last["of"], "left").drop("of")
     n = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_examples")
     sums = [x for c in USAGE for x in (F.sum(c).alias(c), F.count(c).alias(f"known_{c}"))]
     of = example_runs.groupBy("run_id").agg(n("failed"), n("pending"), n("running"), F.count("retrieval_ms").alias("retrieval_results"), F.count("generation_ms").alias("generation_results"), F.avg("retrieval_ms").alias("mean_retrieval_ms"), F.avg("generation_ms").alias("mean_generation_ms"), *sums)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..functions.text import is_blank, is_finite, strip
-from .vectors import embed, embedding_input
+from .vectors import compatible_indexes, embed, embedding_input
 
 METRICS = ("cosine", "dot_product", "euclidean")
 #: Queries that are broadcast at once: with 64 float64 coordinates, 2 MB.
@@ -34,12 +35,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """All distances of two blocks, as in `distance`. Blocks are bounded, so that this matrix is."""
+    """All distances of two blocks, as in `distance`. Blocks are bounded, so that this matrix is.
+
+    Rounded to 12 places, so that equal vectors tie wherever they are in a block.
+    """
     if metric == "euclidean":
-        return np.stack([((vectors - q) ** 2).sum(axis=1) for q in queries])
+        return np.round(np.stack([((vectors - q) ** 2).sum(axis=1) for q in queries]), 12)
     if metric == "cosine":
         queries, vectors = _unit(queries), _unit(vectors)
-    return 1 - queries @ vectors.T
+    return np.round(1 - queries @ vectors.T, 12)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
@@ -51,6 +55,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "co
     """
     if k < 1 or metric not in METRICS:
         raise ValueError("k must be positive and the metric known")
+    queries = materialize(queries.select("query_id", "embedding"))  # read by each block, made once
     spark, parts = queries.sparkSession, -(-queries.count() // block)
     id_type = queries.schema["query_id"].dataType.simpleString()
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
@@ -110,8 +115,33 @@ def validate_rankings(results: DataFrame, hits: DataFrame, chunks: DataFrame) ->
     return results.join(ranks, "query_id", "left").select("query_id", ((F.col("n").isNull() | ok) & (F.col("distance_metric") == F.col("run_metric"))).alias("valid"))
 
 
-def retrieve(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, chunk_set_id: str, k: int, embedder: Callable[[list[str]], list[list[float]]], model: str = "hashing", metric: str = "cosine") -> DataFrame:
-    """Ranked evidence with text for each non-blank question (query_id, question)."""
-    asked = questions.withColumn("question", strip(F.col("question"))).where("question <> ''").withColumn("text", embedding_input(F.col("question"), F.lit(model), "query"))
-    hits = top_k(embed(asked.select("query_id", "text"), embedder).select("query_id", "embedding"), vectors, k, metric)
-    return hydrate(hits, chunks, chunk_set_id)[0]
+def retrieve(
+    questions: DataFrame, index: Mapping[str, object], vectors: DataFrame, chunks: DataFrame, k: int,
+    embedder: Callable[[list[str]], list[list[float]]], request: Mapping[str, object],
+) -> tuple[DataFrame, DataFrame]:
+    """(ranked evidence with text, rows (query_id, error)) for questions (query_id, question) against one index.
+
+    index: its row, as `compatible_indexes` reads it, with chunk_set_id; request: what it must be, with provider_model and
+    provider_revision of the query vectors where they are known. An index that doesn't fit is refused before anything is
+    embedded. Blank questions (blank_question), vectors of another width (query_width_mismatch) and hits without a chunk
+    of the set are errors of their question. Each question is embedded once.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    if not str(index.get("chunk_set_id") or "").strip():
+        raise ValueError("missing_chunk_set")
+    spark, types = questions.sparkSession, {int: "long", float: "double", bool: "boolean"}
+    schema = ", ".join(f"`{n}` {types.get(type(v), 'string')}" for n, v in index.items())
+    # the width is known when a question is embedded
+    refused = compatible_indexes(spark.createDataFrame([tuple(index.values())], schema), {**request, "dimensions": index["dimensions"]}).first().reject_code
+    if refused:
+        raise ValueError(refused)
+    asked = questions.withColumn("question", strip(F.col("question")))
+    blank = asked.where(is_blank(F.col("question"))).select("query_id", F.lit("blank_question").alias("error"))
+    texts = asked.where(~is_blank(F.col("question"))).select("query_id", embedding_input(F.col("question"), F.lit(request["model"]), "query").alias("text"))
+    embedded = materialize(embed(texts, embedder).select("query_id", "embedding"))
+    fits = F.size("embedding") == F.lit(index["dimensions"])
+    narrow = embedded.where(~fits).select("query_id", F.lit("query_width_mismatch").alias("error"))
+    hits = materialize(top_k(embedded.where(fits), vectors, min(k, int(index["vector_count"])), str(index["distance_metric"])))
+    good, bad = hydrate(hits, chunks, str(index["chunk_set_id"]))
+    return good, blank.union(narrow).union(bad.select("query_id", "error"))

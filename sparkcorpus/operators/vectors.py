@@ -76,8 +76,19 @@ def vector_metadata(*, required: dict[str, Column], optional: dict[str, Column])
     return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
 
 
-def vector_index_fingerprint(chunk_set_id: Column, chunk_set_print: Column, *, model: Column, dimensions: Column, provider: str = "local", metric: str = "cosine", store: str = "table") -> Column:
-    return fingerprint(F.struct(chunk_set_print.alias("chunk_set_fingerprint"), chunk_set_id.alias("chunk_set_id"), dimensions.alias("dimensions"), F.lit(metric).alias("metric"), model.alias("model"), F.lit(POLICY_VERSION).alias("policy_version"), F.lit(provider).alias("provider"), F.lit(store).alias("store")))
+def vector_index_fingerprint(
+    chunk_set_id: Column, chunk_set_print: Column, *, model: Column, dimensions: Column, provider_model: Column | None = None, provider_revision: Column | None = None,
+    provider: str = "local", adapter: tuple[str, str] = ("local", "1"), metric: str = "cosine", store: tuple[str, str] = ("table", "1"),
+) -> Column:
+    """SHA-256 over all that decides the vectors: two revisions of a model, or versions of adapter or store, don't share."""
+    unknown = F.lit(None).cast("string")
+    fields = {
+        "adapter": F.lit(adapter[0]), "adapter_version": F.lit(adapter[1]), "chunk_set_fingerprint": chunk_set_print, "chunk_set_id": chunk_set_id,
+        "dimensions": dimensions, "metric": F.lit(metric), "model": model, "policy_version": F.lit(POLICY_VERSION), "provider": F.lit(provider),
+        "provider_model": unknown if provider_model is None else provider_model, "provider_revision": unknown if provider_revision is None else provider_revision,
+        "store": F.lit(store[0]), "store_version": F.lit(store[1]),
+    }
+    return fingerprint(F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
 def compatible_indexes(indexes: DataFrame, request: dict[str, object]) -> DataFrame:

@@ -13,7 +13,7 @@ from .views import Tables
 # A conversation is a query and each of its turns a hit, in order.
 
 _TURNS = r"hits AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, CAST(turn + 1 AS INT) AS rank, conv_id || '-' || turn AS chunk_id, role AS source_document_id, CASE WHEN turn % 3 > 0 THEN turn END AS page_start, CASE WHEN turn % 4 > 0 THEN turn + turn % 2 END AS page_end, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS tokens FROM conversations)"
-_BLOCK = "'[' || rank || '] chunk ' || chunk_id || ', document ' || source_document_id || ', pages ' || CASE WHEN page_start = page_end THEN 'p' || page_start ELSE coalesce(CAST(page_start AS VARCHAR), 'unknown') || '-' || coalesce(CAST(page_end AS VARCHAR), 'unknown') END || chr(10) || text"
+_BLOCK = "'[' || rank || '] chunk ' || chunk_id || ', document ' || source_document_id || ', pages ' || CASE WHEN page_start = page_end THEN CAST(page_start AS VARCHAR) ELSE coalesce(CAST(page_start AS VARCHAR), 'unknown') || '-' || coalesce(CAST(page_end AS VARCHAR), 'unknown') END || chr(10) || text"
 _PACK = f"WITH {_TURNS}, used AS (SELECT *, 10 + sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used_tokens, first_value(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS first FROM hits), packed AS (SELECT query_id, rank, tokens, CAST(used_tokens AS BIGINT) AS used_tokens, used_tokens <= 80 AS kept, CASE WHEN first + 10 > 80 THEN 'no_source_fits' END AS error FROM used)"
 
 
@@ -99,10 +99,12 @@ def g4_dataset_summary(t: Tables) -> DataFrame:
     return rows.select("dataset_id", "corpus_name", "example_count", "label_count", "warning_count")
 
 
-@query()
+@query(f"""WITH {_EXAMPLES} SELECT example_id, '[' || coalesce((SELECT string_agg('{{"original_filename":"' || d.original_filename || '","document_id":"' || d.id || '"}}', ',' ORDER BY d.original_filename, d.id)
+    FROM lab JOIN docs d ON d.id = lab.document_id WHERE lab.example_id = ex.example_id), '') || ']' AS labels FROM ex""", "docs")
 def g5_dataset_detail(t: Tables) -> DataFrame:
     examples = _examples(t)
-    return questions.dataset_detail(examples, questions.resolve_labels(examples, t["docs"]), t["docs"])
+    found = questions.dataset_detail(examples, questions.resolve_labels(examples, t["docs"]), t["docs"])
+    return found.select("example_id", F.to_json("labels").alias("labels"))
 
 
 @query("SELECT id FROM docs WHERE corpus_id = 'src3' AND contains(lower(original_filename || ' ' || id), 'doc_1')", "docs")
@@ -139,7 +141,9 @@ def h5_answer_eligibility(t: Tables) -> DataFrame:
     return evaluation.answer_eligibility(_inputs(t))
 
 
-@query()
+@query(f"""WITH {_ELIGIBLE}, asked AS (SELECT example_id, list(metric ORDER BY metric) AS metrics FROM elig WHERE eligible GROUP BY example_id)
+SELECT a.*, 2 AS context_size, '{{"answer":"answer","context":[{{"rank":1,"text":"one"}},{{"rank":2,"text":"two"}}],"metrics":["' || array_to_string(metrics, '","') || '"],"question":"q","reference_answer":'
+    || CASE WHEN lang <> 'fr' THEN '"' || original_filename || '"' ELSE 'null' END || '}}' AS request FROM asked a JOIN docs ON id = example_id""", "docs")
 def h6_judge_requests(t: Tables) -> DataFrame:
     return evaluation.judge_requests(_inputs(t), evaluation.answer_eligibility(_inputs(t)))
 
@@ -149,13 +153,14 @@ def _judgments(t: Tables) -> DataFrame:
     requests = evaluation.judge_requests(_inputs(t), evaluation.answer_eligibility(_inputs(t))).join(t["docs"].select(F.col("id").alias("example_id"), "uploaded_at"), "example_id")
     n, bad = F.col("uploaded_at"), F.col("uploaded_at") % 4 == 0
     kind = F.col("uploaded_at") % 16
-    item = lambda m: F.struct(F.when(bad & (kind == 4), "groundedness").otherwise(m).alias("metric"), F.when(bad & (kind == 0), 9).otherwise(n % 5).alias("score"), F.when(bad & (kind == 8), " ").otherwise("fine").alias("rationale"), F.when(bad & (kind == 12), F.array(F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2))).alias("evidence_ranks"))
-    return evaluation.parse_judgments(requests.select("example_id", F.to_json(F.struct(F.transform("metrics", item).alias("results"))).alias("reply")), requests)
+    item = lambda m: F.struct(F.when(bad & (kind == 4), "groundedness").otherwise(m).alias("metric"), F.when(bad & (kind == 0), 9).otherwise(n % 5).alias("score"), F.when(bad & (kind == 8), " ").otherwise(" fine\n").alias("rationale"), F.when(bad & (kind == 12), F.array(F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2))).alias("evidence_ranks"))
+    usage = F.struct(F.when(n % 3 == 0, -1).otherwise(n).alias("total_tokens"), F.lit("many").alias("prompt_tokens"), F.lit(True).alias("completion_tokens"))
+    return evaluation.parse_judgments(requests.select("example_id", F.to_json(F.struct(F.transform("metrics", item).alias("results"), usage.alias("usage"))).alias("reply")), requests)
 
 
-@query(f"WITH {_ELIGIBLE} SELECT example_id, metric, CAST(score AS DOUBLE) AS score, error, CASE WHEN error IS NULL AND metric = 'groundedness' THEN 2 ELSE 0 END AS ranks FROM judged", "docs")
+@query(f"WITH {_ELIGIBLE} SELECT example_id, metric, CAST(score AS DOUBLE) AS score, CAST(4 * score AS INT) AS rubric_score, CASE WHEN error IS NULL THEN 'fine' END AS rationale, error, CASE WHEN error IS NULL AND metric = 'groundedness' THEN 2 ELSE 0 END AS ranks, CASE WHEN uploaded_at % 3 > 0 THEN uploaded_at END AS total_tokens FROM judged", "docs")
 def h7_judgments(t: Tables) -> DataFrame:
-    return _judgments(t).select("example_id", "metric", "score", "error", F.size("evidence_ranks").alias("ranks"))
+    return _judgments(t).select("example_id", "metric", "score", "rubric_score", "rationale", "error", F.size("evidence_ranks").alias("ranks"), "total_tokens")
 
 
 _COVERED = "SELECT e.{by}, round(avg(j.score), 6) AS mean_score, count(*) AS total, count(*) FILTER (WHERE e.eligible) AS eligible, count(j.score) AS scored, count(*) FILTER (WHERE NOT e.eligible) AS skipped, count(j.error) AS errors, count(j.error) > 0 AS has_errors FROM elig e LEFT JOIN judged j ON j.example_id = e.example_id AND j.metric = e.metric GROUP BY e.{by}"
@@ -210,10 +215,15 @@ def i3_run_summary(t: Tables) -> DataFrame:
     return found.select("id", "failed_examples", "pending_examples", "running_examples", "retrieval_results", "generation_results", mean("mean_retrieval_ms"), mean("mean_generation_ms"), "total_tokens", "known_total_tokens")
 
 
-@query()
+@query("""SELECT r.id, r.status, ordinal, e.id AS example_run_id, e.status AS example_status, CASE WHEN e.id IS NULL THEN NULL WHEN ordinal % 3 = 0 THEN '[]' ELSE
+    '[{"rank":1,"chunk_id":"b' || question || '","document_name":"n","start":0,"end":1},{"rank":2,"chunk_id":"a' || question || '","document_name":"n","start":0,"end":1}]' END AS hits
+    FROM runs r LEFT JOIN example_runs e ON e.run_id = r.id""", "runs", "example_runs")
 def i4_run_detail(t: Tables) -> DataFrame:
-    hits = t["events"].select(F.col("event_id").cast("string").alias("example_run_id"), F.lit(1).alias("rank"), F.col("event_type").alias("chunk_id"), F.col("event_type").alias("document_name"), F.lit(0).alias("start"), F.lit(1).alias("end"))
-    return history.run_detail(t["runs"], t["example_runs"].withColumnRenamed("id", "example_run_id"), hits)
+    name = F.element_at(F.array(F.lit("b"), F.lit("a")), F.col("rank"))
+    hits = t["events"].where("event_id % 3 <> 0").select(F.col("event_id").cast("string").alias("example_run_id"), "event_type", F.explode(F.array(F.lit(2), F.lit(1))).alias("rank"))
+    hits = hits.select("example_run_id", "rank", F.concat(name, "event_type").alias("chunk_id"), F.lit("n").alias("document_name"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    found = history.run_detail(t["runs"], t["example_runs"].withColumnRenamed("id", "example_run_id"), hits)
+    return found.select("id", "status", "ordinal", "example_run_id", "example_status", F.to_json("hits").alias("hits"))
 
 
 _HISTORY = "WITH h AS (SELECT id, CASE status WHEN 'pending' THEN 'queued' ELSE status END AS status, created_at, CASE WHEN status = 'running' THEN 1767225600000 - (1700000000 + created_at * 60) * 1000 ELSE duration_ms END AS elapsed_ms, CAST(floor(100 * completed_examples / total_examples + 0.5) AS BIGINT) AS percent FROM runs)"

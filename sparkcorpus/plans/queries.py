@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..functions.text import uuid5
 from ..operators import canonical, chunking, chunksets, evaluation, search, vectors
 from ..sources import files
@@ -206,10 +207,17 @@ def b9_page_warnings(t: Tables) -> DataFrame:
     return canonical.page_warnings(t["pages_"].withColumn("text", F.when(F.col("page_number") % 3 == 0, " \n").otherwise(F.col("text"))))
 
 
-@query()
+_PAGE_JSON = """SELECT w.document_id, md5(w.text) AS text, md5('[' || string_agg('{"page_number":' || o.page_number || ',"start":' || CAST(o.start AS BIGINT) || ',"end":' || CAST(o."end" AS BIGINT)
+    || ',"blocks":[' || coalesce((SELECT string_agg('{"ordinal":' || ordinal || ',"start":' || start || ',"end":' || "end" || '}', ',' ORDER BY ordinal) FROM boffs b
+    WHERE b.document_id = o.document_id AND b.page_number = o.page_number), '') || ']}', ',' ORDER BY o.page_number) || ']') AS pages
+    FROM whole w JOIN offs o ON o.document_id = w.document_id GROUP BY w.document_id, w.text"""
+
+
+@query("WITH" + _TEXTS + _PAGE_JSON, "pages_")
 def b10_parse_readback(t: Tables) -> DataFrame:
     texts = _texts(t)
-    return canonical.parsed_documents(_canonical(t), canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks()))
+    found = canonical.parsed_documents(_canonical(t), canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks()))
+    return found.select("document_id", F.md5("text").alias("text"), F.md5(F.to_json("pages")).alias("pages"))
 
 
 # --- tokens and chunks -------------------------------------------------------------------------------------------
@@ -266,7 +274,7 @@ def c6_corpus_readiness(t: Tables) -> DataFrame:
 
 def _page_chunks(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = _texts(t)
-    return chunking.chunk_fixed(canonical.canonical_text(texts), 20, 5), canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks())
+    return materialize(chunking.chunk_fixed(canonical.canonical_text(texts), 20, 5)), canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks())
 
 
 _PAGE_CHUNKS = "WITH" + _TEXTS + "," + _TOKENS.format(id="document_id", of="whole", stride=15, size=20)
@@ -310,12 +318,34 @@ def c11_reuse_or_build(t: Tables) -> DataFrame:
     return reuse.withColumn("action", F.lit("reuse")).union(build.withColumn("action", F.lit("build")))
 
 
-@query()
-def c12_chunk_set(t: Tables) -> DataFrame:
+def _chunk_set(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sixteen corpora; those of a document whose number ends in 7 of 50 miss its parse."""
     texts = _texts(t)
-    parses = canonical.canonical_text(texts).withColumn("parse_id", F.concat(F.lit("p"), F.col("document_id")))
-    docs = parses.select(F.col("document_id").alias("id"), F.concat(F.lit("c"), F.pmod(F.col("document_id").cast("long"), F.lit(16))).alias("corpus_id"), F.concat(F.col("document_id"), F.lit(".md")).alias("original_filename"), F.col("document_id").cast("long").alias("uploaded_at"))
-    return chunksets.build_chunk_set(docs, parses, canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks()), lambda d: chunking.chunk_recursive(d, 40, 5), "40/5")
+    number = F.col("document_id").cast("long")
+    whole = canonical.canonical_text(texts)
+    names = (F.concat(F.lit("c"), number % 16).alias("corpus_id"), F.concat("document_id", F.lit(".md")).alias("original_filename"))
+    docs = whole.select(F.col("document_id").alias("id"), *names, number.alias("uploaded_at"))
+    parses = whole.where(number % 50 != 7).withColumn("parse_id", F.concat(F.lit("p"), "document_id"))
+    chunker = lambda d: chunking.chunk_fixed(d, 20, 5)
+    return chunksets.build_chunk_set(docs, parses, canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks()), chunker, "20/5", "fixed")
+
+
+_CORPORA = """, corpora AS (SELECT 'c' || CAST(document_id AS BIGINT) % 16 AS corpus_id, bool_or(CAST(document_id AS BIGINT) % 50 = 7) AS missing FROM whole GROUP BY 1),
+made AS (SELECT x.corpus_id, c.* FROM fixed c JOIN corpora x ON x.corpus_id = 'c' || CAST(c.document_id AS BIGINT) % 16 AND NOT missing)
+"""
+
+
+@query(_PAGE_CHUNKS + _CORPORA + """SELECT c.corpus_id, c.document_id AS source_document_id, c.ordinal, c.start, c."end", (SELECT min(page_number) FROM offs p WHERE p.document_id = c.document_id AND c.start < p."end" AND p.start < c."end") AS page_start,
+    (SELECT max(page_number) FROM offs p WHERE p.document_id = c.document_id AND c.start < p."end" AND p.start < c."end") AS page_end,
+    '{"block_ordinals":[' || coalesce((SELECT string_agg(ordinal, ',' ORDER BY ordinal) FROM boffs b WHERE b.document_id = c.document_id AND c.start < b."end" AND b.start < c."end"), '')
+    || '],"original_filename":"' || c.document_id || '.md","parse_id":"p' || c.document_id || '"}' AS source_metadata FROM made c""", "pages_")
+def c12_chunk_set(t: Tables) -> DataFrame:
+    return _chunk_set(t)[0].select("corpus_id", "source_document_id", "ordinal", "start", "end", "page_start", "page_end", "source_metadata")
+
+
+@query(_PAGE_CHUNKS + _CORPORA + "SELECT x.corpus_id, CASE WHEN missing THEN 'incomplete' ELSE 'ready' END AS status, NOT missing AS has_id, (SELECT count(*) FROM made m WHERE m.corpus_id = x.corpus_id) AS chunk_count FROM corpora x", "pages_")
+def c12_chunk_set_rows(t: Tables) -> DataFrame:
+    return _chunk_set(t)[1].select("corpus_id", "status", F.col("chunk_set_id").isNotNull().alias("has_id"), "chunk_count")
 
 
 # --- sources -----------------------------------------------------------------------------------------------------
@@ -350,9 +380,17 @@ def d1_embedding_input(t: Tables) -> DataFrame:
     return t["documents"].select("doc_id", F.md5(vectors.embedding_input(F.col("text"), model, "document")).alias("input"))
 
 
-@query()
+#: The hashing embedder in SQL: the last 6 of the first 64 bits of a word's SHA-256 are its place, the first one its sign.
+EMBEDDED = r"""ew AS (SELECT doc_id, sha256(unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS h FROM documents),
+en AS (SELECT doc_id, CAST(('0x' || substr(h, 15, 2)) AS BIGINT) % 64 AS place, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM ew GROUP BY 1, 2),
+el AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm, map_from_entries(list((place, n))) AS own FROM en GROUP BY 1),
+embedded AS (SELECT d.doc_id, list_transform(range(64), lambda i: CAST(CASE WHEN coalesce(norm, 0) = 0 THEN 0 ELSE coalesce(own[i], 0) / norm END AS FLOAT)) AS embedding FROM documents d LEFT JOIN el ON el.doc_id = d.doc_id)
+"""
+
+
+@query("WITH " + EMBEDDED + "SELECT * FROM embedded")
 def d2_embeddings(t: Tables) -> DataFrame:
-    return vectors.embed(t["benchmark"].select("item_id", "text"), vectors.hashing_embedder())
+    return vectors.embed(t["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vectors.hashing_embedder()).select("doc_id", "embedding")
 
 
 @query("SELECT vec_id, CASE label WHEN 0 THEN 'empty_vector' WHEN 1 THEN 'wrong_dimensions' WHEN 2 THEN 'not_finite' END AS reject_code FROM embeddings")
@@ -374,9 +412,11 @@ def d5_vector_metadata(t: Tables) -> DataFrame:
     return t["docs"].select("id", F.to_json(meta).alias("metadata"))
 
 
-@query("SELECT id, sha256('{\"chunk_set_fingerprint\":\"' || parse_id || '\",\"chunk_set_id\":\"' || id || '\",\"dimensions\":64,\"metric\":\"cosine\",\"model\":\"' || lang || '\",\"policy_version\":\"1\",\"provider\":\"local\",\"store\":\"table\"}') AS fingerprint FROM docs", "docs")
+@query("SELECT id, sha256('{\"adapter\":\"local\",\"adapter_version\":\"1\",\"chunk_set_fingerprint\":\"' || parse_id || '\",\"chunk_set_id\":\"' || id || '\",\"dimensions\":64,\"metric\":\"cosine\",\"model\":' || coalesce('\"' || lang || '\"', 'null') || ',\"policy_version\":\"1\",\"provider\":\"local\",\"provider_model\":null,\"provider_revision\":' || CASE WHEN lang = 'en' THEN '\"' || corpus_id || '\"' ELSE 'null' END || ',\"store\":\"table\",\"store_version\":\"1\"}') AS fingerprint FROM docs", "docs")
 def d6_index_fingerprints(t: Tables) -> DataFrame:
-    return t["docs"].select("id", vectors.vector_index_fingerprint(F.col("id"), F.col("parse_id"), model=F.col("lang"), dimensions=F.lit(64)).alias("fingerprint"))
+    revision = F.when(F.col("lang") == "en", F.col("corpus_id"))
+    found = vectors.vector_index_fingerprint(F.col("id"), F.col("parse_id"), model=F.col("lang"), dimensions=F.lit(64), provider_revision=revision)
+    return t["docs"].select("id", found.alias("fingerprint"))
 
 
 @query("SELECT id, CASE WHEN lang = 'de' THEN 'index_not_ready' WHEN lang = 'fr' THEN 'model_mismatch' WHEN length(text) % 3 = 0 THEN 'query_width_mismatch' END AS reject_code FROM docs", "docs")

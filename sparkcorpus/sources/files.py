@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, universal_newlines
@@ -97,7 +99,15 @@ def parse_question_sets(raw: DataFrame) -> DataFrame:
     known = F.array(*map(F.lit, ("question", "reference_answer", "relevant_documents")))
     unknown = F.coalesce(F.exists(items, lambda x: F.coalesce(F.size(F.array_except(F.json_object_keys(x), known)) > 0, F.lit(True))), F.lit(False)) | ~F.coalesce(F.array_except(F.json_object_keys("text"), F.array(F.lit("examples"))) == F.array().cast("array<string>"), F.lit(False))
     examples = root["examples"]
-    error = F.when(F.col("length") > MAX_FILE_BYTES, "file_too_large").when(~F.is_valid_utf8("text"), "bad_encoding").when(F.try_parse_json("text").isNull(), "bad_json").when(unknown, "unknown_field").when(F.coalesce(F.size(examples), F.lit(0)) < 1, "no_examples").when(F.exists(examples, lambda e: is_blank(e["question"])), "blank_question")
+    # values are texts, the answer may be null, and documents are a list of texts if they are there
+    kind = lambda x, path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), path, "variant"))
+    has = lambda x, name: F.coalesce(F.array_contains(F.json_object_keys(x), name), F.lit(False))
+    odd = lambda x: (
+        ~F.coalesce(kind(x, "$.question") == "STRING", F.lit(False))
+        | (has(x, "reference_answer") & ~F.coalesce(kind(x, "$.reference_answer").isin("STRING", "VOID"), F.lit(False)))
+        | (has(x, "relevant_documents") & ~F.coalesce(kind(x, "$.relevant_documents").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)))
+    )
+    error = F.when(F.col("length") > MAX_FILE_BYTES, "file_too_large").when(~F.is_valid_utf8("text"), "bad_encoding").when(F.try_parse_json("text").isNull(), "bad_json").when(unknown, "unknown_field").when(F.exists(items, odd), "wrong_type").when(F.coalesce(F.size(examples), F.lit(0)) < 1, "no_examples").when(F.exists(examples, lambda e: is_blank(e["question"])), "blank_question")
     rows = raw.select("file", error.alias("error"), examples.alias("examples"))
     good = rows.where("error is null").select("file", F.posexplode("examples").alias("ordinal", "e")).select("file", "ordinal", "e.*", F.lit(None).cast("string").alias("error"))
     bad = rows.where("error is not null").select("file", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("reference_answer"), F.lit(None).cast("array<string>").alias("relevant_documents"), "error")
@@ -111,21 +121,36 @@ def write_artifact(df: DataFrame, path: str, artifact_id: str, manifest: dict[st
     if known is not None and not known.where(F.col("fingerprint") == fingerprint).isEmpty():
         return False
     target = f"{path}/rows/artifact_id={artifact_id}"
-    df.write.mode("overwrite").parquet(target)
-    count = spark.read.parquet(target).count()
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(target)
+    count = spark.read.schema(df.schema).parquet(target).count()
+    if count != seen.get["rows"]:
+        raise RuntimeError(f"{count} rows are there of {seen.get['rows']} that were written")
     row = {**manifest, "artifact_id": artifact_id, "row_count": str(count), "status": "ready"}
-    spark.createDataFrame([tuple(row.values())], [*row]).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return True
+    # the manifest row of a fingerprint is a folder of its own: of two writers, the second one finds it there
+    attempt = f"{path}/attempts/{uuid.uuid4().hex}"
+    spark.createDataFrame([tuple(row.values())], [*row]).coalesce(1).write.parquet(attempt)
+    name = hashlib.sha256(fingerprint.encode()).hexdigest()
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target = place(f"{path}/manifest/print={name}")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(target.getParent())
+    if store.exists(target):
+        return False
+    store.rename(place(attempt), target)
+    inside = place(f"{path}/manifest/print={name}/{attempt.rpartition('/')[2]}")  # a rename beside another one ends here
+    return not (store.exists(inside) and store.delete(inside, True))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/manifest") if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else None
+    return spark.read.parquet(f"{path}/manifest").drop("print") if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else None
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the artifacts that have a manifest row; others aren't visible."""
-    return spark.read.parquet(f"{path}/rows").join(read_manifest(spark, path).select("artifact_id"), "artifact_id", "left_semi")
+    """Rows of the artifacts that have a manifest row; others aren't visible. Fails if nothing was ever written."""
+    rows, manifest = spark.read.parquet(f"{path}/rows"), read_manifest(spark, path)
+    return rows.limit(0) if manifest is None else rows.join(manifest.select("artifact_id"), "artifact_id", "left_semi")
 
 
 def export_runs(runs: DataFrame, path: str) -> None:
