@@ -66,7 +66,8 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
                     marks = np.concatenate([_sized(h, ANY_SIZE), _sized(h, z - a)])
                     rows.append((i, z - a, np.uint64(majority(bit_sums(h), len(h))).astype(np.int64), _numbered(h).view(np.int64), marks.view(np.int64)))
             at, size, fp, sets, marks = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.record_batch({"item_id": part.column("id").take(pa.array(at, pa.int64())), "size": pa.array(size, pa.int32()), "fp": pa.array(fp, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64())), "marks": pa.array(marks, pa.list_(pa.int64()))})
+            yield pa.record_batch({"item_id": part.column("id").take(pa.array(at, pa.int64())), "size": pa.array(size, pa.int32()),
+                "fp": pa.array(fp, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64())), "marks": pa.array(marks, pa.list_(pa.int64()))})
 
     narrow = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, f"item_id {narrow.schema['id'].dataType.simpleString()}, size int, fp long, shingles array<long>, marks array<long>")
@@ -77,7 +78,9 @@ def bit_table(items: DataFrame, most: int = 29) -> np.ndarray:
     marks = items.select(F.explode("marks").alias("m"))
     bits = bits_for(marks.count(), 16, most)
     slot = F.shiftrightunsigned("m", 64 - bits)
-    words = marks.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(63).cast("int").alias("b")).distinct().groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("v")).toArrow()
+    words = marks.select(F.shiftright(slot, 6).alias("w"),
+        slot.bitwiseAND(63).cast("int").alias("b")).distinct().groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"),
+        F.col("b"))).alias("v")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return table.view(np.uint64)
@@ -97,7 +100,8 @@ def _starts(hits: np.ndarray, first: int, last: int, width: int, need: int) -> n
     return np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n))
 
 
-def windows(docs: DataFrame, table: np.ndarray, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def windows(docs: DataFrame, table: np.ndarray, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+    similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, start, size, fp, shingles): windows that may be similar to an item of `size` words."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -128,7 +132,8 @@ def windows(docs: DataFrame, table: np.ndarray, sizes: list[int], id_col: str =
                         seen[key] = np.uint64(majority(bit_sums(own[start : start + width]), width)).astype(np.int64)
                     rows.append((i, start, size, seen[key], shingles.view(np.int64)))
             at_row, start, size, fp, sets = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.record_batch({"doc_id": part.column("id").take(pa.array(at_row, pa.int64())), "start": pa.array(start, pa.int64()), "size": pa.array(size, pa.int32()), "fp": pa.array(fp, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": part.column("id").take(pa.array(at_row, pa.int64())), "start": pa.array(start, pa.int64()),
+                "size": pa.array(size, pa.int32()), "fp": pa.array(fp, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['id'].dataType.simpleString()}, start long, size int, fp long, shingles array<long>")
@@ -147,13 +152,16 @@ def candidates(queries: DataFrame, items: DataFrame, radius: int = RADIUS, block
     flips = [[sum(1 << b for b in c) for n in range(near + 1) for c in combinations(range(width), n)] for _, width in _blocks(blocks)]
     listed = lambda j, own, masks: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(j).alias("j"), own.bitwiseXOR(m).alias("v")))
     keys = [listed(j, value(*cut), masks) for j, (cut, masks) in enumerate(zip(_blocks(blocks), flips, strict=True))]
-    right = items.select(*(F.col(c).alias(f"item_{c}" if not c.startswith("item_") else c) for c in items.columns), F.explode(F.flatten(F.array(*keys))).alias("b")).select("*", F.col("b.j").alias("item_j"), F.col("b.v").alias("item_v")).drop("b")
-    left = queries.withColumn("b", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), value(*cut).alias("v")) for j, cut in enumerate(_blocks(blocks)))))).select("*", "b.j", "b.v").drop("b")
+    right = items.select(*(F.col(c).alias(f"item_{c}" if not c.startswith("item_") else c) for c in items.columns),
+        F.explode(F.flatten(F.array(*keys))).alias("b")).select("*", F.col("b.j").alias("item_j"), F.col("b.v").alias("item_v")).drop("b")
+    left = queries.withColumn("b", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), value(*cut).alias("v")) for j,
+        cut in enumerate(_blocks(blocks)))))).select("*", "b.j", "b.v").drop("b")
     pairs = left.join(right, (F.col("size") == F.col("item_size")) & (F.col("j") == F.col("item_j")) & (F.col("v") == F.col("item_v")))
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("j", "v", "item_j", "item_v")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, item_id, similarity, start, n_windows): the best similarity, the first word of the first window that has it, and how many windows are leaks."""
     known = materialize(item_shingles(items, item_col, item_text_col))
     sizes = [r[0] for r in known.select("size").distinct().orderBy("size").collect()]  # lengths of items in words, few
@@ -162,9 +170,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     texts = known.groupBy("size", "fp", "shingles").agg(F.min("item_id").alias("item"), F.xxhash64(F.first("shingles")).alias("set")).drop("item")
     pairs = candidates(distinct, texts, radius).dropDuplicates(["size", "fp", "key", "item_set"])
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
-    exact = pairs.withColumn("similarity", 2.0 * shared / (F.size("shingles") + F.size("item_shingles"))).where(F.col("similarity") >= similarity - 1e-9).select("size", "fp", "key", "item_set", "similarity")
+    exact = pairs.withColumn("similarity",
+        2.0 * shared / (F.size("shingles") + F.size("item_shingles"))).where(F.col("similarity") >= similarity - 1e-9).select("size", "fp",
+        "key", "item_set", "similarity")
     names = known.select("item_id", F.xxhash64("shingles").alias("item_set"))
-    at = found.select("doc_id", "start", "size", "fp", "key").join(exact, ["size", "fp", "key"]).groupBy("doc_id", "item_set").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"), F.count("*").alias("n_windows"))
+    at = found.select("doc_id", "start", "size", "fp", "key").join(exact, ["size", "fp", "key"]).groupBy("doc_id",
+        "item_set").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"), F.count("*").alias("n_windows"))
     return at.join(names, "item_set").select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), "n_windows")
 
 

@@ -85,7 +85,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, classes: int, dims: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, batch: int = 16, seed: int = 0) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, classes: int, dims: int, alpha: float = 0.5, beta: float = 1.0,
+    l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, batch: int = 16, seed: int = 0) -> np.ndarray:
     """Weights (dims, classes) by FTRL-proximal over mini-batches of sparse rows (features, values)."""
     z, n = np.zeros((dims, classes)), np.zeros((dims, classes))
 
@@ -118,12 +119,14 @@ def temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(min(grid, key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(label)), label], 1e-12)).mean()))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS, id_col: str | None = None) -> dict | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, bits: int = BITS,
+    id_col: str | None = None) -> dict | None:
     """Model from the rows of docs with a language, all of which are training rows.
 
     Refuses over MOST_LANGUAGES languages: counts, model and broadcast have a place for each of them.
     """
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), (F.lit(0) if id_col is None else F.col(f"`{id_col}`")).alias("id"))
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"),
+        (F.lit(0) if id_col is None else F.col(f"`{id_col}`")).alias("id"))
     counts = {r.lang: r.texts for r in rows.groupBy("lang").agg(F.count("text").alias("texts")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -140,7 +143,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
             feature, row = ngrams(part.column("text").to_pylist(), bits)
             pair, count = np.unique((row.astype(np.int64) << bits) | feature, return_counts=True)
             ends = np.searchsorted(pair, np.arange(part.num_rows + 1) << bits)
-            yield pa.record_batch({"lang": part.column("lang"), "f": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(count, pa.int32())), "copies": part.column("copies")})
+            yield pa.record_batch({"lang": part.column("lang"), "f": pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                pa.array(pair & ((1 << bits) - 1), pa.int32())), "n": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(count,
+                pa.int32())), "copies": part.column("copies")})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, label, copies = [], [], []
@@ -185,7 +190,8 @@ def predict(docs: DataFrame, model: dict | None, keep: list[Column], text_col: s
             if m is not None:
                 feature, row = ngrams(part.column(text).to_pylist(), m["bits"])
                 total = np.bincount(row, minlength=n)
-                logits = np.stack([np.bincount(row, m["weights"][feature, k], minlength=n) for k in range(len(m["langs"]))], axis=1) / np.maximum(total, 1)[:, None]
+                logits = np.stack([np.bincount(row, m["weights"][feature, k], minlength=n) for k in range(len(m["langs"]))],
+                    axis=1) / np.maximum(total, 1)[:, None]
                 p = softmax(logits / m["temperature"])
                 has = total > 0
                 lang[has], score[has] = np.array(m["langs"], object)[p.argmax(axis=1)][has], p.max(axis=1)[has]

@@ -50,10 +50,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     rising = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("left", share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    each = each.withColumn("left", share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before),
+        F.lit(0.0))).withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     # from the first source on that isn't capped, every source gets this level for its weight
-    each = each.withColumn("level", F.min(F.when(F.col("cap") * F.col("w_left") >= F.col("left") * F.col("w"), F.struct(F.col("cap") / F.col("w"), F.col("left") / F.col("w_left")))).over(every))
-    return each.select("source", "n_docs", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level.col2") * F.col("w"))).alias("target"))
+    each = each.withColumn("level", F.min(F.when(F.col("cap") * F.col("w_left") >= F.col("left") * F.col("w"),
+        F.struct(F.col("cap") / F.col("w"), F.col("left") / F.col("w_left")))).over(every))
+    return each.select("source", "n_docs", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap",
+        F.col("level.col2") * F.col("w"))).alias("target"))
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None) -> DataFrame:
@@ -101,7 +104,8 @@ def _small(table: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None,
+    weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Rows (id, h, size, source_size, target, taken) for all rows of docs."""
     sizes = materialize(sizes_of(docs, id_col, text_col, source_col, quality))
     return mix(sizes, materialize(source_targets(sizes, weights, share, most)), seed)
@@ -113,7 +117,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wholes = F.round(F.col("taken") / F.col("size"))
     of, at, copies, rows, text, each, again = fresh(docs, "of", "at", "copies", "rows", "text", "each", "again")
     shares = taken.groupBy(F.col("id").alias(of), F.col("h").alias(at)).agg(F.sum(wholes).alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
-    mine = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(each, F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
+    mine = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(each,
+        F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
     found = mine.join(shares.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(text) == F.col(at)))
     share = F.col(copies) / F.col(rows)
     times = (F.floor(share) + F.when(F.col(each) < share - F.floor(share), 1).otherwise(0)).cast("int")

@@ -165,7 +165,8 @@ def links(codes: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> Data
     if node_size < 64:
         raise ValueError("small nodes need very many masks; 64 is the least node size")
     masks, out = _split_mask(0, radius + 1), None
-    nodes = codes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("n")).select("n.path", "n.key", "fp")
+    nodes = codes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("path"),
+        F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("n")).select("n.path", "n.key", "fp")
     while True:
         counted = nodes.groupBy("path", "key").count().where("count > 1")
         nodes = materialize(nodes.join(counted, ["path", "key"]))
@@ -180,7 +181,8 @@ def links(codes: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> Data
         table = F.array(*(F.array(*(F.lit(_signed(x)) for x in p)) for p in parts))
         masks = [x for p in parts for x in (*p, *p[-1:] * (width - len(p)))]
         child = F.posexplode(F.element_at(table, F.col("path") + 1)).alias("j", "m")
-        nodes = large.select("path", "fp", child).select((F.col("path") * width + F.col("j")).alias("path"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
+        nodes = large.select("path", "fp", child).select((F.col("path") * width + F.col("j")).alias("path"),
+            F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
 
 
 def components(prints: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> DataFrame:

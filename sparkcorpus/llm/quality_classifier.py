@@ -120,7 +120,8 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([word[codes], form[codes], np.zeros(again.sum(), np.int64)]), np.concatenate([row, row, row[again]])
 
 
-def logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int = BITS, epochs: int = 6, batch: int = 32, rate: float = 1.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int = BITS, epochs: int = 6, batch: int = 32,
+    rate: float = 1.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept by AdaGrad on the cross-entropy to soft targets; rows are sparse (features, values)."""
     w, seen, b, seen_b = np.zeros(1 << bits), np.full(1 << bits, 1e-6), 0.0, 1e-6
     random = np.random.default_rng(0)
@@ -140,7 +141,8 @@ def logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits
     return w, float(b)
 
 
-def train(rows: DataFrame, posterior: dict[int, float], n: int, sample: int = SAMPLE, bits: int = BITS, labellers: Sequence[Labeller] = LABELLERS) -> tuple[np.ndarray, float]:
+def train(rows: DataFrame, posterior: dict[int, float], n: int, sample: int = SAMPLE, bits: int = BITS,
+    labellers: Sequence[Labeller] = LABELLERS) -> tuple[np.ndarray, float]:
     """Scorer from rows (id, text), of whose n texts `sample` are used at most. posterior: by the number of the votes."""
     picked = sampled(rows, F.lit(min(1.0, sample / max(n, 1))), sample).withColumn("votes", votes_code(F.col("text"), labellers))
 
@@ -172,14 +174,16 @@ def train(rows: DataFrame, posterior: dict[int, float], n: int, sample: int = SA
     return model["w"], float(model["b"])
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labellers: Sequence[Labeller] = LABELLERS, sample: int = SAMPLE, bits: int = BITS, least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labellers: Sequence[Labeller] = LABELLERS, sample: int = SAMPLE,
+    bits: int = BITS, least: float = 0.5) -> DataFrame:
     """Rows (id, weak_label, score, kept), one for each row of docs: posterior of the votes, score of the text, and
     whether the document counts as good.
 
     The votes are kept between the two passes over the texts, a number for each id and text, and joined with the scores.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    votes = materialize(rows.select("id", F.xxhash64("text").alias("h"), F.col("text").isNotNull().alias("has"), votes_code(F.col("text"), labellers).alias("votes")))
+    votes = materialize(rows.select("id", F.xxhash64("text").alias("h"), F.col("text").isNotNull().alias("has"),
+        votes_code(F.col("text"), labellers).alias("votes")))
     patterns = votes.groupBy("votes").agg(F.count("*").alias("count"), F.count_if("has").alias("texts")).collect()  # 3 ** labellers at most
     schema = f"id {rows.schema['id'].dataType.simpleString()}, weak_label double, score double, kept boolean"
     if not patterns:

@@ -96,8 +96,10 @@ def _repeated(hashes: Column) -> Column:
 
     def positions(near: Column, bits: Column) -> Column:
         at = F.transform(near, lambda x: (x - F.call_function("shiftleft", place(x, bits), bits)).cast("int"))
-        full = F.transform(near, lambda x, k: F.struct(place(x, bits).alias("p"), F.get(hashes, (x - F.call_function("shiftleft", place(x, bits), bits)).cast("int")).alias("h")))
-        differ = lambda pairs: F.exists(F.transform(pairs, lambda x, k: F.coalesce((F.get(pairs, k - 1)["p"] == x["p"]) & (F.get(pairs, k - 1)["h"] != x["h"]), no)), lambda x: x)
+        full = F.transform(near, lambda x, k: F.struct(place(x, bits).alias("p"), F.get(hashes, (x - F.call_function("shiftleft", place(x, bits),
+            bits)).cast("int")).alias("h")))
+        differ = lambda pairs: F.exists(F.transform(pairs, lambda x, k: F.coalesce((F.get(pairs, k - 1)["p"] == x["p"]) & (F.get(pairs,
+            k - 1)["h"] != x["h"]), no)), lambda x: x)
         return F.when(let(full, differ), by_pairs()).otherwise(F.sort_array(at))
 
     def by_pairs() -> Column:
@@ -121,7 +123,8 @@ def statistics(text: Column) -> Column:
     """
     stop = sorted({x for w in STOP_WORDS.split() for x in (w, w.capitalize())})
     body = F.coalesce(text, F.lit(""))
-    positions = lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _repeated(hashes)).otherwise(F.array().cast("array<int>"))
+    positions = lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes),
+        _repeated(hashes)).otherwise(F.array().cast("array<int>"))
     repeats = lambda words: let(let(_windows(words), positions), _covered)
 
     def counts(words: Column, lines: Column) -> dict[str, Column]:
@@ -157,7 +160,8 @@ def statistics(text: Column) -> Column:
 def verdict(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     """The statistics with base_failed, failed_rules (names) and kept."""
     rules = (*BASE_RULES, *rules)
-    return let(statistics(text), lambda q: F.struct(*(q[k].alias(k) for k in (*COUNTS, *RATIOS)), fails(BASE_RULES, q).alias("base_failed"), failed_names(rules, q).alias("failed_rules"), (~fails(rules, q)).alias("kept")))
+    return let(statistics(text), lambda q: F.struct(*(q[k].alias(k) for k in (*COUNTS, *RATIOS)), fails(BASE_RULES, q).alias("base_failed"),
+        failed_names(rules, q).alias("failed_rules"), (~fails(rules, q)).alias("kept")))
 
 
 def judge(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text", into: str = "quality") -> DataFrame:

@@ -43,7 +43,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+    return quality_rules.judge(docs).select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept")))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Rows (id, weight) from labels: good documents weigh 2, bad ones 0.5."""
-    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.avg("quality") >= 0.5, 2.0).otherwise(0.5).alias("weight"))
+    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.avg("quality") >= 0.5,
+        2.0).otherwise(0.5).alias("weight"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                 rows.append((hashlib.sha256(listed([x[:3] for x in own]).encode()).hexdigest(), base, more, xxhash.xxh64_intdigest(text) - (1 << 63)))
             sha, base, more, row = zip(*rows, strict=True)
             spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
-            yield pa.record_batch({"id": part.column("id"), "row": pa.array(row, pa.int64()), "owner": part.column("owner"), "repo": part.column("repo")} | {f"n_{k}": pa.array(v, pa.int64()) for k, v in n.items()} | {"base_sha256": pa.array(sha), "base": pa.array(base, spans), "more": pa.array(more, spans)})
+            yield pa.record_batch({"id": part.column("id"), "row": pa.array(row, pa.int64()), "owner": part.column("owner"),
+                "repo": part.column("repo")} | {f"n_{k}": pa.array(v, pa.int64()) for k, v in n.items()} | {"base_sha256": pa.array(sha),
+                "base": pa.array(base, spans), "more": pa.array(more, spans)})
 
     named = lambda c: F.coalesce((c if isinstance(c, Column) else F.col(f"`{c}`")).cast("string"), F.lit(""))
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), named(owner_col).alias("owner"), named(repo_col).alias("repo"))
@@ -116,14 +118,16 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_copies"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | Column = "source", repo_col: str | Column = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, live_repos: int = LIVE_REPOS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | Column = "source",
+    repo_col: str | Column = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """Rows (id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples), one for each row of docs.
 
     spans: structs with start, end, kind, verdict (live, shared or example), n_owners, n_repos and n_copies, by start and
     then kind. Candidates are in it if they are live.
     """
     scanned = materialize(scan(docs, id_col, text_col, owner_col, repo_col))
-    used = scanned.where("size(base) + size(more) > 0").select("id", "row", F.explode(F.concat("base", "more")).alias("s")).select("id", "row", "s.*").distinct()
+    used = scanned.where("size(base) + size(more) > 0").select("id", "row", F.explode(F.concat("base", "more")).alias("s")).select("id", "row",
+        "s.*").distinct()
     example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     live = (F.col("n_owners") == 1) & (F.col("n_repos") <= live_repos)
     verdict = F.when(example, "example").when(live, "live").otherwise("shared")

@@ -37,11 +37,13 @@ VERSIONS: Mapping[str, Callable[[Column], Column]] = {
 }
 
 
-def counted(docs: DataFrame, versions: Mapping[str, Callable[[Column], Column]] = VERSIONS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def counted(docs: DataFrame, versions: Mapping[str, Callable[[Column], Column]] = VERSIONS, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Rows (id, source, lang, tokenizer, tokens): one for each document and tokenizer version."""
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), f(body).cast("long").alias("tokens")) for name, f in versions.items()))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"), F.explode(each).alias("c")).select("id", "source", "lang", "c.*")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"),
+        F.explode(each).alias("c")).select("id", "source", "lang", "c.*")
 
 
 def inserts(rows: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def tokenizer_of(path: str):
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: How a tokenizer of this kind describes itself: it drops white space and marks the ends of words. Fixed values.
 WORD_KIND = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
         {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
@@ -188,7 +189,8 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: int, id_col: str = "
             n = len(ends) - 1
             packed = np.insert(ids, ends[1:], end_id).astype(kind)
             cut = (ends + np.arange(n + 1)) * width
-            yield pa.record_batch({"id": part.column("id"), "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())})
+            yield pa.record_batch({"id": part.column("id"), "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None,
+                pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())})
 
     narrow = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, "id long, ids binary")
@@ -210,7 +212,8 @@ def part_bounds(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = P
     return sorted(set(cuts))
 
 
-def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+    part_bytes: int = PART_BYTES) -> DataFrame:
     """Write the parts under the URI `folder`; rows (part, n_docs, n_ids, base), one for each file."""
     width = 2 if tokenizer_of(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     bounds = part_bounds(docs, id_col, text_col, part_bytes)
@@ -228,7 +231,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
         def close() -> pa.RecordBatch:
             part, out, name, ids, ends = held
             out.close()
-            index = MAGIC + np.array([width], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes() + np.array([0, *ends], "<u8").tobytes() + np.array(ids, "<i8").tobytes()
+            index = MAGIC + np.array([width], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes() + np.array([0, *ends],
+                "<u8").tobytes() + np.array(ids, "<i8").tobytes()
             with store.open_output_stream(f"{name}.idx") as f:
                 f.write(index)
             for kind in ("bin", "idx"):
@@ -236,7 +240,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
                 if store.get_file_info(target).type != pyarrow.fs.FileType.NotFound:  # of an attempt before; some stores refuse to replace
                     store.delete_file(target)
                 store.move(f"{name}.{kind}", target)
-            return pa.record_batch({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([ends[-1]], pa.int64())})
+            return pa.record_batch({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()),
+                "n_ids": pa.array([ends[-1]], pa.int64())})
 
         for b in batches:
             for part, doc, ids in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("ids"), strict=True):
@@ -254,7 +259,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
 
     rows = encoded(docs, path, end_id, width, id_col, text_col).mapInArrow(part_of, "part int, id long, ids binary")
     # one part is one task
-    totals = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "ids").mapInArrow(write, "part int, n_docs long, n_ids long")
+    totals = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "ids").mapInArrow(write,
+        "part int, n_docs long, n_ids long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return materialize(totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
 
@@ -283,7 +289,8 @@ def read_files(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
             for part, base in zip(b.column("part").to_pylist(), b.column("base").to_pylist(), strict=True):
                 docs, ends, ids = read_part(store, root, part)
                 crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends, ends[1:], strict=False)]
-                yield pa.record_batch({"doc_id": pa.array(docs, mask=docs == NO_ID), "start": pa.array(base + ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.record_batch({"doc_id": pa.array(docs, mask=docs == NO_ID), "start": pa.array(base + ends[:-1]),
+                    "n_tokens": pa.array(np.diff(ends)), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = max(1, parts.count())
     return parts.select("part", "base").repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
