@@ -31,29 +31,37 @@ def _json(kind: str | None, *columns: str) -> dict[str, str]:
 #: Checks of the data model by table: name -> SQL expression that holds for a good row. Fixed values.
 RULES: dict[str, dict[str, str]] = {
     "document": _from(0, "size_bytes"),
-    "document_parse": _text("normalized_text", "parser_name", "parser_version") | _from(1, "utf8_size_bytes", "character_count") | _from(0, "page_count", "block_count", "duration_ms")
+    "document_parse": _text("normalized_text", "parser_name", "parser_version") | _from(1, "utf8_size_bytes", "character_count") | _from(0,
+        "page_count", "block_count", "duration_ms")
     | _json("{", "document_metadata_json") | _json("[", "warnings_json"),
     "parsed_page": _from(1, "page_number") | _CHARACTERS | _json("{", "metadata_json"),
     "parsed_block": _from(0, "ordinal", "source_block_index") | _CHARACTERS | _json("{", "metadata_json") | _json(None, "bounding_box_json"),
     "chunk_set": {"status": "status in ('pending', 'running', 'ready', 'failed')"} | _from(0, "chunk_count", "duration_ms"),
-    "chunk": _from(0, "ordinal", "token_start_offset") | _from(1, "page_start") | _CHARACTERS | {"tokens": "token_end_offset >= token_start_offset", "pages": "page_end >= page_start"},
-    "vector_index": _text("provider", "model") | _from(1, "dimensions", "vector_count") | _from(0, "duration_ms") | {"metric": _METRIC, "status": "status = 'ready'"} | _json("{", "embedding_config_json"),
-    "prepared_index": _text("name") | _from(0, "chunking_duration_ms", "embedding_duration_ms", "duration_ms") | _json("{", "effective_config_json", "error_details_json") | {
-        "name_length": "length(name) <= 100", "status": "status in ('pending', 'running', 'ready', 'failed')", "stage": "current_stage in ('chunking', 'embedding')",
+    "chunk": _from(0, "ordinal", "token_start_offset") | _from(1,
+        "page_start") | _CHARACTERS | {"tokens": "token_end_offset >= token_start_offset", "pages": "page_end >= page_start"},
+    "vector_index": _text("provider", "model") | _from(1, "dimensions", "vector_count") | _from(0, "duration_ms") | {"metric": _METRIC,
+        "status": "status = 'ready'"} | _json("{", "embedding_config_json"),
+    "prepared_index": _text("name") | _from(0, "chunking_duration_ms", "embedding_duration_ms", "duration_ms") | _json("{",
+        "effective_config_json", "error_details_json") | {
+        "name_length": "length(name) <= 100", "status": "status in ('pending', 'running', 'ready', 'failed')",
+            "stage": "current_stage in ('chunking', 'embedding')",
         "running": "status <> 'running' or (started_at is not null and current_stage is not null)",
         "ready": "status <> 'ready' or (chunk_set_id is not null and vector_index_id is not null and chunk_set_reused is not null and vector_index_reused is not null"
         " and chunking_duration_ms is not null and embedding_duration_ms is not null and current_stage is null and started_at is not null and completed_at is not null and duration_ms is not null)",
         "failed": "status <> 'failed' or (current_stage is null and started_at is not null and completed_at is not null and duration_ms is not null and error_code is not null)",
     },
-    "evaluation_dataset": _text("name", "source_filename") | {"name_length": "length(name) <= 100", "sha256": "length(source_sha256) = 64"} | _json("[", "import_warnings_json"),
+    "evaluation_dataset": _text("name", "source_filename") | {"name_length": "length(name) <= 100",
+        "sha256": "length(source_sha256) = 64"} | _json("[", "import_warnings_json"),
     "evaluation_example": _from(0, "ordinal") | _text("question"),
     "benchmark_run": _from(1, "total_examples") | _from(0, "completed_examples", "duration_ms") | _json("{", "effective_config_json", "error_details_json")
     | {"status": _STATUS, "stage": "current_stage in ('retrieval', 'generation')", "progress": "completed_examples <= total_examples"},
     "benchmark_example_run": _from(0, "ordinal", "retrieval_duration_ms", "generation_duration_ms", "duration_ms") | _json("{", "error_details_json")
     | {"status": _STATUS, "stage": "current_stage in ('retrieval', 'generation')"},
-    "benchmark_retrieval_result": _from(1, "requested_top_k") | _from(0, "duration_ms") | {"returned": "returned_count between 0 and requested_top_k", "metric": _METRIC},
+    "benchmark_retrieval_result": _from(1, "requested_top_k") | _from(0,
+        "duration_ms") | {"returned": "returned_count between 0 and requested_top_k", "metric": _METRIC},
     "benchmark_retrieved_chunk": _from(1, "rank"),
-    "benchmark_generation_result": _text("provider", "model", "answer_text", "finish_reason") | _from(0, "prompt_tokens", "completion_tokens", "total_tokens", "duration_ms") | _json(None, "generation_config_json"),
+    "benchmark_generation_result": _text("provider", "model", "answer_text", "finish_reason") | _from(0, "prompt_tokens", "completion_tokens",
+        "total_tokens", "duration_ms") | _json(None, "generation_config_json"),
     "benchmark_generation_context_chunk": _from(1, "ordinal", "retrieval_rank"),
     "retrieval_evaluation": {"status": _STATUS} | _json(None, "config_json", "aggregate_json", "coverage_json"),
     "retrieval_evaluation_question": _json(None, "result_json"),
@@ -61,8 +69,10 @@ RULES: dict[str, dict[str, str]] = {
 
 #: References of the data model: (child, child column, parent), to the parent's id, or by the columns given. Fixed values.
 REFERENCES: tuple[tuple[str, dict[str, str], str], ...] = tuple((child, {column: "id"}, parent) for child, column, parent in (
-    ("document", "corpus_id", "corpus"), ("document_parse", "document_id", "document"), ("parsed_page", "parse_id", "document_parse"), ("parsed_block", "parse_id", "document_parse"),
-    ("chunk_set", "corpus_id", "corpus"), ("chunk", "chunk_set_id", "chunk_set"), ("chunk", "source_document_id", "document"), ("vector_index", "chunk_set_id", "chunk_set"),
+    ("document", "corpus_id", "corpus"), ("document_parse", "document_id", "document"), ("parsed_page", "parse_id", "document_parse"),
+        ("parsed_block", "parse_id", "document_parse"),
+    ("chunk_set", "corpus_id", "corpus"), ("chunk", "chunk_set_id", "chunk_set"), ("chunk", "source_document_id", "document"),
+        ("vector_index", "chunk_set_id", "chunk_set"),
     ("prepared_index", "corpus_id", "corpus"), ("prepared_index", "chunk_set_id", "chunk_set"), ("prepared_index", "vector_index_id", "vector_index"),
     ("evaluation_dataset", "corpus_id", "corpus"), ("evaluation_example", "dataset_id", "evaluation_dataset"),
     ("evaluation_example_relevant_document", "example_id", "evaluation_example"), ("evaluation_example_relevant_document", "document_id", "document"),
@@ -71,9 +81,11 @@ REFERENCES: tuple[tuple[str, dict[str, str], str], ...] = tuple((child, {column:
     ("benchmark_example_run", "benchmark_run_id", "benchmark_run"), ("benchmark_example_run", "evaluation_example_id", "evaluation_example"),
     ("benchmark_retrieval_result", "example_run_id", "benchmark_example_run"), ("benchmark_retrieval_result", "vector_index_id", "vector_index"),
     ("benchmark_retrieved_chunk", "retrieval_result_id", "benchmark_retrieval_result"), ("benchmark_retrieved_chunk", "chunk_id", "chunk"),
-    ("benchmark_generation_result", "example_run_id", "benchmark_example_run"), ("benchmark_generation_result", "retrieval_result_id", "benchmark_retrieval_result"),
+    ("benchmark_generation_result", "example_run_id", "benchmark_example_run"),
+        ("benchmark_generation_result", "retrieval_result_id", "benchmark_retrieval_result"),
     ("benchmark_generation_context_chunk", "generation_result_id", "benchmark_generation_result"),
-    ("retrieval_evaluation", "benchmark_run_id", "benchmark_run"), ("retrieval_evaluation_question", "evaluation_id", "retrieval_evaluation"), ("retrieval_evaluation_question", "example_id", "evaluation_example"),
+    ("retrieval_evaluation", "benchmark_run_id", "benchmark_run"), ("retrieval_evaluation_question", "evaluation_id", "retrieval_evaluation"),
+        ("retrieval_evaluation_question", "example_id", "evaluation_example"),
 )) + (
     ("parsed_block", {"page_id": "id", "parse_id": "parse_id"}, "parsed_page"),
     ("benchmark_generation_context_chunk", {"retrieval_result_id": "retrieval_result_id", "retrieval_rank": "rank"}, "benchmark_retrieved_chunk"),
@@ -81,12 +93,16 @@ REFERENCES: tuple[tuple[str, dict[str, str], str], ...] = tuple((child, {column:
 
 #: Unique keys of the data model besides `id`, by table. Fixed values.
 UNIQUE_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
-    "document": (("storage_path",),), "document_parse": (("document_id",),), "parsed_page": (("parse_id", "page_number"), ("id", "parse_id")), "parsed_block": (("parse_id", "ordinal"),),
+    "document": (("storage_path",),), "document_parse": (("document_id",),), "parsed_page": (("parse_id", "page_number"), ("id", "parse_id")),
+        "parsed_block": (("parse_id", "ordinal"),),
     "chunk_set": (("fingerprint",),), "chunk": (("chunk_set_id", "source_document_id", "ordinal"),), "vector_index": (("fingerprint",), ("collection_name",)),
     "evaluation_example": (("dataset_id", "ordinal"),), "evaluation_example_relevant_document": (("example_id", "document_id"),),
-    "benchmark_example_run": (("benchmark_run_id", "evaluation_example_id"), ("benchmark_run_id", "ordinal")), "benchmark_retrieval_result": (("example_run_id",),),
-    "benchmark_retrieved_chunk": (("retrieval_result_id", "rank"), ("retrieval_result_id", "chunk_id")), "benchmark_generation_result": (("example_run_id",), ("retrieval_result_id",)),
-    "benchmark_generation_context_chunk": (("generation_result_id", "ordinal"), ("generation_result_id", "retrieval_rank")), "retrieval_evaluation_question": (("evaluation_id", "example_id"),),
+    "benchmark_example_run": (("benchmark_run_id", "evaluation_example_id"), ("benchmark_run_id", "ordinal")),
+        "benchmark_retrieval_result": (("example_run_id",),),
+    "benchmark_retrieved_chunk": (("retrieval_result_id", "rank"), ("retrieval_result_id", "chunk_id")),
+        "benchmark_generation_result": (("example_run_id",), ("retrieval_result_id",)),
+    "benchmark_generation_context_chunk": (("generation_result_id", "ordinal"), ("generation_result_id", "retrieval_rank")),
+        "retrieval_evaluation_question": (("evaluation_id", "example_id"),),
 }
 
 

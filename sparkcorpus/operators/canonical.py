@@ -35,14 +35,16 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 def table_rows_to_blocks(cells: DataFrame) -> DataFrame:
     """Rows (document_id, table_index, row_index, text): the non-empty cells of a table row."""
     text = F.regexp_replace(strip(F.col("text")), "\n", " | ")
-    rows = cells.withColumn("text", text).groupBy("document_id", "table_index", "row_index").agg(_joined(("col_index",), "text", " | ", lambda x: x != "").alias("text"))
+    rows = cells.withColumn("text", text).groupBy("document_id", "table_index",
+        "row_index").agg(_joined(("col_index",), "text", " | ", lambda x: x != "").alias("text"))
     return rows.where("text <> ''")
 
 
 def page_text(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (document_id, page_number, text, has_blocks): blocks joined, or the page's own text where there is none."""
     own = blocks.withColumn("text", strip(F.col("text"))).where("text <> ''").groupBy(*_page).agg(_joined(("block_index",), "text", SEPARATOR).alias("joined"))
-    return pages.select(*_page, "text").join(own, [*_page], "left").select(*_page, F.coalesce("joined", "text").alias("text"), F.col("joined").isNotNull().alias("has_blocks"))
+    return pages.select(*_page, "text").join(own, [*_page], "left").select(*_page, F.coalesce("joined", "text").alias("text"),
+        F.col("joined").isNotNull().alias("has_blocks"))
 
 
 def canonical_text(texts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -71,7 +73,8 @@ def block_offsets(texts: DataFrame, blocks: DataFrame) -> DataFrame:
     local = F.sum(size).over(inside) + 2 * (F.count("*").over(inside) - 1)
     kept = kept.select(*_page, "block_index", "text", (local - size).alias("from"), local.alias("to"), (F.row_number().over(whole) - 1).alias("ordinal"))
     starts = page_offsets(texts).select(*_page, F.col("start").alias("page_start"))
-    return kept.join(starts, [*_page]).select(*_page, "block_index", "ordinal", (F.col("page_start") + F.col("from")).alias("start"), (F.col("page_start") + F.col("to")).alias("end"), "text")
+    return kept.join(starts, [*_page]).select(*_page, "block_index", "ordinal", (F.col("page_start") + F.col("from")).alias("start"),
+        (F.col("page_start") + F.col("to")).alias("end"), "text")
 
 
 def broken_json(parts: DataFrame, columns: Sequence[str] = ("metadata", "bounding_box")) -> DataFrame:
@@ -105,7 +108,8 @@ def parse_stats(parses: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataF
     """Rows (document_id, utf8_size_bytes, character_count, page_count, block_count)."""
     count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
     sized = parses.select("document_id", F.octet_length("text").cast("long").alias("utf8_size_bytes"), F.length("text").cast("long").alias("character_count"))
-    return sized.join(count(pages, "page_count"), "document_id", "left").join(count(blocks, "block_count"), "document_id", "left").fillna(0, ["page_count", "block_count"])
+    return sized.join(count(pages, "page_count"), "document_id", "left").join(count(blocks, "block_count"), "document_id", "left").fillna(0,
+        ["page_count", "block_count"])
 
 
 def page_warnings(pages: DataFrame) -> DataFrame:
@@ -117,10 +121,12 @@ def page_warnings(pages: DataFrame) -> DataFrame:
 def parsed_documents(parses: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (document_id, text, pages): pages by number, each with its blocks by ordinal. pages and blocks have offsets."""
     inner = blocks.groupBy(*_page).agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end"))).alias("blocks"))
-    outer = pages.join(inner, [*_page], "left").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "start", "end", F.coalesce("blocks", F.array()).alias("blocks")))).alias("pages"))
+    outer = pages.join(inner, [*_page], "left").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "start", "end",
+        F.coalesce("blocks", F.array()).alias("blocks")))).alias("pages"))
     return parses.select("document_id", "text").join(outer, "document_id", "left").select("document_id", "text", F.coalesce("pages", F.array()).alias("pages"))
 
 
 def slice_text(parses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds body = text[start:end) to rows (document_id, start, end, ...)."""
-    return ranges.join(parses.select("document_id", F.col("text").alias("__text")), "document_id").withColumn("body", slice_by_offsets(F.col("__text"), F.col("start"), F.col("end"))).drop("__text")
+    return ranges.join(parses.select("document_id", F.col("text").alias("__text")), "document_id").withColumn("body",
+        slice_by_offsets(F.col("__text"), F.col("start"), F.col("end"))).drop("__text")

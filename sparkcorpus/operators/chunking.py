@@ -174,7 +174,8 @@ def _capped(text: str, a: int, z: int, tokens: tuple[int | None, int | None]) ->
             yield part, x, x + len(part), None, None
 
 
-def _chunked(docs: DataFrame, windows: Callable[[str, list[int], list[int]], Iterator[tuple[int, int]]], tokenizer: Tokenizer | None, id_col: str, text_col: str) -> DataFrame:
+def _chunked(docs: DataFrame, windows: Callable[[str, list[int], list[int]], Iterator[tuple[int, int]]], tokenizer: Tokenizer | None,
+    id_col: str, text_col: str) -> DataFrame:
     run = tokenizer or whitespace_tokens
 
     def chunks_of(text: str) -> Iterator[tuple]:
@@ -206,13 +207,15 @@ def fixed_windows(n: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
             return
 
 
-def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 100, tokenizer: Tokenizer | None = None, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 100, tokenizer: Tokenizer | None = None, id_col: str = "document_id",
+    text_col: str = "text") -> DataFrame:
     """Windows of `size` tokens with `overlap` tokens in common."""
     _check(size, overlap)
     return _chunked(docs, lambda t, s, e: fixed_windows(len(s), size, overlap), tokenizer, id_col, text_col)
 
 
-def chunk_recursive(docs: DataFrame, size: int = 800, overlap: int = 100, tokenizer: Tokenizer | None = None, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+def chunk_recursive(docs: DataFrame, size: int = 800, overlap: int = 100, tokenizer: Tokenizer | None = None, id_col: str = "document_id",
+    text_col: str = "text") -> DataFrame:
     """Windows of at most `size` tokens that end at paragraphs, sentences or lines where they can."""
     _check(size, overlap)
     return _chunked(docs, lambda t, s, e: recursive_windows(t, s, e, size, overlap), tokenizer, id_col, text_col)

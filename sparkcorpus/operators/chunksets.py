@@ -30,9 +30,11 @@ def unparsed_documents(documents: DataFrame, parses: DataFrame) -> DataFrame:
 def corpus_readiness(corpora: DataFrame, documents: DataFrame, parses: DataFrame) -> DataFrame:
     """Rows (corpus_id, documents, unparsed, state): unknown, empty, incomplete or ready."""
     parsed = parses.select(F.col("document_id").alias("__p")).distinct()
-    counts = documents.join(parsed, F.col("id") == F.col("__p"), "left").groupBy("corpus_id").agg(F.count("*").alias("documents"), F.count_if(F.col("__p").isNull()).alias("unparsed"))
+    counts = documents.join(parsed, F.col("id") == F.col("__p"), "left").groupBy("corpus_id").agg(F.count("*").alias("documents"),
+        F.count_if(F.col("__p").isNull()).alias("unparsed"))
     rows = corpora.select(F.col("id").alias("corpus_id"), F.lit(True).alias("known")).join(counts, "corpus_id", "full").fillna(0, ["documents", "unparsed"])
-    return rows.select("corpus_id", "documents", "unparsed", F.when(F.col("known").isNull(), "unknown").when(F.col("documents") == 0, "empty").when(F.col("unparsed") > 0, "incomplete").otherwise("ready").alias("state"))
+    return rows.select("corpus_id", "documents", "unparsed", F.when(F.col("known").isNull(), "unknown").when(F.col("documents") == 0,
+        "empty").when(F.col("unparsed") > 0, "incomplete").otherwise("ready").alias("state"))
 
 
 def _overlaps(chunks: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
@@ -42,8 +44,10 @@ def _overlaps(chunks: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     in several buckets is reported in the first one.
     """
     cells = lambda a, z: F.sequence(F.floor(a / BUCKET), F.floor(F.greatest(z - 1, a) / BUCKET))
-    left = chunks.select("document_id", "ordinal", F.col("start").alias("a"), F.col("end").alias("z"), F.explode(cells(F.col("start"), F.col("end"))).alias("cell"))
-    right = ranges.select(F.col("document_id").alias("d"), F.col(key).alias("key"), F.col("start").alias("b"), F.col("end").alias("y"), F.explode(cells(F.col("start"), F.col("end"))).alias("c"))
+    left = chunks.select("document_id", "ordinal", F.col("start").alias("a"), F.col("end").alias("z"),
+        F.explode(cells(F.col("start"), F.col("end"))).alias("cell"))
+    right = ranges.select(F.col("document_id").alias("d"), F.col(key).alias("key"), F.col("start").alias("b"), F.col("end").alias("y"),
+        F.explode(cells(F.col("start"), F.col("end"))).alias("c"))
     first = F.greatest(F.floor(F.col("a") / BUCKET), F.floor(F.col("b") / BUCKET)) == F.col("cell")
     meet = (F.col("document_id") == F.col("d")) & (F.col("cell") == F.col("c")) & (F.col("a") < F.col("y")) & (F.col("b") < F.col("z")) & first
     return left.join(right, meet).select("document_id", "ordinal", "key")
@@ -71,7 +75,8 @@ def chunk_id(set_id: Column, document_id: Column, ordinal: Column) -> Column:
 
 
 def _set_json(documents: Column, config: str, chunker: str, tokenizer: str, cap: int) -> Column:
-    return canonical_json(F.struct(F.lit(cap).alias("cap"), F.lit(chunker).alias("chunker"), F.lit(VERSION).alias("chunker_version"), F.lit(config).alias("config"), F.col("corpus_id"), documents.alias("documents"), F.lit(tokenizer).alias("tokenizer")))
+    return canonical_json(F.struct(F.lit(cap).alias("cap"), F.lit(chunker).alias("chunker"), F.lit(VERSION).alias("chunker_version"),
+        F.lit(config).alias("config"), F.col("corpus_id"), documents.alias("documents"), F.lit(tokenizer).alias("tokenizer")))
 
 
 def _parsed(documents: DataFrame, parses: DataFrame) -> DataFrame:
@@ -87,7 +92,8 @@ def chunk_set_fingerprints(documents: DataFrame, parses: DataFrame, config: str,
     around = F.split(_set_json(F.array().cast("array<string>"), config, chunker, tokenizer, cap), '"documents":\\[\\]')
     rows = _parsed(documents, parses).withColumn("around", around)
     rows = rows.repartition("corpus_id").sortWithinPartitions("corpus_id", "uploaded_at", "document_id", "parse_id")
-    rows = rows.select("corpus_id", canonical_json(F.struct("document_id", "parse_id")).alias("item"), F.concat(F.col("around")[0], F.lit('"documents":[')).alias("head"), F.concat(F.lit("]"), F.col("around")[1]).alias("tail"))
+    rows = rows.select("corpus_id", canonical_json(F.struct("document_id", "parse_id")).alias("item"),
+        F.concat(F.col("around")[0], F.lit('"documents":[')).alias("head"), F.concat(F.lit("]"), F.col("around")[1]).alias("tail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None  # (head, corpus, tail, hash so far); heads differ as corpora do
@@ -117,7 +123,8 @@ def chunk_set_tree_fingerprints(documents: DataFrame, parses: DataFrame, config:
     rows = _parsed(documents, parses).select("corpus_id", fingerprint(F.struct("document_id", "parse_id", "uploaded_at")).alias("h"))
     over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
     ranges = rows.groupBy("corpus_id", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(RANGES)).alias("place")).agg(over("h").alias("h"))
-    return ranges.groupBy("corpus_id").agg(F.array_sort(F.collect_list("h")).alias("documents")).select("corpus_id", F.sha2(_set_json(F.col("documents"), config, chunker, tokenizer, cap), 256).alias("fingerprint"))
+    return ranges.groupBy("corpus_id").agg(F.array_sort(F.collect_list("h")).alias("documents")).select("corpus_id",
+        F.sha2(_set_json(F.col("documents"), config, chunker, tokenizer, cap), 256).alias("fingerprint"))
 
 
 def split_reusable(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +134,8 @@ def split_reusable(requests: DataFrame, artifacts: DataFrame) -> tuple[DataFrame
 
 
 def build_chunk_set(
-    documents: DataFrame, parses: DataFrame, pages: DataFrame, blocks: DataFrame, chunker: Callable[[DataFrame], DataFrame], config: str, chunker_name: str, tokenizer: str = "whitespace"
+    documents: DataFrame, parses: DataFrame, pages: DataFrame, blocks: DataFrame, chunker: Callable[[DataFrame], DataFrame], config: str,
+        chunker_name: str, tokenizer: str = "whitespace"
 ) -> tuple[DataFrame, DataFrame]:
     """(chunk rows, one row for each chunk set), for the corpora in `documents` whose documents are all parsed.
 
@@ -138,14 +146,17 @@ def build_chunk_set(
     state = corpus_readiness(documents.select(F.col("corpus_id").alias("id")).distinct(), documents, parses).select("corpus_id", "state")
     known = documents.join(state.where("state = 'ready'"), "corpus_id").drop("state")
     prints = chunk_set_tree_fingerprints(known, parses, config, chunker_name, tokenizer).withColumn("chunk_set_id", chunk_set_id(F.col("fingerprint")))
-    meta = known.select(F.col("id").alias("document_id"), "corpus_id", "original_filename", "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
+    meta = known.select(F.col("id").alias("document_id"), "corpus_id", "original_filename",
+        "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
     chunks = materialize(chunker(parses.select("document_id", "text").join(meta.select("document_id"), "document_id", "left_semi")))
     rows = chunk_blocks(chunk_pages(chunks, pages), blocks).join(meta, "document_id").join(prints, "corpus_id")
     source = canonical_json(F.struct("block_ordinals", "original_filename", "parse_id"))
     own = chunk_id(F.col("chunk_set_id"), F.col("document_id"), F.col("ordinal"))
     place = ("ordinal", "text", "start", "end", "token_start", "token_end", "page_start", "page_end")
-    rows = rows.select(own.alias("id"), "chunk_set_id", "corpus_id", F.col("document_id").alias("source_document_id"), "uploaded_at", *place, source.alias("source_metadata"))
+    rows = rows.select(own.alias("id"), "chunk_set_id", "corpus_id", F.col("document_id").alias("source_document_id"), "uploaded_at", *place,
+        source.alias("source_metadata"))
     counts = chunks.join(meta.select("document_id", "corpus_id"), "document_id").groupBy("corpus_id").agg(F.count("*").alias("chunk_count"))
     sets = state.join(prints, "corpus_id", "left").join(counts, "corpus_id", "left").fillna(0, ["chunk_count"])
-    sets = sets.select("chunk_set_id", "corpus_id", "fingerprint", F.lit(chunker_name).alias("chunker_name"), F.lit(VERSION).alias("chunker_version"), F.col("state").alias("status"), "chunk_count")
+    sets = sets.select("chunk_set_id", "corpus_id", "fingerprint", F.lit(chunker_name).alias("chunker_name"),
+        F.lit(VERSION).alias("chunker_version"), F.col("state").alias("status"), "chunk_count")
     return rows, sets

@@ -26,13 +26,16 @@ def score_retrieval(questions: DataFrame, labels: DataFrame, hits: DataFrame, k:
     total = labels.groupBy("example_id").agg(F.count_distinct("document_id").alias("labels"))
     rows = questions.select("example_id").join(total, "example_id", "left").join(found, "example_id", "left")
     score = lambda value: F.when(F.col("labels").isNotNull(), F.coalesce(value, F.lit(0.0)))
-    return rows.select("example_id", score(F.when(F.col("first").isNotNull(), 1.0)).alias("hit_rate"), score(F.col("found") / F.col("labels")).alias("recall"), score(1.0 / F.col("first")).alias("mrr"), F.when(F.col("labels").isNull(), "no_resolved_document_labels").alias("skipped_reason"))
+    return rows.select("example_id", score(F.when(F.col("first").isNotNull(), 1.0)).alias("hit_rate"),
+        score(F.col("found") / F.col("labels")).alias("recall"), score(1.0 / F.col("first")).alias("mrr"),
+        F.when(F.col("labels").isNull(), "no_resolved_document_labels").alias("skipped_reason"))
 
 
 def retrieval_evidence(questions: DataFrame, labels: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """Rows (example_id, matching_ranks, ranked_documents, labels)."""
     ordered = lambda items, field: F.transform(F.array_sort(items), lambda x: x[field])
-    ranked = _matches(labels, hits, k).groupBy("example_id").agg(F.array_sort(F.collect_list(F.when(F.col("match"), F.col("rank")))).alias("matching_ranks"), ordered(F.collect_list(F.struct("rank", "document_id")), "document_id").alias("ranked_documents"))
+    ranked = _matches(labels, hits, k).groupBy("example_id").agg(F.array_sort(F.collect_list(F.when(F.col("match"),
+        F.col("rank")))).alias("matching_ranks"), ordered(F.collect_list(F.struct("rank", "document_id")), "document_id").alias("ranked_documents"))
     own = labels.groupBy("example_id").agg(F.sort_array(F.collect_set("document_id")).alias("labels"))
     rows = questions.select("example_id").join(ranked, "example_id", "left").join(own, "example_id", "left")
     return rows.select("example_id", *(F.coalesce(c, F.array()).alias(c) for c in ("matching_ranks", "ranked_documents", "labels")))
@@ -41,7 +44,9 @@ def retrieval_evidence(questions: DataFrame, labels: DataFrame, hits: DataFrame,
 def coverage(scores: DataFrame) -> DataFrame:
     """Rows (metric, mean_score, total, eligible, scored, skipped, errors) from rows (metric, score, status)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    return scores.groupBy("metric").agg(F.avg(F.when(F.col("status") == "scored", F.col("score"))).alias("mean_score"), F.count("*").alias("total"), (n("scored") + n("error")).alias("eligible"), n("scored").alias("scored"), n("skipped").alias("skipped"), n("error").alias("errors"))
+    return scores.groupBy("metric").agg(F.avg(F.when(F.col("status") == "scored", F.col("score"))).alias("mean_score"),
+        F.count("*").alias("total"), (n("scored") + n("error")).alias("eligible"), n("scored").alias("scored"), n("skipped").alias("skipped"),
+        n("error").alias("errors"))
 
 
 def aggregate_retrieval(scores: DataFrame, metrics: tuple[str, ...] = RETRIEVAL_METRICS) -> DataFrame:
@@ -49,23 +54,28 @@ def aggregate_retrieval(scores: DataFrame, metrics: tuple[str, ...] = RETRIEVAL_
     return coverage(long.withColumn("status", F.when(F.col("score").isNull(), "skipped").otherwise("scored")))
 
 
-def evaluation_inputs(example_runs: DataFrame, examples: DataFrame, answers: DataFrame, labels: DataFrame, hits: DataFrame, chunks: DataFrame, context: DataFrame) -> DataFrame:
+def evaluation_inputs(example_runs: DataFrame, examples: DataFrame, answers: DataFrame, labels: DataFrame, hits: DataFrame, chunks: DataFrame,
+    context: DataFrame) -> DataFrame:
     """One row for each example of a run, in its order, with all that its scores need."""
     ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
     texts = chunks.select("chunk_id", "document_id", "text")
-    ranked = hits.join(texts.select("chunk_id", "document_id"), "chunk_id").groupBy("example_run_id").agg(ordered("rank", "document_id").alias("ranked_documents"))
+    ranked = hits.join(texts.select("chunk_id", "document_id"), "chunk_id").groupBy("example_run_id").agg(ordered("rank",
+        "document_id").alias("ranked_documents"))
     used = context.join(texts.select("chunk_id", "text"), "chunk_id").groupBy("example_run_id").agg(ordered("ordinal", "text").alias("context_texts"))
     own = labels.groupBy("example_id").agg(F.sort_array(F.collect_set("document_id")).alias("labels"))
-    rows = example_runs.select("example_run_id", "example_id", "ordinal").join(examples.select("example_id", "question", "reference_answer"), "example_id").join(answers.select("example_run_id", "answer_text"), "example_run_id", "left")
+    rows = example_runs.select("example_run_id", "example_id", "ordinal").join(examples.select("example_id", "question", "reference_answer"),
+        "example_id").join(answers.select("example_run_id", "answer_text"), "example_run_id", "left")
     rows = rows.join(own, "example_id", "left").join(ranked, "example_run_id", "left").join(used, "example_run_id", "left")
-    return rows.select("example_run_id", "example_id", "ordinal", "question", "reference_answer", "answer_text", *(F.coalesce(c, F.array()).alias(c) for c in ("labels", "ranked_documents", "context_texts")))
+    return rows.select("example_run_id", "example_id", "ordinal", "question", "reference_answer", "answer_text",
+        *(F.coalesce(c, F.array()).alias(c) for c in ("labels", "ranked_documents", "context_texts")))
 
 
 def answer_eligibility(inputs: DataFrame, metrics: tuple[str, ...] = ANSWER_METRICS) -> DataFrame:
     """Rows (example_id, metric, eligible, skipped_reason); the metrics are a short fixed list."""
     none = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     rows = inputs.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
-    reason = F.when(none("answer_text"), "no_generated_answer").when((F.col("metric") == "answer_correctness") & none("reference_answer"), "no_reference_answer")
+    reason = F.when(none("answer_text"), "no_generated_answer").when((F.col("metric") == "answer_correctness") & none("reference_answer"),
+        "no_reference_answer")
     return rows.select("example_id", "metric", reason.isNull().alias("eligible"), reason.alias("skipped_reason"))
 
 
@@ -89,7 +99,8 @@ def parse_judgments(replies: DataFrame, requests: DataFrame) -> DataFrame:
     items = F.from_json(F.get_json_object("reply", "$.results"), f"array<{JUDGMENT}>")
     raw = F.from_json(F.get_json_object("reply", "$.results"), "array<map<string,string>>")
     inside = lambda x: F.forall(x["evidence_ranks"], lambda r: F.coalesce((r >= 1) & (r <= F.col("context_size")), F.lit(False)))
-    fine = lambda x: F.coalesce(x["score"].between(0, 4) & ~is_blank(x["rationale"]) & (F.length(x["rationale"]) <= 1000) & x["evidence_ranks"].isNotNull() & ((x["metric"] != "groundedness") | inside(x)), F.lit(False))
+    fine = lambda x: F.coalesce(x["score"].between(0,
+        4) & ~is_blank(x["rationale"]) & (F.length(x["rationale"]) <= 1000) & x["evidence_ranks"].isNotNull() & ((x["metric"] != "groundedness") | inside(x)), F.lit(False))
     whole = F.coalesce(F.forall(raw, lambda x: F.coalesce(x["score"].rlike(r"^-?\d+$"), F.lit(False))), F.lit(False))
     names = F.transform("items", lambda x: x["metric"])
     valid = F.coalesce((F.sort_array(names) == F.sort_array("metrics")) & F.forall("items", fine) & whole, F.lit(False))
@@ -119,7 +130,8 @@ def aggregate_answers(eligibility: DataFrame, judgments: DataFrame) -> DataFrame
 def evaluation_status(covered: DataFrame, by: str = "evaluation_id") -> DataFrame:
     """Rows (by, status, eligible_count, total_count): failed if something was eligible and nothing was scored."""
     rows = covered.groupBy(by).agg(F.sum("scored").alias("scored"), F.max("eligible").alias("eligible_count"), F.max("total").alias("total_count"))
-    return rows.select(by, F.when((F.col("eligible_count") > 0) & (F.col("scored") == 0), "failed").otherwise("completed").alias("status"), "eligible_count", "total_count")
+    return rows.select(by, F.when((F.col("eligible_count") > 0) & (F.col("scored") == 0), "failed").otherwise("completed").alias("status"),
+        "eligible_count", "total_count")
 
 
 def latest_evaluation(evaluations: DataFrame) -> DataFrame:

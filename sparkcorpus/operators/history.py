@@ -12,7 +12,8 @@ USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 def compatible_inputs(indexes: DataFrame, datasets: DataFrame) -> DataFrame:
     """Rows (index_id, dataset_id, launchable, reason) for the pairs of one corpus."""
-    pairs = indexes.select(F.col("id").alias("index_id"), "corpus_id", "status", "vector_index_id").join(datasets.select(F.col("id").alias("dataset_id"), "corpus_id"), "corpus_id")
+    pairs = indexes.select(F.col("id").alias("index_id"), "corpus_id", "status",
+        "vector_index_id").join(datasets.select(F.col("id").alias("dataset_id"), "corpus_id"), "corpus_id")
     reason = F.when(F.col("status") != "ready", "index_not_ready").when(F.col("vector_index_id").isNull(), "no_vector_index")
     return pairs.select("index_id", "dataset_id", reason.isNull().alias("launchable"), reason.alias("reason"))
 
@@ -23,7 +24,8 @@ def launch_checks(requests: DataFrame, indexes: DataFrame, datasets: DataFrame)
     other = datasets.select(F.col("id").alias("dataset_id"), F.col("corpus_id").alias("dataset_corpus"), F.lit(True).alias("known"))
     rows = requests.join(own, "index_id", "left").join(other, "dataset_id", "left")
     reason = (
-        F.when(F.col("status").isNull() | F.col("known").isNull(), "unknown_input").when((F.col("status") != "ready") | F.col("vector_index_id").isNull(), "index_not_ready")
+        F.when(F.col("status").isNull() | F.col("known").isNull(),
+            "unknown_input").when((F.col("status") != "ready") | F.col("vector_index_id").isNull(), "index_not_ready")
         .when(F.col("corpus_id") != F.col("dataset_corpus"), "different_corpora")
     )
     return rows.select("index_id", "dataset_id", reason.isNull().alias("launchable"), reason.alias("reason"))
@@ -32,14 +34,17 @@ def launch_checks(requests: DataFrame, indexes: DataFrame, datasets: DataFrame)
 def expand_runs(runs: DataFrame, examples: DataFrame) -> DataFrame:
     """Rows (run_id, example_id, ordinal, status, total_examples): one pending row for each question of a run's dataset."""
     total = examples.groupBy("dataset_id").agg(F.count("*").alias("total_examples"))
-    return runs.select(F.col("id").alias("run_id"), "dataset_id").join(total, "dataset_id").join(examples.select("dataset_id", "example_id", "ordinal"), "dataset_id").select("run_id", "example_id", "ordinal", F.lit("pending").alias("status"), "total_examples")
+    return runs.select(F.col("id").alias("run_id"), "dataset_id").join(total,
+        "dataset_id").join(examples.select("dataset_id", "example_id", "ordinal"), "dataset_id").select("run_id", "example_id", "ordinal",
+        F.lit("pending").alias("status"), "total_examples")
 
 
 def runs_without_examples(runs: DataFrame, examples: DataFrame) -> DataFrame:
     return runs.join(examples.select("dataset_id").distinct(), "dataset_id", "left_anti")
 
 
-def run_summary(runs: DataFrame, example_runs: DataFrame, indexes: DataFrame | None = None, datasets: DataFrame | None = None, evaluations: DataFrame | None = None) -> DataFrame:
+def run_summary(runs: DataFrame, example_runs: DataFrame, indexes: DataFrame | None = None, datasets: DataFrame | None = None,
+    evaluations: DataFrame | None = None) -> DataFrame:
     """One row for each run, newest first. example_runs has its retrieval and generation on the row, null where missing.
 
     Tokens that aren't known are left out of the sums and counted apart. Examples are summed before the join. indexes and
@@ -55,7 +60,9 @@ def run_summary(runs: DataFrame, example_runs: DataFrame, indexes: DataFrame | N
         runs = runs.join(last, runs["id"] == last["of"], "left").drop("of")
     n = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_examples")
     sums = [x for c in USAGE for x in (F.sum(c).alias(c), F.count(c).alias(f"known_{c}"))]
-    of = example_runs.groupBy("run_id").agg(n("failed"), n("pending"), n("running"), F.count("retrieval_ms").alias("retrieval_results"), F.count("generation_ms").alias("generation_results"), F.avg("retrieval_ms").alias("mean_retrieval_ms"), F.avg("generation_ms").alias("mean_generation_ms"), *sums)
+    of = example_runs.groupBy("run_id").agg(n("failed"), n("pending"), n("running"), F.count("retrieval_ms").alias("retrieval_results"),
+        F.count("generation_ms").alias("generation_results"), F.avg("retrieval_ms").alias("mean_retrieval_ms"),
+        F.avg("generation_ms").alias("mean_generation_ms"), *sums)
     counts = ["failed_examples", "pending_examples", "running_examples", "retrieval_results", "generation_results", *(f"known_{c}" for c in USAGE)]
     return runs.join(of, runs["id"] == of["run_id"], "left").drop("run_id").fillna(0, counts).orderBy(F.desc("created_at"), F.desc("id"))
 
@@ -64,17 +71,20 @@ def run_detail(runs: DataFrame, example_runs: DataFrame, hits: DataFrame) -> Dat
     """One row for each example of a run, by run and ordinal, with its hits by rank, which top k bounds; a run without
     examples is one row. hits: (example_run_id, rank, chunk_id, document_name, start, end)."""
     ranked = hits.groupBy("example_run_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_name", "start", "end"))).alias("hits"))
-    rows = example_runs.select("run_id", "ordinal", "example_run_id", F.col("status").alias("example_status")).join(ranked, "example_run_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
+    rows = example_runs.select("run_id", "ordinal", "example_run_id", F.col("status").alias("example_status")).join(ranked, "example_run_id",
+        "left").withColumn("hits", F.coalesce("hits", F.array()))
     return runs.join(rows, runs["id"] == rows["run_id"], "left").drop("run_id").orderBy("id", "ordinal", "example_run_id")
 
 
-def run_history(summary: DataFrame, now: str, text: str | None = None, status: str | None = None, index_id: str | None = None, dataset_id: str | None = None, days: int | None = None, sort: str = "newest", page: int = 1, size: int = 20) -> DataFrame:
+def run_history(summary: DataFrame, now: str, text: str | None = None, status: str | None = None, index_id: str | None = None,
+    dataset_id: str | None = None, days: int | None = None, sort: str = "newest", page: int = 1, size: int = 20) -> DataFrame:
     """One page of the runs. summary: (id, index_id, index_name, dataset_id, dataset_name, status, created_at, started_at, duration_ms, completed_examples, total_examples)."""
     at = F.lit(now).cast("timestamp")
     running = (F.unix_millis(at) - F.unix_millis("started_at")).cast("long")
     rows = summary.withColumn("status", F.when(F.col("status") == "pending", "queued").otherwise(F.col("status")))
     rows = rows.withColumn("elapsed_ms", F.when(F.col("status") == "running", running).otherwise(F.col("duration_ms")))
-    rows = rows.withColumn("elapsed_seconds", F.floor(F.col("elapsed_ms") / 1000)).withColumn("percent", F.when(F.col("total_examples") > 0, F.floor(100 * F.col("completed_examples") / F.col("total_examples") + 0.5)).otherwise(0).cast("long"))
+    rows = rows.withColumn("elapsed_seconds", F.floor(F.col("elapsed_ms") / 1000)).withColumn("percent",
+        F.when(F.col("total_examples") > 0, F.floor(100 * F.col("completed_examples") / F.col("total_examples") + 0.5)).otherwise(0).cast("long"))
     if wanted := (text or "").strip().lower():
         rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "id", "index_name", "dataset_name")), F.lit(wanted)))
     for name, value in (("status", status), ("index_id", index_id), ("dataset_id", dataset_id)):
@@ -93,7 +103,8 @@ def run_history(summary: DataFrame, now: str, text: str | None = None, status: s
 
 def status_counts(runs: DataFrame) -> DataFrame:
     n = lambda *s: F.count_if(F.col("status").isin(*s))
-    return runs.agg(F.count("*").alias("total"), n("running", "queued", "pending").alias("active"), n("completed").alias("completed"), n("failed").alias("failed"))
+    return runs.agg(F.count("*").alias("total"), n("running", "queued", "pending").alias("active"), n("completed").alias("completed"),
+        n("failed").alias("failed"))
 
 
 def filter_examples(examples: DataFrame, status: str | None = None, text: str | None = None) -> DataFrame:
@@ -120,15 +131,18 @@ def pending_backlog(prepared: DataFrame, runs: DataFrame, evaluations: DataFrame
 def prepared_index_list(prepared: DataFrame, chunk_sets: DataFrame, vector_indexes: DataFrame, status: str | None = None) -> DataFrame:
     """Prepared indexes with the counts of their parts and the status of both stages."""
     rows = prepared if status is None else prepared.where(F.col("status") == status)
-    rows = rows.join(chunk_sets.select(F.col("id").alias("chunk_set_id"), "chunk_count"), "chunk_set_id", "left").join(vector_indexes.select(F.col("id").alias("vector_index_id"), "vector_count"), "vector_index_id", "left")
-    stage = lambda ref, name: F.when(F.col(ref).isNotNull(), "completed").when((F.col("status") == "failed") & (F.col("stage") == name), "failed").when((F.col("status") == "running") & (F.col("stage") == name), "running").otherwise("pending")
+    rows = rows.join(chunk_sets.select(F.col("id").alias("chunk_set_id"), "chunk_count"), "chunk_set_id",
+        "left").join(vector_indexes.select(F.col("id").alias("vector_index_id"), "vector_count"), "vector_index_id", "left")
+    stage = lambda ref, name: F.when(F.col(ref).isNotNull(), "completed").when((F.col("status") == "failed") & (F.col("stage") == name),
+        "failed").when((F.col("status") == "running") & (F.col("stage") == name), "running").otherwise("pending")
     return rows.withColumn("chunking_status", stage("chunk_set_id", "chunking")).withColumn("embedding_status", stage("vector_index_id", "embedding"))
 
 
 def corpus_inventory(corpora: DataFrame, documents: DataFrame, parses: DataFrame) -> DataFrame:
     """Rows (corpus_id, name, documents, parsed, characters), newest first; empty corpora are kept."""
     of = documents.join(parses.select("document_id", "character_count"), documents["id"] == F.col("document_id"), "left")
-    counts = of.groupBy("corpus_id").agg(F.count("*").alias("documents"), F.count("character_count").alias("parsed"), F.sum("character_count").alias("characters"))
+    counts = of.groupBy("corpus_id").agg(F.count("*").alias("documents"), F.count("character_count").alias("parsed"),
+        F.sum("character_count").alias("characters"))
     rows = corpora.select(F.col("id").alias("corpus_id"), F.col("name"), "created_at").join(counts, "corpus_id", "left").fillna(0, ["documents", "parsed"])
     return rows.orderBy(F.desc("created_at"), F.desc("corpus_id"))
 

@@ -20,7 +20,8 @@ def _occurrences(examples: DataFrame, documents: DataFrame) -> DataFrame:
     Names are counted before the join: a name that many documents share is one row.
     """
     names = documents.groupBy("corpus_id", F.col("original_filename").alias("name")).agg(F.count("*").alias("n"), F.min("id").alias("document_id"))
-    rows = examples.select("example_id", "corpus_id", F.posexplode("relevant_documents").alias("position", "supplied")).withColumn("name", strip(F.col("supplied")))
+    rows = examples.select("example_id", "corpus_id", F.posexplode("relevant_documents").alias("position", "supplied")).withColumn("name",
+        strip(F.col("supplied")))
     return rows.join(names, ["corpus_id", "name"], "left")
 
 

@@ -61,7 +61,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "co
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
     found = None
     for p in range(parts):
-        rows = queries.select("query_id", "embedding") if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "embedding")
+        rows = queries.select("query_id", "embedding") if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"),
+            F.lit(parts)) == p).select("query_id", "embedding")
         own = rows.toPandas()  # about a block
         if own.empty:
             continue
@@ -93,8 +94,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "co
 
 def validate_hits(hits: DataFrame, expected: Column) -> DataFrame:
     """Rows (query_id, hits, valid): right number, ids non-blank and unique, distances finite."""
-    rows = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(is_blank(F.col("chunk_id"))).alias("blank"), F.count_distinct("chunk_id").alias("ids"), F.count_if(~F.coalesce(is_finite(F.col("raw_distance")), F.lit(False))).alias("odd"))
-    return rows.select("query_id", "hits", ((F.col("hits") == expected) & (F.col("blank") == 0) & (F.col("ids") == F.col("hits")) & (F.col("odd") == 0)).alias("valid"))
+    rows = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(is_blank(F.col("chunk_id"))).alias("blank"),
+        F.count_distinct("chunk_id").alias("ids"), F.count_if(~F.coalesce(is_finite(F.col("raw_distance")), F.lit(False))).alias("odd"))
+    return rows.select("query_id", "hits",
+        ((F.col("hits") == expected) & (F.col("blank") == 0) & (F.col("ids") == F.col("hits")) & (F.col("odd") == 0)).alias("valid"))
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, chunk_set_id: str) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +105,8 @@ def hydrate(hits: DataFrame, chunks: DataFrame, chunk_set_id: str) -> tuple[Data
     own = chunks.where(F.col("chunk_set_id") == chunk_set_id).withColumnRenamed("id", "chunk_id")
     counted = hits.withColumn("__n", F.count("*").over(Window.partitionBy("query_id", "chunk_id")))
     good = counted.where("__n = 1").drop("__n").join(own, "chunk_id")
-    missing = hits.join(own.select("chunk_id"), "chunk_id", "left_anti").select("query_id", "rank", "chunk_id", F.lit("missing_or_foreign_chunk").alias("error"))
+    missing = hits.join(own.select("chunk_id"), "chunk_id", "left_anti").select("query_id", "rank", "chunk_id",
+        F.lit("missing_or_foreign_chunk").alias("error"))
     return good, missing.union(counted.where("__n > 1").select("query_id", "rank", "chunk_id", F.lit("duplicate_chunk").alias("error")))
 
 
@@ -110,9 +114,11 @@ def validate_rankings(results: DataFrame, hits: DataFrame, chunks: DataFrame) ->
     """Rows (query_id, valid). results: (query_id, requested_top_k, chunk_set_id, distance_metric, run_metric); ranks must be 1..n, n within k, chunks of the set."""
     own = chunks.select(F.col("id").alias("chunk_id"), "chunk_set_id").withColumn("known", F.lit(1))
     joined = hits.join(results.select("query_id", "chunk_set_id"), "query_id").join(own, ["chunk_id", "chunk_set_id"], "left")
-    ranks = joined.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_distinct("rank").alias("ranks"), F.count("known").alias("known"))
+    ranks = joined.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"),
+        F.count_distinct("rank").alias("ranks"), F.count("known").alias("known"))
     ok = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("ranks") == F.col("n")) & (F.col("known") == F.col("n")) & (F.col("n") <= F.col("requested_top_k"))
-    return results.join(ranks, "query_id", "left").select("query_id", ((F.col("n").isNull() | ok) & (F.col("distance_metric") == F.col("run_metric"))).alias("valid"))
+    return results.join(ranks, "query_id", "left").select("query_id",
+        ((F.col("n").isNull() | ok) & (F.col("distance_metric") == F.col("run_metric"))).alias("valid"))
 
 
 def retrieve(

@@ -55,7 +55,8 @@ def validate_vectors(vectors: DataFrame, dimensions: int) -> DataFrame:
     """Adds reject_code: empty_vector, wrong_dimensions, not_finite, or null."""
     v = F.col("embedding")
     finite = F.forall(v, lambda x: F.coalesce(is_finite(x), F.lit(False)))
-    return vectors.withColumn("reject_code", F.when(v.isNull() | (F.size(v) == 0), "empty_vector").when(F.size(v) != dimensions, "wrong_dimensions").when(~finite, "not_finite"))
+    return vectors.withColumn("reject_code", F.when(v.isNull() | (F.size(v) == 0), "empty_vector").when(F.size(v) != dimensions,
+        "wrong_dimensions").when(~finite, "not_finite"))
 
 
 def index_complete(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ def vector_metadata(*, required: dict[str, Column], optional: dict[str, Column])
 
 
 def vector_index_fingerprint(
-    chunk_set_id: Column, chunk_set_print: Column, *, model: Column, dimensions: Column, provider_model: Column | None = None, provider_revision: Column | None = None,
+    chunk_set_id: Column, chunk_set_print: Column, *, model: Column, dimensions: Column, provider_model: Column | None = None,
+        provider_revision: Column | None = None,
     provider: str = "local", adapter: tuple[str, str] = ("local", "1"), metric: str = "cosine", store: tuple[str, str] = ("table", "1"),
 ) -> Column:
     """SHA-256 over all that decides the vectors: two revisions of a model, or versions of adapter or store, don't share."""
@@ -85,7 +87,8 @@ def vector_index_fingerprint(
     fields = {
         "adapter": F.lit(adapter[0]), "adapter_version": F.lit(adapter[1]), "chunk_set_fingerprint": chunk_set_print, "chunk_set_id": chunk_set_id,
         "dimensions": dimensions, "metric": F.lit(metric), "model": model, "policy_version": F.lit(POLICY_VERSION), "provider": F.lit(provider),
-        "provider_model": unknown if provider_model is None else provider_model, "provider_revision": unknown if provider_revision is None else provider_revision,
+        "provider_model": unknown if provider_model is None else provider_model,
+            "provider_revision": unknown if provider_revision is None else provider_revision,
         "store": F.lit(store[0]), "store_version": F.lit(store[1]),
     }
     return fingerprint(F.struct(*(c.alias(k) for k, c in fields.items())))
@@ -100,7 +103,9 @@ def compatible_indexes(indexes: DataFrame, request: dict[str, object]) -> DataFr
     code = F.when(F.col("status") != "ready", "index_not_ready")
     for name in ("provider", "model", "distance_metric", "input_policy_version", "indexer_name", "indexer_version"):
         code = code.when(~F.col(name).eqNullSafe(F.lit(request[name])), f"{name}_mismatch")
-    code = code.when(F.coalesce(F.col("dimensions") <= 0, F.lit(True)), "invalid_dimensions").when(F.coalesce(F.col("vector_count") <= 0, F.lit(True)), "empty_index").when(is_blank(F.col("collection_name")), "missing_collection")
+    code = code.when(F.coalesce(F.col("dimensions") <= 0, F.lit(True)),
+        "invalid_dimensions").when(F.coalesce(F.col("vector_count") <= 0, F.lit(True)), "empty_index").when(is_blank(F.col("collection_name")),
+        "missing_collection")
     code = code.when(F.col("dimensions") != F.lit(request["dimensions"]), "query_width_mismatch")
     for name in ("provider_model", "provider_revision"):
         if request.get(name) is not None:

@@ -20,10 +20,12 @@ def a1_read_files(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "read-files")
     t["documents"].select(F.md5(F.coalesce("text", F.lit("")))).write.text(folder)
     read = files.read_documents(t.spark, f"{folder}/*.txt", "c")
-    return read.groupBy("extension").agg(F.sum("size_bytes").alias("size_bytes"), F.bool_and((F.length("content_sha256") == 64) & (F.length("content") == F.col("size_bytes"))).alias("hashed"))
+    return read.groupBy("extension").agg(F.sum("size_bytes").alias("size_bytes"),
+        F.bool_and((F.length("content_sha256") == 64) & (F.length("content") == F.col("size_bytes"))).alias("hashed"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN page_id % 2 = 0 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN page_id % 2 = 1 ELSE false END AS content_ok FROM pages")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN page_id % 2 = 0 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN page_id % 2 = 1 ELSE false END AS content_ok
+    FROM pages""")
 def a3_content_checks(t: Tables) -> DataFrame:
     """pdf with and without its head, text, an archive that is none, text with and without a zero, an unknown format."""
     k = (F.col("page_id") % 5).cast("int")
@@ -34,13 +36,21 @@ def a3_content_checks(t: Tables) -> DataFrame:
     return rows.select("page_id", files.content_matches_format(F.col("content"), F.col("ext")).alias("content_ok"))
 
 
-_SETS = ("{broken", '{"examples":[]}', '{"examples":[{"question":1}]}', '{"examples":[{"question":"q","relevant_documents":null}]}', '{"examples":[{"question":"q","x":1}]}')
+_SETS = ("{broken", '{"examples":[]}', '{"examples":[{"question":1}]}', '{"examples":[{"question":"q","relevant_documents":null}]}',
+    '{"examples":[{"question":"q","x":1}]}')
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 6 = 5 THEN unnest([0, 1]) END AS ordinal, CASE WHEN doc_id % 6 = 5 THEN md5('q' || doc_id) END AS question, CASE doc_id % 6 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_examples' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'unknown_field' END AS error FROM documents WHERE doc_id % 6 = 5 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, CASE doc_id % 6 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_examples' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'unknown_field' END FROM documents WHERE doc_id % 6 < 5")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 6 = 5 THEN unnest([0, 1]) END AS ordinal, CASE WHEN doc_id % 6 = 5 THEN md5('q'
+    || doc_id) END AS question, CASE doc_id % 6 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_examples' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'wrong_type'
+    WHEN 4 THEN 'unknown_field' END AS error
+    FROM documents WHERE doc_id % 6 = 5 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, CASE doc_id % 6 WHEN 0 THEN 'bad_json'
+    WHEN 1 THEN 'no_examples' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'unknown_field' END
+    FROM documents WHERE doc_id % 6 < 5""")
 def a6_question_sets(t: Tables) -> DataFrame:
     asked = F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question")
-    good = F.to_json(F.struct(F.array(F.struct(asked, F.array(F.lit("a")).alias("relevant_documents"), F.lit(None).cast("string").alias("reference_answer")), F.struct(asked, F.array().cast("array<string>").alias("relevant_documents"), F.lit("r").alias("reference_answer"))).alias("examples")), {"ignoreNullFields": "false"})
+    good = F.to_json(F.struct(F.array(F.struct(asked, F.array(F.lit("a")).alias("relevant_documents"),
+        F.lit(None).cast("string").alias("reference_answer")), F.struct(asked, F.array().cast("array<string>").alias("relevant_documents"),
+        F.lit("r").alias("reference_answer"))).alias("examples")), {"ignoreNullFields": "false"})
     k = (F.col("doc_id") % 6).cast("int")
     text = F.when(k == 5, good).otherwise(F.get(F.array(*map(F.lit, _SETS)), k))
     raw = t["documents"].select(F.col("doc_id").cast("string").alias("file"), F.length(text).alias("length"), text.alias("text"))
@@ -66,44 +76,53 @@ def a8_exported_runs(t: Tables) -> DataFrame:
 # --- parses ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'empty_parsed_document' WHEN doc_id % 5 IN (1, 2, 3) THEN 'invalid_parser_output' END AS reject_code FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'empty_parsed_document' WHEN doc_id % 5 IN (1, 2, 3) THEN 'invalid_parser_output' END AS reject_code
+    FROM documents""")
 def b7_metadata_checks(t: Tables) -> DataFrame:
     """Metadata, warnings, and boxes of parts; texts come first, and names in strings don't matter."""
     k, n = (F.col("doc_id") % 5).cast("int"), F.col("doc_id")
     metadata = F.get(F.array(*map(F.lit, ('{"title":"To Infinity and NaN"}', '{"a":NaN}', "{}", "{}", "{}"))), k)
     warnings = F.when(k == 2, "[1,").otherwise('["w"]')
-    parses = t["documents"].select("doc_id", F.col("doc_id").alias("document_id"), F.when(n % 11 == 0, " ").otherwise("x").alias("text"), F.lit("p").alias("parser_name"), F.lit("1").alias("parser_version"), metadata.alias("metadata"), warnings.alias("warnings"))
-    blocks = t["documents"].select(F.col("doc_id").alias("document_id"), F.lit("{}").alias("metadata"), F.when(k == 3, "[0,").when(k == 4, "[0,1]").alias("bounding_box"))
+    parses = t["documents"].select("doc_id", F.col("doc_id").alias("document_id"), F.when(n % 11 == 0, " ").otherwise("x").alias("text"),
+        F.lit("p").alias("parser_name"), F.lit("1").alias("parser_version"), metadata.alias("metadata"), warnings.alias("warnings"))
+    blocks = t["documents"].select(F.col("doc_id").alias("document_id"), F.lit("{}").alias("metadata"),
+        F.when(k == 3, "[0,").when(k == 4, "[0,1]").alias("bounding_box"))
     return canonical.validate_parses(parses, canonical.broken_json(blocks)).select("doc_id", "reject_code")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
 # Every document is embedded, and every document whose id is divisible by 100 asks for its own kind; others of them are blank.
 
-_INDEX = {"status": "ready", "provider": "local", "model": "hashing", "distance_metric": "cosine", "input_policy_version": "1", "indexer_name": "exact", "indexer_version": "1", "collection_name": "c", "dimensions": 64, "chunk_set_id": "s"}
+_INDEX = {"status": "ready", "provider": "local", "model": "hashing", "distance_metric": "cosine", "input_policy_version": "1",
+    "indexer_name": "exact", "indexer_version": "1", "collection_name": "c", "dimensions": 64, "chunk_set_id": "s"}
 
 
 def _retrieved(t: Tables) -> tuple[DataFrame, DataFrame]:
     docs, embedder = t["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vectors.hashing_embedder()
     own = materialize(vectors.embed(docs, embedder).select(F.col("doc_id").cast("string").alias("chunk_id"), "embedding"))
-    chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 3, "other").otherwise("s").alias("chunk_set_id"), F.md5("text").alias("text"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 == 3,
+        "other").otherwise("s").alias("chunk_set_id"), F.md5("text").alias("text"))
     question = F.when(F.col("doc_id") % 300 == 0, " \n").otherwise(F.col("text"))
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query_id"), question.alias("question"))
     return search.retrieve(asked, _INDEX | {"vector_count": own.count()}, own, chunks, 5, embedder, _INDEX)
 
 
 _RETRIEVED = "WITH " + EMBEDDED + """, asked AS (SELECT doc_id, embedding FROM embedded WHERE doc_id % 100 = 0 AND doc_id % 300 <> 0),
-near AS (SELECT q.doc_id AS q, v.doc_id AS c, coalesce(round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 12), 1) AS d FROM asked q CROSS JOIN embedded v),
+near AS (SELECT q.doc_id AS q, v.doc_id AS c, coalesce(round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])),
+    12), 1) AS d FROM asked q CROSS JOIN embedded v),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN isnan(d) THEN 1 ELSE d END, CAST(c AS VARCHAR)) AS INT) AS rank FROM near QUALIFY rank <= 5)
 """
 
 
-@query(_RETRIEVED + "SELECT CAST(q AS VARCHAR) AS query_id, rank, CAST(c AS VARCHAR) AS chunk_id, md5(coalesce(text, '')) AS text FROM top JOIN documents ON doc_id = c WHERE c % 7 <> 3")
+@query(_RETRIEVED + """SELECT CAST(q AS VARCHAR) AS query_id, rank, CAST(c AS VARCHAR) AS chunk_id, md5(coalesce(text, '')) AS text
+    FROM top JOIN documents ON doc_id = c WHERE c % 7 <> 3""")
 def e6_retrieved_evidence(t: Tables) -> DataFrame:
     return _retrieved(t)[0].select("query_id", "rank", "chunk_id", "text")
 
 
-@query(_RETRIEVED + "SELECT CAST(q AS VARCHAR) AS query_id, 'missing_or_foreign_chunk' AS error FROM top WHERE c % 7 = 3 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'blank_question' FROM documents WHERE doc_id % 300 = 0")
+@query(_RETRIEVED + """SELECT CAST(q AS VARCHAR) AS query_id, 'missing_or_foreign_chunk' AS error
+    FROM top WHERE c % 7 = 3 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'blank_question'
+    FROM documents WHERE doc_id % 300 = 0""")
 def e6_retrieval_errors(t: Tables) -> DataFrame:
     return _retrieved(t)[1]
 
@@ -117,18 +136,24 @@ def d4_missing_vectors(t: Tables) -> DataFrame:
 # --- evaluations and runs ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey AS evaluation_id, '[' || string_agg('{"ordinal":' || l_linenumber || ',"example_id":' || l_partkey || ',"evidence":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_partkey, l_returnflag) || ']' AS questions
+@query("""SELECT o_orderkey AS evaluation_id, '[' || string_agg('{"ordinal":' || l_linenumber || ',"example_id":' || l_partkey || ',"evidence":"'
+    || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_partkey, l_returnflag) || ']' AS questions
     FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def h10_evaluation_detail(t: Tables) -> DataFrame:
-    asked = t["lineitem"].select(F.col("l_orderkey").alias("evaluation_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("example_id"), F.col("l_returnflag").alias("evidence"))
+    asked = t["lineitem"].select(F.col("l_orderkey").alias("evaluation_id"), F.col("l_linenumber").alias("ordinal"),
+        F.col("l_partkey").alias("example_id"), F.col("l_returnflag").alias("evidence"))
     found = evaluation.evaluation_detail(t["orders"].select(F.col("o_orderkey").alias("evaluation_id")), asked)
     return found.select("evaluation_id", F.to_json("questions").alias("questions"))
 
 
-@query("SELECT o_orderkey AS index_id, o_custkey AS dataset_id, coalesce(reason, '') = '' AS launchable, reason FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 OR c_custkey IS NULL THEN 'unknown_input' WHEN o_orderstatus = 'O' THEN 'index_not_ready' WHEN o_orderkey % 5 <> c_nationkey % 5 THEN 'different_corpora' END AS reason FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0)")
+@query("""SELECT o_orderkey AS index_id, o_custkey AS dataset_id, coalesce(reason, '') = '' AS launchable, reason
+    FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 OR c_custkey IS NULL THEN 'unknown_input'
+    WHEN o_orderstatus = 'O' THEN 'index_not_ready' WHEN o_orderkey % 5 <> c_nationkey % 5 THEN 'different_corpora' END AS reason
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0)""")
 def i1_launch_checks(t: Tables) -> DataFrame:
     asked = t["orders"].select(F.col("o_orderkey").alias("index_id"), F.col("o_custkey").alias("dataset_id"))
-    indexes = t["orders"].where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("corpus_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("ready").alias("status"), F.lit("v").alias("vector_index_id"))
+    indexes = t["orders"].where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("corpus_id"),
+        F.when(F.col("o_orderstatus") == "O", "running").otherwise("ready").alias("status"), F.lit("v").alias("vector_index_id"))
     datasets = t["customer"].where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).cast("long").alias("corpus_id"))
     return history.launch_checks(asked, indexes, datasets)
 
@@ -139,21 +164,29 @@ def i2_runs_without_examples(t: Tables) -> DataFrame:
     return history.runs_without_examples(runs, t["supplier"].where("s_acctbal > 5000").select(F.col("s_nationkey").alias("dataset_id"))).select("id")
 
 
-@query("SELECT r.id, n_name AS index_name, r_name AS dataset_name, e.k AS latest_evaluation_id, e.s AS latest_evaluation_status FROM runs r LEFT JOIN nation ON n_nationkey = created_at % 30 LEFT JOIN region ON r_regionkey = created_at % 5 LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS run_id, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS k, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderkey)) AS s FROM orders GROUP BY 1) e ON e.run_id = r.id", "runs")
+@query("""SELECT r.id, n_name AS index_name, r_name AS dataset_name, e.k AS latest_evaluation_id, e.s AS latest_evaluation_status
+    FROM runs r LEFT JOIN nation ON n_nationkey = created_at % 30
+    LEFT JOIN region ON r_regionkey = created_at % 5 LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS run_id, arg_max(o_orderkey,
+    struct_pack(a := o_orderdate, b := o_orderkey)) AS k, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderkey)) AS s
+    FROM orders GROUP BY 1) e ON e.run_id = r.id""", "runs")
 def i3_run_names(t: Tables) -> DataFrame:
     runs = t["runs"].select("id", "created_at", (F.col("created_at") % 30).alias("index_id"), (F.col("created_at") % 5).alias("dataset_id"))
     named = lambda name, key, text: t[name].select(F.col(key).cast("long").alias("id"), F.col(text).alias("name"))
-    tried = t["orders"].select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("seq"))
+    tried = t["orders"].select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").alias("id"),
+        F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("seq"))
     examples = t["example_runs"].select("*", *(F.col("tokens").alias(c) for c in history.USAGE))
     found = history.run_summary(runs, examples, named("nation", "n_nationkey", "n_name"), named("region", "r_regionkey", "r_name"), tried)
     return found.select("id", "index_name", "dataset_name", "latest_evaluation_id", "latest_evaluation_status")
 
 
-@query("""SELECT n_nationkey AS corpus_id, '[' || coalesce(string_agg('{"uploaded_at":' || c_custkey || ',"id":' || c_custkey || ',"original_filename":"' || c_name || '"' || CASE WHEN c_custkey % 3 = 0 THEN ',"character_count":' || length(c_name) ELSE '' END || '}', ',' ORDER BY c_custkey), '') || ']' AS documents
+@query("""SELECT n_nationkey AS corpus_id, '[' || coalesce(string_agg('{"uploaded_at":' || c_custkey || ',"id":' || c_custkey
+    || ',"original_filename":"' || c_name || '"' || CASE WHEN c_custkey % 3 = 0 THEN ',"character_count":' || length(c_name) ELSE '' END || '}',
+    ',' ORDER BY c_custkey), '') || ']' AS documents
     FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 def i10_corpus_documents(t: Tables) -> DataFrame:
     corpora = t["nation"].select(F.col("n_nationkey").alias("id"))
-    docs = t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("corpus_id"), F.col("c_name").alias("original_filename"), F.col("c_custkey").alias("uploaded_at"))
+    docs = t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("corpus_id"),
+        F.col("c_name").alias("original_filename"), F.col("c_custkey").alias("uploaded_at"))
     parses = t["customer"].where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("document_id"), F.length("c_name").alias("character_count"))
     return history.corpus_documents(corpora, docs, parses).select("corpus_id", F.to_json("documents").alias("documents"))
 
@@ -176,5 +209,7 @@ def j_declared_audit(t: Tables) -> DataFrame:
     n = F.col("doc_id")
     docs = t["documents"].where("text is not null")
     some = F.when(n % 4 == 0, 0).otherwise(5)
-    parses = docs.select(n.alias("id"), F.floor(n / 2).alias("document_id"), F.when(n % 3 == 0, "  ").otherwise("x").alias("normalized_text"), some.alias("character_count"), some.alias("utf8_size_bytes"), (F.when(n % 10 == 7, -1).otherwise(0)).alias("duration_ms"), F.when(n % 5 == 0, "{}").otherwise("[]").alias("warnings_json"))
+    parses = docs.select(n.alias("id"), F.floor(n / 2).alias("document_id"), F.when(n % 3 == 0, "  ").otherwise("x").alias("normalized_text"),
+        some.alias("character_count"), some.alias("utf8_size_bytes"), (F.when(n % 10 == 7, -1).otherwise(0)).alias("duration_ms"),
+        F.when(n % 5 == 0, "{}").otherwise("[]").alias("warnings_json"))
     return audit.audit_model({"document": docs.where("doc_id % 2 = 1").select(n.alias("id")), "document_parse": parses})

@@ -47,6 +47,7 @@ def with_views(sql: str, *names: str) -> str:
     """The SQL with the named views before it, in DuckDB's dialect."""
     wanted = [n for n in VIEWS if n in names]
     text = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
-    text = text.replace("AS STRING)", "AS VARCHAR)").replace("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')").replace("(vec_id / 100)", "(vec_id // 100)")
+    text = text.replace("AS STRING)", "AS VARCHAR)").replace("get_json_object(props, '$.k')",
+        "json_extract_string(props, '$.k')").replace("(vec_id / 100)", "(vec_id // 100)")
     head, _, rest = sql.strip().partition("WITH")
     return f"WITH {text}, {rest}" if not head and rest else f"WITH {text} {sql}"

@@ -29,7 +29,8 @@ def read_documents(spark: SparkSession, path: str, corpus_id: str) -> DataFrame:
     """One row for each file: name, extension, size, SHA-256 and content."""
     name = F.element_at(F.split("path", "/"), -1)
     return spark.read.format("binaryFile").load(path).select(
-        F.lit(corpus_id).alias("corpus_id"), name.alias("original_filename"), extension(name).alias("extension"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"), F.col("modificationTime").alias("uploaded_at"), "content"
+        F.lit(corpus_id).alias("corpus_id"), name.alias("original_filename"), extension(name).alias("extension"),
+            F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"), F.col("modificationTime").alias("uploaded_at"), "content"
     )
 
 
@@ -63,7 +64,8 @@ def content_matches_format(content: Column, ext: Column) -> Column:
 def reject_code(name: Column, size: Column, content_ok: Column | None = None) -> Column:
     """The first rule that a file fails, null if it is admitted."""
     bad_name = is_blank(name) | name.isin(".", "..") | name.rlike(r"[/\\]")
-    code = F.when(bad_name, "invalid_filename").when(parser_for(extension(name)).isNull(), "unsupported_file_type").when(size > MAX_FILE_BYTES, "file_too_large")
+    code = F.when(bad_name, "invalid_filename").when(parser_for(extension(name)).isNull(), "unsupported_file_type").when(size > MAX_FILE_BYTES,
+        "file_too_large")
     return code if content_ok is None else code.when(~content_ok, "invalid_file_content")
 
 
@@ -88,7 +90,8 @@ def read_text_documents(spark: SparkSession, path: str, corpus_id: str = "defaul
 
 def read_question_sets(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, ordinal, question, reference_answer, relevant_documents, error). A bad file is one row with an error."""
-    raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.col("content").cast("string").alias("text"))
+    raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
+        F.col("content").cast("string").alias("text"))
     return parse_question_sets(raw)
 
 
@@ -97,7 +100,8 @@ def parse_question_sets(raw: DataFrame) -> DataFrame:
     root = F.from_json("text", QUESTION_SCHEMA, {"mode": "PERMISSIVE"})
     items = F.from_json(F.get_json_object("text", "$.examples"), "array<string>")
     known = F.array(*map(F.lit, ("question", "reference_answer", "relevant_documents")))
-    unknown = F.coalesce(F.exists(items, lambda x: F.coalesce(F.size(F.array_except(F.json_object_keys(x), known)) > 0, F.lit(True))), F.lit(False)) | ~F.coalesce(F.array_except(F.json_object_keys("text"), F.array(F.lit("examples"))) == F.array().cast("array<string>"), F.lit(False))
+    unknown = F.coalesce(F.exists(items, lambda x: F.coalesce(F.size(F.array_except(F.json_object_keys(x), known)) > 0, F.lit(True))),
+        F.lit(False)) | ~F.coalesce(F.array_except(F.json_object_keys("text"), F.array(F.lit("examples"))) == F.array().cast("array<string>"), F.lit(False))
     examples = root["examples"]
     # values are texts, the answer may be null, and documents are a list of texts if they are there
     kind = lambda x, path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), path, "variant"))
@@ -107,10 +111,15 @@ def parse_question_sets(raw: DataFrame) -> DataFrame:
         | (has(x, "reference_answer") & ~F.coalesce(kind(x, "$.reference_answer").isin("STRING", "VOID"), F.lit(False)))
         | (has(x, "relevant_documents") & ~F.coalesce(kind(x, "$.relevant_documents").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)))
     )
-    error = F.when(F.col("length") > MAX_FILE_BYTES, "file_too_large").when(~F.is_valid_utf8("text"), "bad_encoding").when(F.try_parse_json("text").isNull(), "bad_json").when(unknown, "unknown_field").when(F.exists(items, odd), "wrong_type").when(F.coalesce(F.size(examples), F.lit(0)) < 1, "no_examples").when(F.exists(examples, lambda e: is_blank(e["question"])), "blank_question")
+    error = F.when(F.col("length") > MAX_FILE_BYTES, "file_too_large").when(~F.is_valid_utf8("text"),
+        "bad_encoding").when(F.try_parse_json("text").isNull(), "bad_json").when(unknown, "unknown_field").when(F.exists(items, odd),
+        "wrong_type").when(F.coalesce(F.size(examples), F.lit(0)) < 1, "no_examples").when(F.exists(examples, lambda e: is_blank(e["question"])),
+        "blank_question")
     rows = raw.select("file", error.alias("error"), examples.alias("examples"))
-    good = rows.where("error is null").select("file", F.posexplode("examples").alias("ordinal", "e")).select("file", "ordinal", "e.*", F.lit(None).cast("string").alias("error"))
-    bad = rows.where("error is not null").select("file", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("reference_answer"), F.lit(None).cast("array<string>").alias("relevant_documents"), "error")
+    good = rows.where("error is null").select("file", F.posexplode("examples").alias("ordinal", "e")).select("file", "ordinal", "e.*",
+        F.lit(None).cast("string").alias("error"))
+    bad = rows.where("error is not null").select("file", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("question"),
+        F.lit(None).cast("string").alias("reference_answer"), F.lit(None).cast("array<string>").alias("relevant_documents"), "error")
     return good.unionByName(bad)
 
 

@@ -185,7 +185,7 @@ def test_k_and_revisions(spark):
         retrieved(spark, k=0)
     with pytest.raises(ValueError, match="provider_revision_mismatch"):
         retrieved(spark, INDEX | {"provider_revision": "1"}, request=INDEX | {"provider_revision": "2"})
-    assert retrieved(spark, INDEX | {"provider_revision": "1"})[0].count() == 1
+    assert retrieved(spark, INDEX | {"provider_revision": "1"})[0].count() == 2
 
 
 # --- judgments, question sets, artifacts, audits -----------------------------------------------------------------
