@@ -37,6 +37,8 @@ from .common import bit_sums, connected_components, majority, materialize, slice
 NODE_SIZE = 1024
 #: Fingerprints, or nodes, below one node inside a task.
 FAN_OUT = 16
+#: Pairs of fingerprints that a search holds at once, about, each some 60 bytes; at least those of one node.
+PAIRS = 1 << 21
 
 
 def text_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -148,7 +150,13 @@ def links(codes: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> Data
             order = np.lexsort((gray_rank(code), key, path))
             path, key, code = path[order], key[order], code[order]
             bounds = np.concatenate([[0], np.flatnonzero((np.diff(path) != 0) | (np.diff(key) != 0)) + 1, [len(code)]])
-            root = forest(len(code), *links_in_groups(code, bounds, radius))
+            root = np.arange(len(code))
+            # nodes are searched together up to so many pairs, which all may be links
+            piece = np.cumsum(np.diff(bounds) ** 2) // PAIRS
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for g, h in zip(cuts, cuts[1:], strict=False):
+                low, high = bounds[g], bounds[h]
+                root[low:high] = low + forest(high - low, *links_in_groups(code[low:high], bounds[g : h + 1] - low, radius))
             own = root != np.arange(len(code))
             return pa.record_batch({"a": pa.array(code[own].view(np.int64)), "b": pa.array(code[root[own]].view(np.int64))})
 
