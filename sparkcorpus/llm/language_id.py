@@ -48,8 +48,8 @@ def ngrams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.nd
     """(features, text of each): the hashed 1- to 3-grams of all texts at once."""
     low = [(t or "").lower() for t in texts]
     size = np.fromiter((len(t) + 2 for t in low), np.int64, len(low))
-    # two blanks after each text keep n-grams from running into the next one
-    code = np.frombuffer("".join(f"{t}  " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # a blank before and after each text keeps n-grams from running into another one
+    code = np.frombuffer("".join(f" {t} " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(letters()[code], code, 32).astype(np.uint32)
     row = np.repeat(np.arange(len(low), dtype=np.int32), size)
     one, shift = code * np.uint32(0x9E3779B1), np.uint32(32 - bits)
