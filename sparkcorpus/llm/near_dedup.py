@@ -199,7 +199,7 @@ def components(prints: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -
     roots = connected_components(links(codes.select("fp"), radius, node_size)).select(F.col("node").alias("fp"), "root")
     named = codes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(named.join(least, "root").select("fp", "component"), "fp")
+    return prints.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:

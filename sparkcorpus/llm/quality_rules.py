@@ -2,7 +2,8 @@
 
 Everything is built-in SQL functions over one row at a time: no shuffle, no Python.
 
-Edge cases: a null text counts as a text without words (counts and ratios 0, so the base length rule fails). Rows are
+Edge cases: a null text counts as a text without words (counts and ratios 0, so the base length rule fails). A very long
+text is counted whole, in n log n. A value on a threshold passes. Rows are
 judged alone, so ties and repeated rows change nothing. Other columns are kept untouched; the statistics live in one
 struct column. An empty table gives an empty result.
 """
