@@ -198,7 +198,8 @@ def test_mixed_rows_of_one_id(spark):
 # --- line dedup --------------------------------------------------------------------------------------------------
 
 
-def test_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("group_sets", [3, 256])
+def test_lines_against_all_pairs(spark, group_sets):
     """Random lines of few words, many of them near copies, in an order of rarity from a small table."""
     r = random.Random(11)
     bases = [[f"w{r.randrange(40 if k % 3 else 4000)}" for _ in range(r.randrange(1, 60))] for k in range(40)]
@@ -214,5 +215,28 @@ def test_lines_against_all_pairs(spark):
         like = [j for j, s in enumerate(sets) if own and s and len(own & s) >= 0.8 * len(own | s) - 1e-9]
         if like and like[0] < k:
             wanted[divmod(k, 3)] = (divmod(like[0], 3), len({sets[j] for j in like} - {own}))
-    got = {(r.id, r.line): ((r.first_id, r.first_line), r.n_links) for r in line_dedup.matches(df).collect()}
+    got = {(r.id, r.line): ((r.first_id, r.first_line), r.n_links) for r in line_dedup.matches(df, group_sets=group_sets).collect()}
     assert got == wanted and len(wanted) > 60
+
+
+def test_a_group_of_near_copies_is_counted_not_listed(spark):
+    """One line in 300 versions that differ from it in up to 9 words: many links need the words that two versions share."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    lines = [" ".join(base)]
+    for _ in range(299):
+        w = list(base)
+        for _ in range(r.randrange(10)):
+            w[r.randrange(12)] = f"n{r.randrange(30)}"
+        lines.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets, wanted = [frozenset(x.split()) for x in lines], {}
+    for k, own in enumerate(sets):
+        like = [j for j, s in enumerate(sets) if len(own & s) >= 0.8 * len(own | s) - 1e-9]
+        if like[0] < k:
+            wanted[k] = (like[0], len({sets[j] for j in like} - {own}))
+    assert {r.id: (r.first_id, r.n_links) for r in line_dedup.matches(df, group_sets=16).collect()} == wanted
+    every = line_dedup.sets(df, line_dedup.rarity(df))
+    grouped = line_dedup.groups(every, 0.8, 16)
+    listed = line_dedup.candidates(every.join(grouped, ["key", "sig"], "left")).count()
+    assert grouped.select("key", "sig").distinct().count() > 250 and listed < 0.1 * 300 * 299 / 2
