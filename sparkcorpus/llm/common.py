@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -75,6 +76,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back_memory() -> None:
+    """Return what was freed to the system: a worker process goes on to other tasks, and would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with about `most` bytes of text each, one row at least."""
     for batch in batches:
@@ -84,6 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back_memory()
 
 
 def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:

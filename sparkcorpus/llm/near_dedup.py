@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import bit_sums, connected_components, majority, materialize, slices
+from .common import bit_sums, connected_components, give_back_memory, majority, materialize, slices
 
 #: A node of the index with more fingerprints is refined. Each level fixes a third of the free bits or more of them, so
 #: five levels are enough for this size, however many fingerprints there are.
@@ -38,7 +38,7 @@ NODE_SIZE = 1024
 #: Fingerprints, or nodes, below one node inside a task.
 FAN_OUT = 16
 #: Pairs of fingerprints that a search holds at once, about, each some 60 bytes; at least those of one node.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def text_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -169,6 +169,7 @@ def links(codes: DataFrame, radius: int = 2, node_size: int = NODE_SIZE) -> Data
             held = rows.slice(cut)
         if held is not None and held.num_rows:
             yield edges(held)
+        give_back_memory()
 
     if node_size < 64:
         raise ValueError("small nodes need very many masks; 64 is the least node size")
