@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_counts, token_files
+from . import alignment, decontamination, importance, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_counts, token_files
 from .common import materialize, shared_folder
 from .sql import ORACLE_SQL
 
 #: The vocabulary of op9, and the id that ends a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
+#: The two tokenizers that op12 aligns.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +90,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    return alignment.statistics(table(spark, sf_dir, "documents"), a, b).withColumnRenamed("id", "doc_id")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
