@@ -251,13 +251,13 @@ def found_in(made: DataFrame, queries: DataFrame, k: int, breadth: int = BREADTH
     sent = queries.join(F.broadcast(sizes), "width").join(F.broadcast(shards), "width")
     sent = sent.select("width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", "qh"),
         F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "qh", "v")
-    part = made.join(F.broadcast(sizes), "width").select("width", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    graphs = made.join(F.broadcast(sizes), "width").select("width", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(0).alias("kind"), "ids", "vectors", "layers")
-    both = part.unionByName(sent, allowMissingColumns=True).repartition("width", "shard", "block").sortWithinPartitions("width", "shard", "block", "kind")
+    both = graphs.unionByName(sent, allowMissingColumns=True).repartition("width", "shard", "block").sortWithinPartitions("width", "shard", "block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = ids = None
-        for (width, _, _, of), table in _by_key(batches, ("width", "shard", "block", "kind")):
+        graph = ids = there = None
+        for (width, shard, part, of), table in _by_key(batches, ("width", "shard", "block", "kind")):
             if not of:
                 row = table.combine_chunks().to_batches()[0]
                 x = np.frombuffer(row.column("vectors")[0].as_buffer(), np.float64).reshape(-1, width)
@@ -265,7 +265,9 @@ def found_in(made: DataFrame, queries: DataFrame, k: int, breadth: int = BREADTH
                 for layer in row.column("layers")[0].as_py():
                     members = np.frombuffer(layer["members"], np.int32)
                     layers.append((members, np.frombuffer(layer["neighbours"], np.int32).reshape(len(members), -1)))
-                graph, ids = Graph(x, layers), row.column("ids")[0].values
+                graph, ids, there = Graph(x, layers), row.column("ids")[0].values, (width, shard, part)
+                continue
+            if there != (width, shard, part):  # few vectors can leave a shard empty
                 continue
             for block in table.to_batches(max_chunksize=AT_ONCE):
                 q = block.column("v").flatten().to_numpy().reshape(-1, width)
