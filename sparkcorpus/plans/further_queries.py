@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_folder
-from ..operators import audit, canonical, evaluation, history, search, vectors
+from ..operators import audit, canonical, evaluation, history, indexing, search, vectors
 from ..sources import files
 from .queries import EMBEDDED, query
 from .views import Tables
@@ -213,3 +213,22 @@ def j_declared_audit(t: Tables) -> DataFrame:
         some.alias("character_count"), some.alias("utf8_size_bytes"), (F.when(n % 10 == 7, -1).otherwise(0)).alias("duration_ms"),
         F.when(n % 5 == 0, "{}").otherwise("[]").alias("warnings_json"))
     return audit.audit_model({"document": docs.where("doc_id % 2 = 1").select(n.alias("id")), "document_parse": parses})
+
+
+# --- index build -------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + EMBEDDED + """, d AS (SELECT doc_id, source FROM documents)
+    SELECT CAST(e.doc_id AS VARCHAR) AS chunk_id, embedding, '{' || coalesce('"corpus_id":"' || source || '",', '')
+    || '"document_id":"' || e.doc_id || '"}' AS metadata, 64 AS dimensions, (SELECT count(*) FROM documents) AS vector_count, true AS again
+    FROM embedded e JOIN d ON d.doc_id = e.doc_id""")
+def d_index_build(t: Tables) -> DataFrame:
+    """Every document as a chunk, indexed; asked for again, the index is there."""
+    folder = new_folder(t.spark, "indexes")
+    meta = vectors.vector_metadata(required={"corpus_id": F.col("source"), "document_id": F.col("doc_id")}, optional={})
+    chunks = t["documents"].select(F.col("doc_id").alias("chunk_id"), "text", "doc_id", "source")
+    build = lambda: indexing.build_vector_index(chunks, {"id": "s", "fingerprint": "f"}, vectors.hashing_embedder(), folder, metadata=meta)
+    row, _ = build()
+    _, again = build()
+    return indexing.read_vectors(t.spark, row["collection_name"]).select("chunk_id", "embedding", "metadata",
+        F.lit(int(row["dimensions"])).alias("dimensions"), F.lit(int(row["vector_count"])).cast("long").alias("vector_count"), F.lit(again).alias("again"))

@@ -123,43 +123,79 @@ def parse_question_sets(raw: DataFrame) -> DataFrame:
     return good.unionByName(bad)
 
 
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a folder to a place that nothing has yet. False if it's taken, also by another writer at the same time."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    store = place(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place(target).getParent())
+    if store.exists(place(target)):
+        return False
+    store.rename(place(source), place(target))
+    inside = place(f"{target}/{source.rpartition('/')[2]}")  # a rename beside another one ends here
+    return not (store.exists(inside) and store.delete(inside, True))
+
+
+def _named(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def publish(spark: SparkSession, path: str, row: dict[str, str]) -> bool:
+    """Make an artifact visible by its manifest row, which has fingerprint and artifact_id. False if the fingerprint is
+    published already. Fails if the id belongs to another fingerprint: it does from the first attempt to publish it.
+
+    Each step is one rename of a folder, so that of several writers one gets through.
+    """
+    attempt = f"{path}/attempts/{uuid.uuid4().hex}"
+    claim, target = f"{path}/ids/id={_named(row['artifact_id'])}", f"{path}/manifest/print={_named(row['fingerprint'])}"
+    spark.createDataFrame([(row["fingerprint"],)], "fingerprint string").coalesce(1).write.parquet(f"{attempt}-id")
+    if not _renamed(spark, f"{attempt}-id", claim):
+        owner = spark.read.schema("fingerprint string").parquet(claim).first()
+        if owner is None or owner["fingerprint"] != row["fingerprint"]:
+            raise ValueError(f"artifact id {row['artifact_id']} belongs to another fingerprint")
+    spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` string" for k in row)).coalesce(1).write.parquet(attempt)
+    return _renamed(spark, attempt, target)
+
+
+def published(spark: SparkSession, path: str, fingerprint: str) -> dict[str, str] | None:
+    """The manifest row of a fingerprint."""
+    known = read_manifest(spark, path)
+    found = None if known is None else known.where(F.col("fingerprint") == fingerprint).first()
+    return None if found is None else found.asDict()
+
+
 def write_artifact(df: DataFrame, path: str, artifact_id: str, manifest: dict[str, str]) -> bool:
-    """Write the rows of an artifact and then its manifest row. False if its fingerprint is there already."""
+    """Write the rows of an artifact and publish them. False if its fingerprint is there already.
+
+    Rows go to a folder of this attempt, which the manifest row names; nothing that is visible is ever written again. An attempt that
+    comes second, or fails, leaves its folder out of sight.
+    """
     spark, fingerprint = df.sparkSession, manifest["fingerprint"]
-    known = read_manifest(spark, path)
-    if known is not None and not known.where(F.col("fingerprint") == fingerprint).isEmpty():
+    if published(spark, path, fingerprint) is not None:
         return False
-    target = f"{path}/rows/artifact_id={artifact_id}"
+    attempt = uuid.uuid4().hex
+    target = f"{path}/rows/attempt={attempt}"
     seen = Observation()
-    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(target)
+    df.observe(seen, F.count("*").alias("rows")).write.parquet(target)
     count = spark.read.schema(df.schema).parquet(target).count()
     if count != seen.get["rows"]:
         raise RuntimeError(f"{count} rows are there of {seen.get['rows']} that were written")
-    row = {**manifest, "artifact_id": artifact_id, "row_count": str(count), "status": "ready"}
-    # the manifest row of a fingerprint is a folder of its own: of two writers, the second one finds it there
-    attempt = f"{path}/attempts/{uuid.uuid4().hex}"
-    spark.createDataFrame([tuple(row.values())], [*row]).coalesce(1).write.parquet(attempt)
-    name = hashlib.sha256(fingerprint.encode()).hexdigest()
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    target = place(f"{path}/manifest/print={name}")
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(target.getParent())
-    if store.exists(target):
-        return False
-    store.rename(place(attempt), target)
-    inside = place(f"{path}/manifest/print={name}/{attempt.rpartition('/')[2]}")  # a rename beside another one ends here
-    return not (store.exists(inside) and store.delete(inside, True))
+    return publish(spark, path, {**manifest, "artifact_id": artifact_id, "attempt": attempt, "row_count": str(count), "status": "ready"})
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/manifest").drop("print") if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else None
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/manifest").drop("print")
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the artifacts that have a manifest row; others aren't visible. Fails if nothing was ever written."""
+    """Rows of the artifacts that have a manifest row, with artifact_id; only the folders of their attempts are read. Fails if
+    nothing was ever written."""
     rows, manifest = spark.read.parquet(f"{path}/rows"), read_manifest(spark, path)
-    return rows.limit(0) if manifest is None else rows.join(manifest.select("artifact_id"), "artifact_id", "left_semi")
+    if manifest is None:
+        return rows.limit(0).withColumn("artifact_id", F.lit(None).cast("string")).drop("attempt")
+    return rows.withColumn("attempt", F.col("attempt").cast("string")).join(manifest.select("attempt", "artifact_id"), "attempt").drop("attempt")
 
 
 def export_runs(runs: DataFrame, path: str) -> None:

@@ -51,7 +51,7 @@ def test_artifact_is_written_once(spark, tmp_path):
     df = spark.range(5)
     assert files.write_artifact(df, str(tmp_path), "a1", {"fingerprint": "f"})
     assert not files.write_artifact(df, str(tmp_path), "a2", {"fingerprint": "f"})
-    df.write.parquet(f"{tmp_path}/rows/artifact_id=broken")
+    df.write.parquet(f"{tmp_path}/rows/attempt=broken")
     assert files.read_artifacts(spark, str(tmp_path)).count() == 5
 
 

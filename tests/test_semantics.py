@@ -211,7 +211,7 @@ def test_types_of_question_sets(spark):
 
 
 def test_artifacts_without_a_manifest_are_not_read(spark, tmp_path):
-    spark.range(3).write.parquet(f"{tmp_path}/rows/artifact_id=a")
+    spark.range(3).write.parquet(f"{tmp_path}/rows/attempt=a")
     assert files.read_artifacts(spark, str(tmp_path)).count() == 0
     assert files.write_artifact(spark.range(4), str(tmp_path), "b", {"fingerprint": "f"}) and files.read_artifacts(spark, str(tmp_path)).count() == 4
     assert [(r.artifact_id, r.row_count) for r in files.read_manifest(spark, str(tmp_path)).collect()] == [("b", "4")]
