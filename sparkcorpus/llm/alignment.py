@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,32 +63,44 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Aligned:
     """Pieces of text, one after another as one row of bytes: ids of A and of B, the groups, and the links.
 
-    a, b: ids; a_end, b_end: where tokens end, in bytes; ends: where pieces end. Arrays of places of a piece in something are
-    its offsets there: piece i has the tokens a[a_at[i]:a_at[i + 1]], and groups and links likewise.
+    a, b: ids; a_cut, b_cut: the ends of the groups in both; links: A * 2**32 + B. a_at, b_at, group_at and link_at are the offsets
+    of the pieces in them: piece i has the tokens a[a_at[i]:a_at[i + 1]].
     """
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, ends: np.ndarray) -> None:
-        self.a, self.b = a, b
+    PARTS = ("a", "b", "a_cut", "b_cut", "links")
+
+    def __init__(self, a: list[int], b: list[int], sizes: list[int], a_size: np.ndarray, b_size: np.ndarray) -> None:
+        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+        a_end, b_end, starts = np.cumsum(a_size[self.a]), np.cumsum(b_size[self.b]), np.cumsum([0, *sizes])
         a_place = dict(zip(a_end.tolist(), range(1, len(a) + 1), strict=True))
         b_place = dict(zip(b_end.tolist(), range(1, len(b) + 1), strict=True))
         cuts = sorted(a_place.keys() & b_place.keys())
-        self.a_cut, self.b_cut = ([*map(place.__getitem__, cuts)] for place in (a_place, b_place))
-        starts = np.concatenate([[0], ends])
+        self.a_cut, self.b_cut = (np.fromiter(map(place.__getitem__, cuts), np.int64, len(cuts)) for place in (a_place, b_place))
         self.a_at, self.b_at, self.group_at = (np.searchsorted(x, starts, "right") for x in (a_end, b_end, np.array(cuts, np.int64)))
         # in a slice, each end of a token, of A or of B, closes one overlap of the two tokens there
-        closed = np.union1d(a_end, b_end)
+        closed = np.array(sorted(a_place.keys() | b_place.keys()), np.int64)
         self.link_at = np.searchsorted(closed, starts, "right")
-        self.links = (a[np.searchsorted(a_end, closed)] << 32) + b[np.searchsorted(b_end, closed)]
+        self.links = (self.a[np.searchsorted(a_end, closed)] << 32) + self.b[np.searchsorted(b_end, closed)]
 
-    def groups(self) -> list[str]:
-        """The groups of each piece as text."""
-        a, b, x, y, listed = [*map(str, self.a.tolist())], [*map(str, self.b.tolist())], 0, 0, []
-        for i, j in zip(self.a_cut, self.b_cut, strict=True):
+    def groups(self, names: list[str]) -> list[str]:
+        """The groups of each piece as text; names: ids as text."""
+        a, b, x, y, listed = [*map(names.__getitem__, self.a.tolist())], [*map(names.__getitem__, self.b.tolist())], 0, 0, []
+        for i, j in zip(self.a_cut.tolist(), self.b_cut.tolist(), strict=True):
             listed.append(f"{a[x]}|{b[y]}" if i - x == j - y == 1 else f"{','.join(a[x:i])}|{','.join(b[y:j])}")
             x, y = i, j
         at = self.group_at.tolist()
         return [";".join(listed[p:q]) for p, q in zip(at, at[1:], strict=False)]
 
+    @classmethod
+    def joined(cls, parts: list[Aligned]) -> Aligned:
+        """The pieces of several parts."""
+        out, base = cls.__new__(cls), {c: np.cumsum([0, *(len(getattr(p, c)) for p in parts)]) for c in cls.PARTS}
+        for c, of in (("a", None), ("b", None), ("links", None), ("a_cut", "a"), ("b_cut", "b")):
+            setattr(out, c, np.concatenate([np.zeros(0, np.int64), *(getattr(p, c) + (0 if of is None else base[of][i]) for i, p in enumerate(parts))]))
+        for c, of in (("a_at", "a"), ("b_at", "b"), ("group_at", "a_cut"), ("link_at", "links")):
+            setattr(out, c, np.concatenate([*(getattr(p, c)[:-1] + base[of][i] for i, p in enumerate(parts)), base[of][-1:]]).astype(np.int64))
+        return out
+
 
 class Aligner:
     """Aligns texts for one pair of tokenizers."""
@@ -106,6 +119,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(t)) else t.replace("▁", " ").encode() for t in pieces]
         self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.names = [*map(str, range(max(len(self.a_bytes), len(self.b_bytes))))]
         self.pieces = self.by_pieces(pieces)
 
     def by_pieces(self, pieces: list[str]) -> bool:
@@ -130,46 +144,64 @@ class Aligner:
             out.append((x, y) if same else None)
         return out
 
-    def texts(self, texts: list[str | None]) -> tuple[Aligned, list[np.ndarray]]:
-        """(distinct pieces, the pieces of each text by place). Texts without tokens have no pieces."""
-        cut = [[] if not t else CUT.split(t) if self.pieces else [t] for t in texts]
-        distinct = dict.fromkeys(p for pieces in cut for p in pieces)
-        # pieces with white space at an end can't stand beside others
-        inner = [p for p in distinct if not (p[0].isspace() or p[-1].isspace())] if self.pieces else []
-        outer = [*distinct] if not self.pieces else [p for p in distinct if p[0].isspace() or p[-1].isspace()]
-        a: list[int] = []
-        b: list[int] = []
-        sizes, odd = [len(p.encode()) + 1 for p in inner + outer], set()
-        for x in range(0, len(inner), TOGETHER):
-            part = inner[x : x + TOGETHER]
-            both = self.encode([" ".join(part)])[0]
-            for i, found in enumerate([both] if both else self.encode(part), x):
-                if found is None:
-                    odd.add(i)
+    def cut(self, texts: pa.Array) -> tuple[list[list[str]], list[np.ndarray]]:
+        """(distinct pieces, first those that can stand side by side, then the others; the pieces of each text by place).
+
+        Most texts have no white space beside a blank: their pieces are what is between blanks.
+        """
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, codes, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
+        edge = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        odd = np.diff(np.concatenate([[0], np.cumsum(edge[codes])])[ends]) > 0 if self.pieces else np.ones(len(texts), bool)
+        used = np.zeros(len(words), bool)
+        used[codes[np.repeat(~odd, np.diff(ends))]] = True
+        # pieces of the other texts, which may be among the words once more
+        own = {int(k): ([] if not t else CUT.split(t) if self.pieces else [t]) for k in np.flatnonzero(odd) for t in (texts[int(k)].as_py(),)}
+        more = dict.fromkeys(p for pieces in own.values() for p in pieces)
+        alone = [p for p in more if not self.pieces or p[0].isspace() or p[-1].isspace()]
+        inner = [words[i] for i in np.flatnonzero(used)] + [p for p in more if self.pieces and not (p[0].isspace() or p[-1].isspace())]
+        more.update(zip(inner[int(used.sum()) :] + alone, range(int(used.sum()), len(inner) + len(alone)), strict=True))
+        codes = (np.cumsum(used) - 1)[codes]
+        of = [np.fromiter(map(more.__getitem__, own[k]), np.int64, len(own[k])) if k in own else codes[ends[k] : ends[k + 1]] for k in range(len(texts))]
+        return [inner, alone], of
+
+    def texts(self, texts: pa.Array, named: bool = True) -> tuple[Aligned, list[np.ndarray], list[str]]:
+        """(distinct pieces, the pieces of each text by place, the groups of each piece as text if `named`). Texts without
+        tokens have no pieces."""
+        (inner, alone), of = self.cut(texts)
+        done: list[Aligned] = []
+        groups: list[str] = []
+        odd: set[int] = set()
+
+        def add(part: list[str], together: bool) -> None:
+            nonlocal count
+            a, b, sizes = [], [], [len(p.encode()) + 1 for p in part]
+            found = self.encode([" ".join(part)]) if together else [None]
+            for i, ids in enumerate(found if found[0] is not None else self.encode(part)):
+                if ids is None:
+                    odd.add(count + i)
+                    sizes[i] = 0
                 else:
-                    a += found[0]
-                    b += found[1]
-        for i, found in enumerate(self.encode(outer), len(inner)):
-            if found is None:
-                odd.add(i)
-            else:
-                a += found[0]
-                b += found[1]
-        place = dict(zip(inner + outer, range(len(sizes)), strict=True))
-        of = [np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
-        if odd:
-            for i in odd:
-                sizes[i] = 0
-            for k in [k for k, own in enumerate(of) if not odd.isdisjoint(own.tolist())]:
-                of[k] = np.zeros(0, np.int64)
-                found = self.encode([texts[k]])[0] if self.pieces else None
-                if found is not None:  # it was the cut that made the difference
-                    of[k] = np.array([len(sizes)])
-                    sizes.append(len(texts[k].encode()) + 1)
-                    a += found[0]
-                    b += found[1]
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        return Aligned(a_ids, b_ids, np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids]), np.cumsum(sizes, dtype=np.int64)), of
+                    a += ids[0]
+                    b += ids[1]
+            count += len(part)
+            done.append(Aligned(a, b, sizes, self.a_size, self.b_size))
+            if named:
+                groups.extend(done[-1].groups(self.names))
+
+        count = 0
+        for pieces, together in ((inner, True), (alone, False)):
+            for x in range(0, len(pieces), TOGETHER):
+                add(pieces[x : x + TOGETHER], together)
+        for k in [k for k, own in enumerate(of) if odd and not odd.isdisjoint(own.tolist())]:
+            of[k] = np.zeros(0, np.int64)
+            if self.pieces:  # whole, in case it was the cut that made the difference
+                add([texts[k].as_py()], False)
+                if count - 1 not in odd:
+                    of[k] = np.array([count - 1])
+        return Aligned.joined(done), of, groups
 
 
 def aligner_of(a_path: str, b_path: str) -> Aligner:
@@ -185,8 +217,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner_of(a_path, b_path)
         for part in slices(batches, "text", BLOCK_BYTES):
-            found, of = own.texts(part.column("text").to_pylist())
-            cuts, rows = {"a": np.array(found.a_cut, np.int64), "b": np.array(found.b_cut, np.int64)}, {c: [] for c in ("a", "b", "a_ends", "b_ends")}
+            found, of, _ = own.texts(part.column("text"), named=False)
+            cuts, rows = {"a": found.a_cut, "b": found.b_cut}, {c: [] for c in ("a", "b", "a_ends", "b_ends")}
             for pieces in of:
                 groups = spread(found.group_at[pieces], found.group_at[pieces + 1] - found.group_at[pieces])
                 for side, ids, at in (("a", found.a, found.a_at), ("b", found.b, found.b_at)):
@@ -209,9 +241,9 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = aligner_of(a_path, b_path), (TaskContext.get().partitionId() << 33) - 1
         for part in slices(batches, "text", BLOCK_BYTES):
-            found, of = own.texts(part.column("text").to_pylist())
+            found, of, groups = own.texts(part.column("text"))
             block += 1
-            size, groups = np.stack([np.diff(x) for x in (found.a_at, found.b_at, found.group_at, found.link_at)], axis=1), found.groups()
+            size = np.stack([np.diff(x) for x in (found.a_at, found.b_at, found.group_at, found.link_at)], axis=1)
             times, rows = np.zeros(len(size), np.int64), []
             for pieces in of:
                 codes, n = np.unique(pieces, return_counts=True)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -138,8 +139,7 @@ def test_alignment_of_odd_texts(spark, plain_aligned, pieces):
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_a int")
     own = alignment.Aligner(A, B)
     own.pieces = pieces
-    found, of = own.texts([t for _, t in rows])
-    groups = found.groups()
+    found, of, groups = own.texts(pa.array([t for _, t in rows]))
     for (_, text), at in zip(rows, of, strict=True):
         want = plain_aligned(text)
         assert ";".join(groups[i] for i in at) == (want[2] if want else "")
@@ -215,8 +215,6 @@ def test_importance_of_odd_rows(spark, monkeypatch):
     assert {r.weight for r in importance.resample(table.limit(1), target.limit(0)).collect()} == {0}
     monkeypatch.setattr(importance, "FEATURES", 100)  # a long text in slices
     monkeypatch.setattr(importance, "DOCS", 3)
-    import pyarrow as pa
-
     runs = importance.Runs(pa.array(texts))
     counts = np.concatenate([*runs.counts()])
     assert (counts.sum(axis=0) == runs.totals()).all() and counts.sum(axis=1).tolist() == [sum(max(n - k, 0) for k in range(3)) for n in runs.words]
