@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,14 @@ def canonical_json(value: Column) -> Column:
 def fingerprint(value: Column) -> Column:
     """SHA-256 of the canonical JSON."""
     return F.sha2(canonical_json(value), 256)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names that aren't taken, in any case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
-from ..functions.text import is_blank, is_finite, strip
+from ..functions.text import fresh, is_blank, is_finite, strip
+from .cells import cells, top_k_in_cells
 from .vectors import compatible_indexes, embed, embedding_input
 
 METRICS = ("cosine", "dot_product", "euclidean")
-#: Queries that are broadcast at once: with 64 float64 coordinates, 2 MB.
-QUERY_BLOCK = 4096
+#: Queries, and bytes of their coordinates, that are broadcast at once.
+QUERY_BLOCK, BLOCK_BYTES = 4096, 32 << 20
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -49,45 +50,41 @@ def distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarr
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, chunk_id, raw_distance): the k nearest chunks of each query, ties by chunk id.
 
-    queries: (query_id, embedding); vectors: (chunk_id, embedding). Queries are broadcast in blocks of a fixed size, and
-    each block reads the vectors once; a task keeps k rows for each query of the block, so what is shuffled is
-    queries x k x tasks and never a product of the tables.
+    queries: (query_id, embedding); vectors: (chunk_id, embedding). Up to `block` queries of BLOCK_BYTES are broadcast, and the
+    vectors are read once; a task keeps k rows for each query. More queries meet the vectors in cells, see `cells`: the result
+    is the same, and what they can't be near to isn't compared.
     """
     if k < 1 or metric not in METRICS:
         raise ValueError("k must be positive and the metric known")
-    queries = materialize(queries.select("query_id", "embedding"))  # read by each block, made once
-    spark, parts = queries.sparkSession, -(-queries.count() // block)
+    queries = materialize(queries.select("query_id", "embedding"))  # made once
+    spark, (asked, width) = queries.sparkSession, queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     id_type = queries.schema["query_id"].dataType.simpleString()
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
-    found = None
-    for p in range(parts):
-        rows = queries.select("query_id", "embedding") if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"),
-            F.lit(parts)) == p).select("query_id", "embedding")
-        own = rows.toPandas()  # about a block
-        if own.empty:
-            continue
-        shared = spark.sparkContext.broadcast((own["query_id"].tolist(), np.array(own["embedding"].tolist(), float)))
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            best = None
-            for frame in frames:
-                for a in range(0, len(frame), 2048):
-                    part = frame.iloc[a : a + 2048]
-                    d = distances(matrix, np.array(part["embedding"].tolist(), float), metric)
-                    n = min(k, d.shape[1])
-                    edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                    q, c = np.nonzero(d <= edge)  # all ties at the edge
-                    new = pd.DataFrame({"q": q, "chunk_id": part["chunk_id"].to_numpy()[c], "raw_distance": d[q, c]})
-                    both = new if best is None else pd.concat([best, new])
-                    best = both.sort_values(["q", "raw_distance", "chunk_id"]).groupby("q").head(k)
-            if best is not None:
-                yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", "chunk_id", "raw_distance"]]
-
-        hits = vectors.select("chunk_id", "embedding").mapInPandas(search, f"query_id {id_type}, chunk_id {chunk_type}, raw_distance double")
-        found = hits if found is None else found.union(hits)
-    if found is None:
+    made = cells(vectors.select("chunk_id", "embedding"), metric) if asked > min(block, BLOCK_BYTES // (8 * max(width or 1, 1))) else None
+    if made is not None:
+        return top_k_in_cells(queries, made, k)
+    own = queries.toPandas() if asked <= block else None  # about a block
+    if own is None or own.empty:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, chunk_id {chunk_type}, raw_distance double")
+    shared = spark.sparkContext.broadcast((own["query_id"].tolist(), np.array(own["embedding"].tolist(), float)))
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        best = None
+        for frame in frames:
+            for a in range(0, len(frame), 2048):
+                part = frame.iloc[a : a + 2048]
+                d = distances(matrix, np.array(part["embedding"].tolist(), float), metric)
+                n = min(k, d.shape[1])
+                edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                q, c = np.nonzero(d <= edge)  # all ties at the edge
+                new = pd.DataFrame({"q": q, "chunk_id": part["chunk_id"].to_numpy()[c], "raw_distance": d[q, c]})
+                both = new if best is None else pd.concat([best, new])
+                best = both.sort_values(["q", "raw_distance", "chunk_id"]).groupby("q").head(k)
+        if best is not None:
+            yield best.assign(query_id=[ids[i] for i in best["q"]])[["query_id", "chunk_id", "raw_distance"]]
+
+    found = vectors.select("chunk_id", "embedding").mapInPandas(search, f"query_id {id_type}, chunk_id {chunk_type}, raw_distance double")
     place = Window.partitionBy("query_id").orderBy("raw_distance", "chunk_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "raw_distance")
 
@@ -101,13 +98,19 @@ def validate_hits(hits: DataFrame, expected: Column) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, chunk_set_id: str) -> tuple[DataFrame, DataFrame]:
-    """(hits with the text and provenance of their chunks, hits in error: duplicate, missing or of another set)."""
-    own = chunks.where(F.col("chunk_set_id") == chunk_set_id).withColumnRenamed("id", "chunk_id")
-    counted = hits.withColumn("__n", F.count("*").over(Window.partitionBy("query_id", "chunk_id")))
-    good = counted.where("__n = 1").drop("__n").join(own, "chunk_id")
-    missing = hits.join(own.select("chunk_id"), "chunk_id", "left_anti").select("query_id", "rank", "chunk_id",
-        F.lit("missing_or_foreign_chunk").alias("error"))
-    return good, missing.union(counted.where("__n > 1").select("query_id", "rank", "chunk_id", F.lit("duplicate_chunk").alias("error")))
+    """(hits with the text and provenance of their chunks, hits in error: duplicate, missing or of another set).
+
+    A question with one hit in error has no hits: a ranking with holes would be scored as if it were whole.
+    """
+    n, found, broken = fresh({*hits.columns, *chunks.columns}, "n", "found", "broken")
+    own = chunks.where(F.col("chunk_set_id") == chunk_set_id).withColumnRenamed("id", "chunk_id").withColumn(found, F.lit(True))
+    asked = Window.partitionBy("query_id")
+    # the ids of one question are few, and the window after it needs no other shuffle
+    counted = hits.withColumn(n, F.size(F.filter(F.collect_list("chunk_id").over(asked), lambda x: x == F.col("chunk_id"))))
+    error = F.when(F.col(n) > 1, "duplicate_chunk").when(F.col(found).isNull(), "missing_or_foreign_chunk")
+    joined = counted.join(own, "chunk_id", "left").withColumn(n, error).withColumn(broken, F.max(F.col(n).isNotNull()).over(asked))
+    bad = joined.where(F.col(n).isNotNull()).select("query_id", "rank", "chunk_id", F.col(n).alias("error"))
+    return joined.where(~F.col(broken)).drop(n, found, broken), bad
 
 
 def validate_rankings(results: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -129,8 +132,9 @@ def retrieve(
 
     index: its row, as `compatible_indexes` reads it, with chunk_set_id; request: what it must be, with provider_model and
     provider_revision of the query vectors where they are known. An index that doesn't fit is refused before anything is
-    embedded. Blank questions (blank_question), vectors of another width (query_width_mismatch) and hits without a chunk
-    of the set are errors of their question. Each question is embedded once.
+    embedded. Blank questions (blank_question), vectors of another width (query_width_mismatch), lists of hits that aren't
+    as long as they should be or not well formed (invalid_hits), and hits without a chunk of the set are errors of their
+    question, which then has no evidence. Each question is embedded once.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -148,6 +152,9 @@ def retrieve(
     embedded = materialize(embed(texts, embedder).select("query_id", "embedding"))
     fits = F.size("embedding") == F.lit(index["dimensions"])
     narrow = embedded.where(~fits).select("query_id", F.lit("query_width_mismatch").alias("error"))
-    hits = materialize(top_k(embedded.where(fits), vectors, min(k, int(index["vector_count"])), str(index["distance_metric"])))
-    good, bad = hydrate(hits, chunks, str(index["chunk_set_id"]))
-    return good, blank.union(narrow).union(bad.select("query_id", "error"))
+    wanted = min(k, int(index["vector_count"]))
+    hits = materialize(top_k(embedded.where(fits), vectors, wanted, str(index["distance_metric"])))
+    checked = embedded.where(fits).select("query_id").join(validate_hits(hits, F.lit(wanted)), "query_id", "left")
+    invalid = materialize(checked.where(~F.coalesce("valid", F.lit(False))).select("query_id", F.lit("invalid_hits").alias("error")))
+    good, bad = hydrate(hits.join(invalid, "query_id", "left_anti"), chunks, str(index["chunk_set_id"]))
+    return good, blank.union(narrow).union(invalid).union(bad.select("query_id", "error").distinct())

@@ -115,12 +115,12 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY CASE WHEN isna
 
 
 @query(_RETRIEVED + """SELECT CAST(q AS VARCHAR) AS query_id, rank, CAST(c AS VARCHAR) AS chunk_id, md5(coalesce(text, '')) AS text
-    FROM top JOIN documents ON doc_id = c WHERE c % 7 <> 3""")
+    FROM top JOIN documents ON doc_id = c WHERE q NOT IN (SELECT q FROM top WHERE c % 7 = 3)""")
 def e6_retrieved_evidence(t: Tables) -> DataFrame:
     return _retrieved(t)[0].select("query_id", "rank", "chunk_id", "text")
 
 
-@query(_RETRIEVED + """SELECT CAST(q AS VARCHAR) AS query_id, 'missing_or_foreign_chunk' AS error
+@query(_RETRIEVED + """SELECT DISTINCT CAST(q AS VARCHAR) AS query_id, 'missing_or_foreign_chunk' AS error
     FROM top WHERE c % 7 = 3 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'blank_question'
     FROM documents WHERE doc_id % 300 = 0""")
 def e6_retrieval_errors(t: Tables) -> DataFrame:

@@ -169,7 +169,7 @@ def test_retrieval(spark):
         return [[1.0, 0.5] if len(t) < 5 else [1.0] for t in texts]
 
     hits, errors = retrieved(spark, embedder=embedder, k=9)
-    assert [(r.query_id, r["rank"], r.text) for r in hits.orderBy("rank").collect()] == [("q1", 1, "C"), ("q1", 2, "A")]
+    assert hits.collect() == []  # one of its three chunks is of another set
     assert sorted(map(tuple, errors.collect())) == [("q1", "missing_or_foreign_chunk"), ("q2", "blank_question"), ("q3", "query_width_mismatch"), ("q4", "blank_question")]
     assert calls.value == 2
 
@@ -185,7 +185,23 @@ def test_k_and_revisions(spark):
         retrieved(spark, k=0)
     with pytest.raises(ValueError, match="provider_revision_mismatch"):
         retrieved(spark, INDEX | {"provider_revision": "1"}, request=INDEX | {"provider_revision": "2"})
-    assert retrieved(spark, INDEX | {"provider_revision": "1"})[0].count() == 2
+    hits, errors = retrieved(spark, INDEX | {"provider_revision": "1"})
+    assert [(r.query_id, r["rank"], r.text) for r in hits.orderBy("rank").collect()] == [("q1", 1, "C"), ("q1", 2, "A")]
+    assert "q1" not in {r.query_id for r in errors.collect()}
+
+
+def test_a_question_with_a_wrong_hit_has_no_evidence(spark):
+    chunks = spark.createDataFrame([("a", "s", "A", 0), ("b", "t", "B", 0), ("c", "s", "C", 0)], "id string, chunk_set_id string, text string, n int")
+    hits = [("fine", 1, "a"), ("fine", 2, "c"), ("foreign", 1, "a"), ("foreign", 2, "b"), ("missing", 1, "x"), ("twice", 1, "a"), ("twice", 2, "a"), ("twice", 3, "c")]
+    good, bad = search.hydrate(spark.createDataFrame(hits, "query_id string, rank int, chunk_id string"), chunks, "s")
+    assert sorted((r.query_id, r["rank"], r.text, r.n) for r in good.collect()) == [("fine", 1, "A", 0), ("fine", 2, "C", 0)]
+    assert sorted(map(tuple, bad.collect())) == [("foreign", 2, "b", "missing_or_foreign_chunk"), ("missing", 1, "x", "missing_or_foreign_chunk"),
+        ("twice", 1, "a", "duplicate_chunk"), ("twice", 2, "a", "duplicate_chunk")]
+
+
+def test_an_index_with_fewer_vectors_than_it_says(spark):
+    hits, errors = retrieved(spark, INDEX | {"vector_count": 4}, k=9)
+    assert hits.count() == 0 and ("q1", "invalid_hits") in {tuple(r) for r in errors.collect()}
 
 
 # --- judgments, question sets, artifacts, audits -----------------------------------------------------------------
