@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from ..functions.text import canonical_json, fingerprint, uuid5
 SET_NAMESPACE = "5b0b2d5e-6f0e-4c58-9d5e-2f2c3a1d7e10"
 CHUNK_NAMESPACE = "8a7f0c14-93c1-4f0b-8f3a-6b1c9d2e4f20"
 VERSION = "1"
-#: Width of the buckets that range joins are split by.
-BUCKET = 32_000
+#: Chunks come after the ranges of their document.
+CHUNK_KIND = 2
 #: Buckets that the document hashes of a corpus are dealt to.
 RANGES = 4096
 
@@ -37,33 +39,95 @@ def corpus_readiness(corpora: DataFrame, documents: DataFrame, parses: DataFrame
         "empty").when(F.col("unparsed") > 0, "incomplete").otherwise("ready").alias("state"))
 
 
-def _overlaps(chunks: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Pairs (document_id, chunk ordinal, key) where the ranges share a place, strictly inside for empty ranges.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole batches of events, each with the ranges of the document that the batch before ended in."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if table.num_rows:
+            yield table.combine_chunks()
+            last = table.column("document_id")[-1].as_py()
+            mine = pc.is_null(table.column("document_id")) if last is None else pc.equal(table.column("document_id"), last)
+            held = table.filter(pc.and_(pc.fill_null(mine, False), pc.less(table.column("kind"), CHUNK_KIND)))
 
-    Both sides are listed under the buckets that they touch, so long documents don't make all pairs; a pair that meets
-    in several buckets is reported in the first one.
+
+def _inside(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def _met(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the ranges that each of the intervals [a, z) meets, one interval after another; their numbers).
+
+    Ranges are in order of start. Where their ends are in order too, as those of pages and blocks are, what an interval meets
+    is one run of them, from the first that ends after a to the last that starts before z.
+    """
+    reach = np.maximum.accumulate(ends) if len(ends) else ends
+    low, high = np.searchsorted(reach, a, "right"), np.searchsorted(starts, z, "left")
+    n = np.maximum(high - low, 0)
+    at = _inside(low, n)
+    if len(ends) and (reach != ends).any():  # a long range goes on over later ones that have ended
+        keep = ends[at] > np.repeat(a, n)
+        at, n = at[keep], np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+    return at, n
+
+
+def chunk_provenance(chunks: DataFrame, pages: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Adds page_start and page_end, the first and last page that a chunk shares a place with (null if there is none), and
+    block_ordinals, the ordinals of such blocks in order; each if pages (page_number) or blocks (ordinal) are given. All tables
+    have document_id, start and end. An empty range counts if it's strictly inside.
+
+    One exchange: chunks and ranges are put in one order by document, ranges first, each in order of start, and a task goes
+    over them once. It holds the ranges of one document, which its text bounds, and a batch of chunks.
     """
-    cells = lambda a, z: F.sequence(F.floor(a / BUCKET), F.floor(F.greatest(z - 1, a) / BUCKET))
-    left = chunks.select("document_id", "ordinal", F.col("start").alias("a"), F.col("end").alias("z"),
-        F.explode(cells(F.col("start"), F.col("end"))).alias("cell"))
-    right = ranges.select(F.col("document_id").alias("d"), F.col(key).alias("key"), F.col("start").alias("b"), F.col("end").alias("y"),
-        F.explode(cells(F.col("start"), F.col("end"))).alias("c"))
-    first = F.greatest(F.floor(F.col("a") / BUCKET), F.floor(F.col("b") / BUCKET)) == F.col("cell")
-    meet = (F.col("document_id") == F.col("d")) & (F.col("cell") == F.col("c")) & (F.col("a") < F.col("y")) & (F.col("b") < F.col("z")) & first
-    return left.join(right, meet).select("document_id", "ordinal", "key")
+    kinds = [(k, df.select("document_id", F.lit(k).alias("kind"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("z"),
+        F.col(key).cast("int").alias("key"))) for k, df, key in ((0, pages, "page_number"), (1, blocks, "ordinal")) if df is not None]
+    own = chunks.select("document_id", F.lit(CHUNK_KIND).alias("kind"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("z"),
+        F.struct(*(f"`{c}`" for c in chunks.columns)).alias("chunk"))
+    for _, df in kinds:
+        own = own.unionByName(df, allowMissingColumns=True)
+    which = [k for k, _ in kinds]
+    added = {0: "page_start int, page_end int", 1: "block_ordinals array<int>"}
+    names = [*chunks.columns, *(c.split()[0] for k in which for c in added[k].split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            kind, a, z = (table.column(c).to_numpy() for c in ("kind", "a", "z"))
+            code = pc.fill_null(table.column("document_id").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            doc = np.cumsum(np.diff(code, prepend=code[0]) != 0).astype(np.int64) << 40  # documents apart on one line of places
+            mine = kind == CHUNK_KIND
+            if not mine.any():
+                continue
+            columns = [x for x in table.column("chunk").filter(pa.array(mine)).combine_chunks().flatten()]
+            for k in which:
+                of = np.flatnonzero(kind == k)
+                key = table.column("key").to_numpy()[of].astype(np.int32)
+                at, n = _met(doc[of] + a[of], doc[of] + z[of], doc[mine] + a[mine], doc[mine] + z[mine])
+                found = key[at]
+                row = np.repeat(np.arange(len(n)), n)
+                if k == 1:
+                    found = found[np.lexsort((found, row))]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found)))
+                else:
+                    low, high = np.full(len(n), np.iinfo(np.int32).max), np.full(len(n), np.iinfo(np.int32).min)
+                    np.minimum.at(low, row, found)
+                    np.maximum.at(high, row, found)
+                    columns += [pa.array(x, pa.int32(), mask=n == 0) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema), *(added[k] for k in which)])
+    order = [F.col("document_id"), F.col("kind"), F.col("a"), F.col("z"), F.col("key")]
+    return own.repartition("document_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def chunk_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds page_start and page_end: the first and last page that a chunk shares a place with, null if there is none."""
-    found = _overlaps(chunks, pages, "page_number").groupBy("document_id", "ordinal").agg(F.min("key").alias("page_start"), F.max("key").alias("page_end"))
-    return chunks.join(found, ["document_id", "ordinal"], "left")
+    """Adds page_start and page_end, see chunk_provenance."""
+    return chunk_provenance(chunks, pages=pages)
 
 
 def chunk_blocks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Adds block_ordinals: the ordinals of the blocks that a chunk shares a place with, in order."""
-    ranges = blocks.withColumnRenamed("ordinal", "block_ordinal")
-    found = _overlaps(chunks, ranges, "block_ordinal").groupBy("document_id", "ordinal").agg(F.array_sort(F.collect_list("key")).alias("block_ordinals"))
-    return chunks.join(found, ["document_id", "ordinal"], "left").withColumn("block_ordinals", F.coalesce("block_ordinals", F.array().cast("array<int>")))
+    """Adds block_ordinals, see chunk_provenance."""
+    return chunk_provenance(chunks, blocks=blocks)
 
 
 def chunk_set_id(print_: Column) -> Column:
@@ -149,7 +213,7 @@ def build_chunk_set(
     meta = known.select(F.col("id").alias("document_id"), "corpus_id", "original_filename",
         "uploaded_at").join(parses.select("document_id", "parse_id"), "document_id")
     chunks = materialize(chunker(parses.select("document_id", "text").join(meta.select("document_id"), "document_id", "left_semi")))
-    rows = chunk_blocks(chunk_pages(chunks, pages), blocks).join(meta, "document_id").join(prints, "corpus_id")
+    rows = chunk_provenance(chunks, pages, blocks).join(meta, "document_id").join(prints, "corpus_id")
     source = canonical_json(F.struct("block_ordinals", "original_filename", "parse_id"))
     own = chunk_id(F.col("chunk_set_id"), F.col("document_id"), F.col("ordinal"))
     place = ("ordinal", "text", "start", "end", "token_start", "token_end", "page_start", "page_end")

@@ -342,7 +342,7 @@ def c6_corpus_readiness(t: Tables) -> DataFrame:
 
 
 def _page_chunks(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    texts = _texts(t)
+    texts = materialize(_texts(t))  # read by all three
     return materialize(chunking.chunk_fixed(canonical.canonical_text(texts), 20, 5)), canonical.page_offsets(texts), canonical.block_offsets(texts, t.blocks())
 
 
