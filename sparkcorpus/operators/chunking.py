@@ -11,11 +11,14 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, is_blank
+from .tokenizers import spans_of
 
 #: Fixed cap of a chunk, in characters.
 CHARACTER_CAP = 32_000
@@ -39,32 +42,20 @@ def word_tokens(text: str) -> Offsets:
     return [a for a, _ in spans], [z for _, z in spans]
 
 
-def file_tokenizer(path: str) -> Tokenizer:
-    """A tokenizer.json of the tokenizers library; no special tokens, no truncation, zero-width tokens dropped."""
-    loaded: list = []
-
-    def run(text: str) -> Offsets:
-        if not loaded:
-            from tokenizers import Tokenizer as File
-
-            loaded.append(File.from_file(path))
-            loaded[0].no_truncation()
-        spans = [(a, z) for a, z in loaded[0].encode(text, add_special_tokens=False).offsets if z > a]
-        return [a for a, _ in spans], [z for _, z in spans]
-
-    return run
-
-
 def token_offsets(docs: DataFrame, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Adds token_starts and token_ends; the white-space tokenizer is the default."""
-    run = tokenizer or whitespace_tokens
+    """Adds token_starts and token_ends; the white-space tokenizer is the default. Null text has no tokens."""
+    run, schema = tokenizer or whitespace_tokens, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    @F.pandas_udf("struct<token_starts:array<bigint>,token_ends:array<bigint>>")
-    def offsets(texts: pd.Series) -> pd.DataFrame:
-        found = [run(t or "") for t in texts]
-        return pd.DataFrame({"token_starts": [a for a, _ in found], "token_ends": [z for _, z in found]})
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = [*spans_of(run, [t or "" for t in part.column(text_col).to_pylist()])]
+                ends = pa.array(np.cumsum([0, *(len(s) for s, _ in found)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]).astype(np.int64))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "token_starts", "token_ends"])
 
-    return docs.withColumn("__t", offsets(F.col(text_col))).select("*", "__t.*").drop("__t")
+    return docs.mapInArrow(offsets, f"{schema}, token_starts array<bigint>, token_ends array<bigint>")
 
 
 def token_count(text: Column) -> Column:
@@ -178,8 +169,8 @@ def _chunked(docs: DataFrame, windows: Callable[[str, list[int], list[int]], Ite
     id_col: str, text_col: str) -> DataFrame:
     run = tokenizer or whitespace_tokens
 
-    def chunks_of(text: str) -> Iterator[tuple]:
-        starts, ends = run(text)
+    def chunks_of(text: str, spans: tuple) -> Iterator[tuple]:
+        starts, ends = (x.tolist() if isinstance(x, np.ndarray) else x for x in spans)
         if not starts:  # nothing to count, so the text itself is cut
             if text.strip():
                 yield from _capped(text, 0, len(text), (None, None))
@@ -191,7 +182,9 @@ def _chunked(docs: DataFrame, windows: Callable[[str, list[int], list[int]], Ite
         for frame in frames:
             for i in range(0, len(frame), 64):  # few documents at a time, as their chunks are held
                 part = frame.iloc[i : i + 64]
-                rows = [(d, k, *c) for d, t in zip(part["document_id"], part["text"], strict=True) for k, c in enumerate(chunks_of(t or ""))]
+                texts = [t or "" for t in part["text"]]
+                found = zip(part["document_id"], texts, spans_of(run, texts), strict=True)
+                rows = [(d, k, *c) for d, t, s in found for k, c in enumerate(chunks_of(t, s))]
                 out = pd.DataFrame(rows, columns=["document_id", "ordinal", "text", "start", "end", "token_start", "token_end"])
                 yield out.astype({"token_start": "Int64", "token_end": "Int64"})
 

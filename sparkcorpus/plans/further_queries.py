@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_folder
-from ..operators import audit, canonical, evaluation, history, indexing, search, vectors
+from ..operators import audit, canonical, chunking, context, evaluation, history, indexing, search, tokenizers, vectors
 from ..sources import files
 from .queries import EMBEDDED, query
 from .views import Tables
@@ -232,3 +232,48 @@ def d_index_build(t: Tables) -> DataFrame:
     _, again = build()
     return indexing.read_vectors(t.spark, row["collection_name"]).select("chunk_id", "embedding", "metadata",
         F.lit(int(row["dimensions"])).alias("dimensions"), F.lit(int(row["vector_count"])).cast("long").alias("vector_count"), F.lit(again).alias("again"))
+
+
+# --- subword tokenizers ------------------------------------------------------------------------------------------
+
+
+def _tokenizer(name: str) -> tokenizers.FileTokenizer:
+    import public_tokenizers
+
+    return tokenizers.FileTokenizer(public_tokenizers.path(name), pattern=public_tokenizers.PATTERN)
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select("document_id", "ordinal", "start", "end", "token_start", "token_end", F.md5("text").alias("text"))
+
+
+@query()
+def c1_subword_tokens(t: Tables) -> DataFrame:
+    """Number of tokens of each document and sums of their offsets, in three tokenizers."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    found = None
+    for name in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"):
+        rows = chunking.token_offsets(t["documents"].select("doc_id", "text"), tokenizer=_tokenizer(name))
+        rows = rows.select("doc_id", F.lit(name).alias("tokenizer"), F.size("token_starts").cast("long").alias("tokens"), total("token_starts").alias("starts"),
+            total("token_ends").alias("ends"))
+        found = rows if found is None else found.union(rows)
+    return found
+
+
+@query()
+def c2_subword_chunks(t: Tables) -> DataFrame:
+    return _chunk_rows(chunking.chunk_fixed(t["documents"], 200, 20, _tokenizer("piece_bpe_32k.model"), "doc_id"))
+
+
+@query()
+def c4_subword_chunks(t: Tables) -> DataFrame:
+    return _chunk_rows(chunking.chunk_recursive(t["documents"], 200, 20, _tokenizer("byte_bpe_50k.json"), "doc_id"))
+
+
+@query()
+def f2_subword_budget(t: Tables) -> DataFrame:
+    """Turns packed under a budget of subword tokens."""
+    turns = t["conversations"].select(F.col("conv_id").cast("string").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), "text")
+    asked = turns.select("query_id").distinct().select("query_id", F.lit(10).alias("fixed_tokens"), F.lit(400).alias("context_window_tokens"),
+        F.lit(50).alias("max_output_tokens"))
+    return context.pack_context(tokenizers.count_tokens(turns, _tokenizer("byte_bpe_50k.json")), asked)
