@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fresh
+
 _STATUS = "status in ('pending', 'running', 'completed', 'failed')"
 _METRIC = "distance_metric in ('cosine', 'dot_product', 'euclidean')"
 _CHARACTERS = {"start_offset": "character_start_offset >= 0", "offsets": "character_end_offset >= character_start_offset"}
@@ -117,9 +119,10 @@ ALL_COLUMNS = set("""size_bytes normalized_text parser_name parser_version utf8_
 
 def orphans(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Rows of child whose non-null key (child column -> parent column) isn't in parent."""
-    known = parent.select(*(F.col(p).alias(f"__{c}") for c, p in keys.items())).distinct()
+    names = dict(zip(keys, fresh(child.columns, *(f"known_{c}" for c in keys)), strict=True))
+    known = parent.select(*(F.col(p).alias(names[c]) for c, p in keys.items())).distinct()
     there = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in keys))
-    return child.where(there).join(known, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in keys)), "left_anti")
+    return child.where(there).join(known, reduce(lambda a, b: a & b, (F.col(c) == F.col(names[c]) for c in keys)), "left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,25 +136,54 @@ def rule_violations(df: DataFrame, rules: dict[str, str], key: list[str]) -> Dat
     return df.select(*key, F.explode(broken).alias("rule"))
 
 
+#: What a fact says of a check: a row breaks a rule, has a unique key, refers to a key, or has a key that others refer to.
+BREAKS, HAS, REFERS, IS = range(4)
+
+
+def _key(columns: Sequence[str]) -> Column:
+    """Columns as one text; null where one of them is."""
+    return F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)), F.to_json(F.array(*(F.col(c).cast("string") for c in columns))))
+
+
 def audit_model(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows (table, rule, broken): how many rows of each table break each declared check, reference and unique key.
+    """Rows (table, rule, broken): how many rows of each table break each declared check, reference and unique key (keys that
+    occur more than once).
 
-    Tables and columns that aren't there are passed over.
+    Each table is read once: a row is turned into facts, one for each check that it breaks, each unique key that it has, and
+    each reference that it makes or serves. Facts of all tables are counted by (check, key) in one aggregate, with sums before
+    the shuffle, so that a key that very many rows refer to is a row for each task; what is broken follows from the counts.
+    Keys are compared as text. Tables and columns that aren't there are passed over.
     """
-    counts = []
+    checks: list[tuple[str, str]] = []
+    facts: dict[str, list[Column]] = {name: [] for name in tables}
 
-    def say(table: str, rule: str, rows: DataFrame) -> None:
-        counts.append(rows.agg(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.count("*").alias("broken")))
+    def fact(table: str, what: int, kind: int, key: Column) -> None:
+        row = F.struct(F.lit(what).alias("what"), F.lit(kind).cast("tinyint").alias("kind"), key.alias("key"))
+        facts[table].append(F.when(key.isNotNull(), row))
 
     for name, df in tables.items():
         have = set(df.columns)
         for rule, test in RULES.get(name, {}).items():
-            if set(re.findall(r"[a-z_]+", re.sub("'[^']*'", "", test))) & ALL_COLUMNS <= have:
-                say(name, rule, df.where(f"not ({test})"))
+            if set(re.findall(r"[a-z_0-9]+", re.sub("'[^']*'", "", test))) & ALL_COLUMNS <= have:
+                fact(name, len(checks), BREAKS, F.when(~F.expr(test), ""))
+                checks.append((name, rule))
         for keys in (("id",), *UNIQUE_KEYS.get(name, ())):
             if set(keys) <= have:
-                say(name, f"unique {', '.join(keys)}", duplicate_keys(df.where(" and ".join(f"{k} is not null" for k in keys)), list(keys)))
+                fact(name, len(checks), HAS, _key(keys))
+                checks.append((name, f"unique {', '.join(keys)}"))
     for child, keys, parent in REFERENCES:
         if child in tables and parent in tables and set(keys) <= set(tables[child].columns) and set(keys.values()) <= set(tables[parent].columns):
-            say(child, f"{', '.join(keys)} in {parent}", orphans(tables[child], tables[parent], keys))
-    return reduce(DataFrame.unionByName, counts)
+            fact(child, len(checks), REFERS, _key([*keys]))
+            fact(parent, len(checks), IS, _key([*keys.values()]))
+            checks.append((child, f"{', '.join(keys)} in {parent}"))
+    said = [df.select(F.explode(F.array_compact(F.array(*facts[name]))).alias("f")).select("f.*") for name, df in tables.items() if facts[name]]
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame([(i, *c) for i, c in enumerate(checks)], "what int, table string, rule string")
+    if not said:
+        return listed.select("table", "rule", F.lit(0).cast("long").alias("broken"))
+    kind = F.col("kind")
+    counted = reduce(DataFrame.unionByName, said).groupBy("what", "key").agg(F.count_if(kind == BREAKS).alias("breaks"),
+        F.count_if(kind == HAS).alias("has"), F.count_if(kind == REFERS).alias("refers"), F.count_if(kind == IS).alias("is"))
+    broken = F.col("breaks") + F.when(F.col("has") > 1, 1).otherwise(0) + F.when(F.col("is") == 0, F.col("refers")).otherwise(0)
+    sums = counted.groupBy("what").agg(F.sum(broken).alias("broken"))  # one row for each check
+    return listed.join(F.broadcast(sums), "what", "left").select("table", "rule", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_folder
-from ..operators import audit, canonical, chunking, context, evaluation, history, indexing, search, tokenizers, vectors
+from ..operators import audit, canonical, chunking, context, evaluation, history, indexing, merkle, search, segments, tokenizers, vectors
 from ..sources import files
 from .queries import EMBEDDED, query
 from .views import Tables
@@ -277,3 +277,53 @@ def f2_subword_budget(t: Tables) -> DataFrame:
     asked = turns.select("query_id").distinct().select("query_id", F.lit(10).alias("fixed_tokens"), F.lit(400).alias("context_window_tokens"),
         F.lit(50).alias("max_output_tokens"))
     return context.pack_context(tokenizers.count_tokens(turns, _tokenizer("byte_bpe_50k.json")), asked)
+
+
+# --- trees of hashes ---------------------------------------------------------------------------------------------
+
+_TREE = """leaves AS (SELECT corpus_id, id, substr(sha256(id), 1, 4) AS place, sha256('{"document_id":"' || id || '","parse_id":"' || parse_id
+    || '","uploaded_at":' || uploaded_at || '}') AS h FROM docs),
+n4 AS (SELECT corpus_id, place, sha256(string_agg(h, ',' ORDER BY id)) AS h FROM leaves GROUP BY ALL),
+n3 AS (SELECT corpus_id, substr(place, 1, 3) AS p, sha256(string_agg(h, ',' ORDER BY place)) AS h FROM n4 GROUP BY ALL),
+n2 AS (SELECT corpus_id, substr(p, 1, 2) AS q, sha256(string_agg(h, ',' ORDER BY p)) AS h FROM n3 GROUP BY ALL),
+n1 AS (SELECT corpus_id, substr(q, 1, 1) AS r, sha256(string_agg(h, ',' ORDER BY q)) AS h FROM n2 GROUP BY ALL),
+n0 AS (SELECT corpus_id, sha256(string_agg(h, ',' ORDER BY r)) AS h FROM n1 GROUP BY ALL)"""
+
+
+@query("WITH " + _TREE + """ SELECT corpus_id, sha256('{"cap":32000,"chunker":"fixed","chunker_version":"1","config":"200/20","corpus_id":"' || corpus_id
+    || '","root":"' || h || '","tokenizer":"whitespace"}') AS fingerprint FROM n0""", "docs")
+def c10_tree_fingerprints(t: Tables) -> DataFrame:
+    """The tree over all documents but those of every seventh id, to which these are then added."""
+    docs = t["docs"]
+    own = materialize(merkle.leaves(docs, docs.select(F.col("id").alias("document_id"), "parse_id")))
+    late = F.col("document_id").cast("long") % 7 == 0
+    before = materialize(merkle.tree(own.where(~late)))
+    nodes = merkle.grown(before, materialize(merkle.rehashed(before, own.where(~late), own.where(late))))
+    return merkle.set_fingerprints(nodes, "200/20", "fixed", "whitespace", "1")
+
+
+# --- long lists --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT c_nationkey AS corpus_id, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer)
+    SELECT corpus_id, place // 7 AS segment, CAST(count(*) AS INT) AS n, CAST(min(c_custkey) AS BIGINT) AS first, CAST(max(c_custkey) AS BIGINT) AS last,
+    '[' || string_agg('{"uploaded_at":' || c_custkey || ',"id":' || c_custkey || ',"original_filename":"' || c_name || '"' || CASE WHEN c_custkey % 3 = 0
+    THEN ',"character_count":' || length(c_name) ELSE '' END || '}', ',' ORDER BY c_custkey) || ']' AS documents
+    FROM d GROUP BY corpus_id, place // 7""")
+def i10_document_segments(t: Tables) -> DataFrame:
+    docs = t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("corpus_id"),
+        F.col("c_name").alias("original_filename"), F.col("c_custkey").alias("uploaded_at"))
+    parses = t["customer"].where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("document_id"), F.length("c_name").alias("character_count"))
+    found = segments.document_segments(docs, parses, size=7)
+    return found.select("corpus_id", "segment", "n", F.col("first.id").cast("long").alias("first"), F.col("last.id").cast("long").alias("last"),
+        F.to_json("items").alias("documents"))
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || l_returnflag) - 1 AS place FROM lineitem)
+    SELECT l_orderkey AS evaluation_id, place // 3 AS segment, CAST(count(*) AS INT) AS n, string_agg(l_linenumber || l_returnflag, ',' ORDER BY place) AS questions
+    FROM d GROUP BY l_orderkey, place // 3""")
+def h10_evaluation_segments(t: Tables) -> DataFrame:
+    asked = t["lineitem"].select(F.col("l_orderkey").alias("evaluation_id"), F.col("l_linenumber").alias("ordinal"),
+        F.concat("l_partkey", "l_returnflag").alias("example_id"), F.col("l_returnflag").alias("evidence"))
+    found = segments.evaluation_segments(asked, size=3)
+    return found.select("evaluation_id", "segment", "n", F.array_join(F.transform("items", lambda x: F.concat(x["ordinal"].cast("string"), x["evidence"])), ",").alias("questions"))

@@ -255,3 +255,18 @@ def test_rules_of_a_parse(spark):
 def test_shared_folder(spark):
     assert storage.new_folder(spark, "x") != storage.new_folder(spark, "x")
     assert storage.materialize(spark.range(3)).count() == 3
+
+
+def test_the_audit_reads_each_table_once(spark, tmp_path):
+    """All checks of a table in one scan; a key that a third of the rows refer to, null keys, and keys that aren't there."""
+    spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), (None, "y")], "id string, storage_path string").write.parquet(f"{tmp_path}/document")
+    parses = [(str(i), "a" if i < 40 else None if i < 50 else f"z{i % 3}", " " if i % 2 else "t", i - 5) for i in range(100)]
+    spark.createDataFrame(parses, "id string, document_id string, normalized_text string, duration_ms int").write.parquet(f"{tmp_path}/document_parse")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    found = audit.audit_model({"document": read("document"), "document_parse": read("document_parse")})
+    got = {(r.table, r.rule): r.broken for r in found.collect()}
+    assert got == {("document", "unique id"): 0, ("document", "unique storage_path"): 1, ("document_parse", "normalized_text_not_blank"): 50,
+        ("document_parse", "duration_ms_from_0"): 5, ("document_parse", "unique id"): 0, ("document_parse", "unique document_id"): 4,
+        ("document_parse", "document_id in document"): 50}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
