@@ -4,13 +4,16 @@ find the pairs which a fingerprint index of small radius misses.
 Candidates come from that index, and from MinHash bands of PERMS / BANDS values: two texts of similarity 0.8 share one of 16 bands with a
 chance of 99.98%. Inside a node (the texts that share a band) three edge-disjoint maximum spanning forests of the
 estimated similarity are taken, not all pairs, so edges grow with the texts; components at any threshold are those of a
-maximum spanning forest, and the second and third ones make up for estimates in the wrong order. Every edge is then
+maximum spanning forest of the similarity itself, which the second and third one come nearer to. Every edge is then
 checked on the whole shingle sets; only edges of `least` or more count.
 
 A node with over NODE_SIZE texts is never handled in one task. Its texts are first compared with two leaders, and those
-that are similar leave it (they still are in their other nodes). If few leave, texts must share one more band each. Two
-texts that left a large node are in one group by their leader; a text that resembles only one that left, and shares no
-smaller node with it, can stay apart.
+that are similar leave it (they still are in their other nodes). If few leave, texts must share one more band each.
+
+What forests and leaders leave out is made up for once groups are known (`across`): in each node, whatever its size, the texts
+outside the node's largest group are compared, by their estimates, with all texts of the node that are of another group,
+which are read in blocks of NODE_SIZE. Every such pair that wasn't checked before and whose estimate is within SLACK is checked, the best eight
+of each text first, as these join most groups. So the groups are those of all pairs that share a band, at every size of node.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and wordless texts have the empty set and are
 copies of each other. A very long text is read whole, in memory of some 20 times its size. Rows are told apart by id and
@@ -143,6 +146,54 @@ def candidates(nodes: DataFrame, floor: float) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | None = None) -> DataFrame:
+    """Edges (a, b) between texts of different groups that share a band and have an estimate of `floor` or more; of each text
+    in each block only the `best` ones, if that is given. texts: rows (h, sig, bands, root).
+
+    Texts outside the largest group of a node are sent to all blocks of the node; a task holds a block and streams them past.
+    """
+    narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
+    sizes = narrow.groupBy("path", "key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    nodes = texts.select("h", "root", "sig", F.posexplode("bands").alias("path", "key")).join(mixed.where("groups > 1"), ["path", "key"])
+    blocks = F.ceil(F.col("n") / rows).cast("int")
+    held = nodes.select("path", "key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "h", "root", "sig")
+    sent = nodes.where("root <> main").select("path", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), "h", "root", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("path", "key", "block", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                h, root = (batch.column(c).to_numpy()[x:y] for c in ("h", "root"))
+                sig = np.frombuffer(b"".join(batch.column("sig").slice(x, y - x).to_pylist()), np.uint8).reshape(y - x, PERMS)
+                if (node := tuple(key[x, :3])) != now:
+                    now, kept = node, []
+                if not key[x, 3]:
+                    kept.append((h, root, sig))
+                    continue
+                if not kept:
+                    continue
+                kept = [tuple(np.concatenate(c) for c in zip(*kept, strict=True))]
+                (own_h, own_root, own_sig), = kept
+                for i in range(y - x):
+                    alike = (own_sig == sig[i]).sum(axis=1)
+                    at = np.flatnonzero((alike >= floor * PERMS - 1e-9) & (own_root != root[i]))
+                    if best is not None and len(at) > best:
+                        at = at[np.argsort(-alike[at], kind="stable")[:best]]
+                    found.append(np.stack([np.maximum(own_h[at], h[i]), np.minimum(own_h[at], h[i])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        give_back_memory()
+
+    both = held.union(sent).repartition("path", "key", "block").sortWithinPartitions("path", "key", "block", "kind", "h")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(edges: DataFrame, texts: DataFrame, owner: DataFrame, width: int, least: float) -> DataFrame:
     """The edges whose whole shingle sets have a similarity of `least` or more."""
 
@@ -198,7 +249,16 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
         # of the two leaders of a node, the second one may leave with the first one, but not the first with the second
         gone = gone.join(counted.select("path", "key", "l1"), ["path", "key"]).where("h <> l1").select("path", "key", "h").distinct()
         nodes = large.join(gone, ["path", "key", "h"], "left_anti")
-    return out.union(verified(small_edges.distinct(), texts, owner, width, least)).distinct()
+    tested = materialize(small_edges.distinct())
+    out = materialize(out.union(verified(tested, texts, owner, width, least)).distinct())
+    for best in (8, None):
+        roots = connected_components(out).select(F.col("node").alias("h"), "root")
+        rooted = items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        new = materialize(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            out = materialize(out.union(verified(new, texts, owner, width, least)).distinct())
+            tested = tested.union(new)
+    return out
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, node_size: int = NODE_SIZE,

@@ -72,3 +72,31 @@ def test_rows_and_edges(spark):
     got = collections.Counter(map(tuple, similar.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert got == collections.Counter([(3, a), (3, b), (None, "c d"), (None, "c e"), (7, None)])
     assert similar.drop_similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def family():
+    """A text of 200 words, 80 copies with one new word, and for each of them one with four more: the latter resemble their own copy
+    (0.81), and no other (0.77)."""
+    rng, texts = random.Random(9), []
+    base = [f"w{i}" for i in range(200)]
+    texts.append(" ".join(base))
+    for _ in range(80):
+        copy = edited(base, 1, rng)
+        texts += [" ".join(copy), " ".join(edited(copy, 4, rng))]
+    return texts
+
+
+@pytest.mark.parametrize("node_size", [64, 1024])
+def test_no_link_of_a_family_is_lost(spark, family, node_size):
+    """Neither by forests of estimates in the wrong order, nor by leaders that leave."""
+    want = set(groups(len(family), similar_pairs([shingle_set(t) for t in family])))
+    got = {r.doc_id for r in similar.drop_similar(spark.createDataFrame(list(enumerate(family)), SCHEMA), node_size=node_size).collect()}
+    assert got == want
+
+
+def test_families_through_the_stage(spark, family):
+    other = [t.replace("w", "v") for t in family]
+    docs = [*enumerate(family), *enumerate(other, 1000)]
+    want = {docs[i][0] for i in groups(len(docs), similar_pairs([shingle_set(t) for _, t in docs]))}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), "").collect()} == want
