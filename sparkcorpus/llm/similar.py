@@ -152,10 +152,11 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
 
     Texts outside the largest group of a node are sent to all blocks of the node; a task holds a block and streams them past.
     """
+    # nodes of several groups are few: they are found without the estimates, which are then read for their members
     narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
     sizes = narrow.groupBy("path", "key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    nodes = texts.select("h", "root", "sig", F.posexplode("bands").alias("path", "key")).join(mixed.where("groups > 1"), ["path", "key"])
+    nodes = materialize(narrow.join(mixed.where("groups > 1"), ["path", "key"]).join(texts.select("h", "sig"), "h"))
     blocks = F.ceil(F.col("n") / rows).cast("int")
     held = nodes.select("path", "key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "h", "root", "sig")
     sent = nodes.where("root <> main").select("path", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), "h", "root", "sig")
@@ -221,8 +222,10 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
     # equal sets are one item from here on
     out = sketch.join(names.where("n > 1"), "key").where("h > least").select(F.col("h").alias("a"), F.col("least").alias("b"))
     items = sketch.join(names.select(F.col("least").alias("h")), "h", "left_semi").where("key <> 0")
-    nodes = items.select("h", "sig", "bands", F.posexplode("bands").alias("last", "key")).select(F.col("last").cast("long").alias("path"), "key",
-        "last", "h", "sig", "bands")
+    # most bands are of one text only: they go before anything else is read for the others
+    narrow = items.select("h", F.posexplode("bands").alias("last", "key")).select(F.col("last").cast("long").alias("path"), "key", "last", "h")
+    shared = narrow.groupBy("path", "key").count().where("count > 1").drop("count")
+    nodes = materialize(narrow.join(shared, ["path", "key"])).join(items.select("h", "sig", "bands"), "h")
     left_before, small_edges = None, more(items.select("h", "fp")) if more else None
     while True:
         counted = nodes.groupBy("path", "key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("h", F.lit(1))).alias("l1"),
