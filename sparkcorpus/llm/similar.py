@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_sums, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, shingle_hashes, slices, word_codes
+from .common import (bit_sums, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, shingle_hashes, slices,
+    word_codes, written)
 
 PERMS, BANDS = 64, 16
 NODE_SIZE = 1024
 FORESTS = 3
+#: Texts of so many bytes, or twice as many, are compared in one task.
+BLOCK_BYTES = 16 << 20
 #: An estimate from 64 values is within 0.2 (four standard deviations) of the similarity.
 SLACK = 0.2
 
@@ -195,28 +198,76 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(edges: DataFrame, texts: DataFrame, owner: DataFrame, width: int, least: float) -> DataFrame:
-    """The edges whose whole shingle sets have a similarity of `least` or more."""
+def labelled(edges: DataFrame) -> DataFrame:
+    """Adds a label to the edges (a, b): the least text that is two steps from a, at most. Texts of a group share a few labels."""
+    ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("label"))
+    two = ends.join(one, "b").groupBy("a").agg(F.min("label").alias("label"))
+    return edges.join(two, "a")
+
+
+def dealt(edges: DataFrame, owner: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """Adds the task t to the edges (a, b). Edges of one label are one task; if their texts have over `most` bytes, they are
+    cut into blocks by hash, and the edges between two blocks are one task."""
+    edges = materialize(labelled(edges))
+    members = edges.select("label", F.explode(F.array("a", "b")).alias("h")).distinct().join(owner.select("h", "size"), "h")
+    blocks = members.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / most)).alias("blocks"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    return edges.join(blocks, "label").select("a", "b", F.xxhash64("label", part("a"), part("b")).alias("t"))
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two ascending sets of hashes have a Jaccard similarity of `least` or more."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if len(x) < least * len(y) - 1e-9:
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+
+
+def verified(edges: DataFrame, pool: DataFrame, owner: DataFrame, width: int, least: float, most: int = BLOCK_BYTES) -> DataFrame:
+    """The edges whose whole shingle sets have a similarity of `least` or more. pool: rows (h, text), one for each text of
+    an edge; owner: rows (h, size).
+
+    Texts that are compared meet in one task and are sent there once, whatever their edges; the sets are made there, and
+    those of one task are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for part in slices(batches, "text", 1 << 20):
+            t, edge, a, b = (part.column(c).to_numpy(zero_copy_only=False) for c in ("t", "edge", "a", "b"))
             found, ends = shingles(part.column("text"), width)
-            yield pa.record_batch({"h": part.column("h"), "s": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view(np.int64)))})
-
-    edges = materialize(edges)
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(owner, "h")
+            yes = []
+            for i in range(part.num_rows):
+                if t[i] != now:
+                    now, sets = t[i], {}
+                if not edge[i]:
+                    sets[a[i]] = found[ends[i] : ends[i + 1]].copy()
+                elif alike(sets[a[i]], sets[b[i]], least):
+                    yes.append(i)
+            yield pa.record_batch({"a": pa.array(a[yes]), "b": pa.array(b[yes])})
+
+    tasks = materialize(dealt(edges, owner, most))
+    sent = tasks.select("t", F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = pool.join(sent.hint("shuffle_hash"), "h").select("t", F.lit(0).alias("edge"), F.col("h").alias("a"), F.col("h").alias("b"), "text")
+    rows = texts.union(tasks.select("t", F.lit(1), "a", "b", F.lit(None).cast("string")))
+    return materialize(rows.repartition("t").sortWithinPartitions("t", "edge").mapInArrow(run, "a long, b long"))
+
+
+def pool_of(texts: DataFrame, wanted: DataFrame, owner: DataFrame) -> DataFrame:
+    """Rows (h, text) of the texts h in wanted, one each, written once for all comparisons."""
+    wanted = wanted.distinct().join(owner, "h")
     # by id too, so that the copies of a common text aren't dealt to one task
-    own = texts.join(wanted.hint("shuffle_hash"), (texts["h"] == wanted["h"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi")
-    sets = materialize(own.select("h", "text").mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]))
-    both = edges.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    return materialize(common.where(F.col("n") >= F.lit(least) * (F.col("total") - F.col("n")) - 1e-9).select("a", "b"))
+    own = texts.join(wanted.hint("shuffle_hash"), (texts["h"] == wanted["h"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi").select("h", "text")
+    return written(own if owner.where("n > 1").isEmpty() else own.dropDuplicates(["h"]), "near-texts")
 
 
 def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: float = 0.8, node_size: int = NODE_SIZE,
     more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) between the distinct texts of rows (id, h, text), with the groups that pairs of similarity `least` or
-    more make. owner: rows (h, id), one row to read each text from. more: further candidates (a, b) from rows (h, fp)."""
+    more make. owner: rows (h, id, n, size), one to read each text from: it's that of n rows, and has so many bytes. more:
+    further candidates (a, b) from rows (h, fp)."""
     sketch = materialize(sketches(texts, width).dropDuplicates(["h"]))
     names = materialize(sketch.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")))
     # equal sets are one item from here on
@@ -225,8 +276,11 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
     # most bands are of one text only: they go before anything else is read for the others
     narrow = items.select("h", F.posexplode("bands").alias("last", "key")).select(F.col("last").cast("long").alias("path"), "key", "last", "h")
     shared = narrow.groupBy("path", "key").count().where("count > 1").drop("count")
-    nodes = materialize(narrow.join(shared, ["path", "key"])).join(items.select("h", "sig", "bands"), "h")
-    left_before, small_edges = None, more(items.select("h", "fp")) if more else None
+    shared_texts = materialize(narrow.join(shared, ["path", "key"]))
+    nodes = shared_texts.join(items.select("h", "sig", "bands"), "h")
+    left_before, small_edges = None, materialize(more(items.select("h", "fp"))) if more else None
+    wanted = shared_texts.select("h")
+    pool = pool_of(texts, wanted.union(small_edges.select(F.explode(F.array("a", "b")))) if more else wanted, owner)
     while True:
         counted = nodes.groupBy("path", "key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("h", F.lit(1))).alias("l1"),
             F.min_by("h", F.xxhash64("h", F.lit(2))).alias("l2"))
@@ -246,20 +300,20 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
             continue
         left_before = size
         pairs = large.select("path", "key", "h", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).where("h <> l")
-        close = verified(pairs.select(F.greatest("h", "l").alias("a"), F.least("h", "l").alias("b")).distinct(), texts, owner, width, least)
+        close = verified(pairs.select(F.greatest("h", "l").alias("a"), F.least("h", "l").alias("b")).distinct(), pool, owner, width, least)
         out = out.union(close)
         gone = pairs.join(close, (F.greatest("h", "l") == close["a"]) & (F.least("h", "l") == close["b"]), "left_semi")
         # of the two leaders of a node, the second one may leave with the first one, but not the first with the second
         gone = gone.join(counted.select("path", "key", "l1"), ["path", "key"]).where("h <> l1").select("path", "key", "h").distinct()
         nodes = large.join(gone, ["path", "key", "h"], "left_anti")
     tested = materialize(small_edges.distinct())
-    out = materialize(out.union(verified(tested, texts, owner, width, least)).distinct())
+    out = materialize(out.union(verified(tested, pool, owner, width, least)).distinct())
     for best in (8, None):
         roots = connected_components(out).select(F.col("node").alias("h"), "root")
         rooted = items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
         new = materialize(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            out = materialize(out.union(verified(new, texts, owner, width, least)).distinct())
+            out = materialize(out.union(verified(new, pool, owner, width, least)).distinct())
             tested = tested.union(new)
     return out
 
@@ -272,9 +326,10 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
-    ids = materialize(rows.groupBy("id", "h").agg(F.count("*").alias("n")))
-    first = ids.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    owner = materialize(first.select("h", F.col("first.id").alias("id")))
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")
+    ids = materialize(rows.groupBy("id", "h").agg(F.count("*").alias("n"), size))
+    first = ids.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "size")).alias("first"))
+    owner = materialize(first.select("h", "first.id", "first.n", "first.size"))
     roots = connected_components(similar_links(rows, owner, width, least, node_size, more)).select(F.col("node").alias("h"), "root")
     named = first.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of, at, own = fresh(docs, "of", "at", "own")
