@@ -209,6 +209,29 @@ def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def dense(rows: DataFrame, bits: int) -> DataFrame:
+    """One row (v): the numbers `v` of rows (at, v) in the order of `at`, 2**bits of them; places without a row are 0."""
+    zeros = rows.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("at"), F.lit(0).cast(rows.schema["v"].dataType).alias("v"))
+    entries = rows.select("at", "v").union(zeros).groupBy("at").agg(F.bit_or("v").alias("v"))
+    parts = entries.groupBy(F.shiftright("at", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("own"))
+    parts = parts.select("part", F.transform("own", lambda x: x["v"]).alias("own"))
+    whole = parts.agg(F.sort_array(F.collect_list(F.struct("part", "own"))).alias("parts"))
+    return whole.select(F.flatten(F.transform("parts", lambda x: x["own"])).alias("v"))
+
+
 def bits_for(n: int, least: int, most: int) -> int:
     """Exponent of the table size for n entries, within bounds."""
     return min(most, max(least, math.ceil(math.log2(max(n, 1) * 16))))
+
+
+def perhaps(keys: DataFrame, most: int = 27) -> Column:
+    """Whether a row's columns, named as those of `keys`, may be one of the keys: a test on a table of up to 2**most bits.
+
+    No key is missed. With more than 2**(most - 4) keys more rows pass that aren't among them.
+    """
+    bits = bits_for(keys.count(), 10, most)
+    slot = F.shiftrightunsigned(F.xxhash64(*(f"`{c}`" for c in keys.columns)), 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    table = materialize(dense(keys.select(F.shiftright(slot, 6).cast("int").alias("at"), one.alias("v")), bits - 6)).scalar()
+    word = F.element_at(table, (F.shiftright(slot, 6) + 1).cast("int"))
+    return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1

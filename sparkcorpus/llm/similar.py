@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bit_sums, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, shingle_hashes, slices,
-    word_codes, written)
+from .common import (bit_sums, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, shingle_hashes,
+    slices, word_codes, written)
 
 PERMS, BANDS = 64, 16
 NODE_SIZE = 1024
@@ -257,7 +257,8 @@ def verified(edges: DataFrame, pool: DataFrame, owner: DataFrame, width: int, le
 
 def pool_of(texts: DataFrame, wanted: DataFrame, owner: DataFrame) -> DataFrame:
     """Rows (h, text) of the texts h in wanted, one each, written once for all comparisons."""
-    wanted = wanted.distinct().join(owner, "h")
+    wanted = materialize(wanted.distinct().join(owner.select("h", "id"), "h"))
+    texts = texts.where(perhaps(wanted.select("id", "h")))  # so that the others aren't shuffled
     # by id too, so that the copies of a common text aren't dealt to one task
     own = texts.join(wanted.hint("shuffle_hash"), (texts["h"] == wanted["h"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi").select("h", "text")
     return written(own if owner.where("n > 1").isEmpty() else own.dropDuplicates(["h"]), "near-texts")
@@ -334,8 +335,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = first.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of, at, own = fresh(docs, "of", "at", "own")
     stay = named.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "h")).alias("s")).select(F.col("s.id").alias(of), F.col("s.h").alias(at))
+    stay = materialize(stay)
+    gone = materialize(ids.join(stay, (F.col("h") == F.col(at)) & F.col("id").eqNullSafe(F.col(of)), "left_anti").select(F.col("id").alias(id_col), F.col("h").alias(own)))
     mine = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    kept = mine.join(materialize(stay).hint("shuffle_hash"), (F.col(own) == F.col(at)) & F.col(f"`{id_col}`").eqNullSafe(F.col(of)), "left_semi")
+    doubtful = perhaps(gone)  # only rows that may go are shuffled
+    judged = mine.where(doubtful).join(stay.hint("shuffle_hash"), (F.col(own) == F.col(at)) & F.col(f"`{id_col}`").eqNullSafe(F.col(of)), "left_semi")
+    kept = mine.where(~doubtful).union(judged)
     if not ids.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, own])
     return kept.drop(own)
