@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_sums, bits_for, fresh, hash_words, majority, materialize, mix, shingle_hashes, slices, word_codes
+from .common import bit_sums, bits_for, bounded_batches, fresh, hash_words, majority, materialize, mix, shingle_hashes, slices, word_codes
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
 GOLDEN = 0x9E3779B97F4A7C15
@@ -117,7 +117,7 @@ def windows(docs: DataFrame, table: np.ndarray, sizes: list[int], id_col: str =
                 yield int(s), size, width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             codes, words, ends = word_codes(part.column("text"))
             h = shingle_hashes(codes, hash_words(words), shingle)
             rows, seen = [], {}
@@ -163,9 +163,11 @@ def candidates(queries: DataFrame, items: DataFrame, radius: int = RADIUS, block
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, item_id, similarity, start, n_windows): the best similarity, the first word of the first window that has it, and how many windows are leaks."""
-    known = materialize(item_shingles(items, item_col, item_text_col))
+    with bounded_batches(docs.sparkSession):
+        known = materialize(item_shingles(items, item_col, item_text_col))
     sizes = [r[0] for r in known.select("size").distinct().orderBy("size").collect()]  # lengths of items in words, few
-    found = materialize(windows(docs, bit_table(known), sizes, id_col, text_col, similarity=similarity).withColumn("key", F.xxhash64("shingles", "size")))
+    with bounded_batches(docs.sparkSession):
+        found = materialize(windows(docs, bit_table(known), sizes, id_col, text_col, similarity=similarity).withColumn("key", F.xxhash64("shingles", "size")))
     distinct = found.groupBy("size", "fp", "key").agg(F.first("shingles").alias("shingles"))
     texts = known.groupBy("size", "fp", "shingles").agg(F.min("item_id").alias("item"), F.xxhash64(F.first("shingles")).alias("set")).drop("item")
     pairs = candidates(distinct, texts, radius).dropDuplicates(["size", "fp", "key", "item_set"])

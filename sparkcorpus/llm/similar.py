@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bit_sums, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, shingle_hashes,
+from .common import (bit_sums, bounded_batches, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, shingle_hashes,
     slices, word_codes, written)
 
 PERMS, BANDS = 64, 16
@@ -252,7 +252,8 @@ def verified(edges: DataFrame, pool: DataFrame, owner: DataFrame, width: int, le
     sent = tasks.select("t", F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = pool.join(sent.hint("shuffle_hash"), "h").select("t", F.lit(0).alias("edge"), F.col("h").alias("a"), F.col("h").alias("b"), "text")
     rows = texts.union(tasks.select("t", F.lit(1), "a", "b", F.lit(None).cast("string")))
-    return materialize(rows.repartition("t").sortWithinPartitions("t", "edge").mapInArrow(run, "a long, b long"))
+    with bounded_batches(rows.sparkSession):
+        return materialize(rows.repartition("t").sortWithinPartitions("t", "edge").mapInArrow(run, "a long, b long"))
 
 
 def pool_of(texts: DataFrame, wanted: DataFrame, owner: DataFrame) -> DataFrame:
@@ -269,7 +270,8 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
     """Edges (a, b) between the distinct texts of rows (id, h, text), with the groups that pairs of similarity `least` or
     more make. owner: rows (h, id, n, size), one to read each text from: it's that of n rows, and has so many bytes. more:
     further candidates (a, b) from rows (h, fp)."""
-    sketch = materialize(sketches(texts, width).dropDuplicates(["h"]))
+    with bounded_batches(texts.sparkSession):
+        sketch = materialize(sketches(texts, width).dropDuplicates(["h"]))
     names = materialize(sketch.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")))
     # equal sets are one item from here on
     out = sketch.join(names.where("n > 1"), "key").where("h > least").select(F.col("h").alias("a"), F.col("least").alias("b"))

@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_folder, slices, word_codes
+from .common import bounded_batches, materialize, shared_folder, slices, word_codes
 
 MAGIC = b"IDX1"
 NO_ID = -(1 << 63)
@@ -179,21 +179,21 @@ def encoder_of(path: str) -> WordEncoder | TextEncoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids): the token ids of each text and the end id, packed."""
+def encoded(docs: DataFrame, path: str, end_id: int, width: int, bounds: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (part, id, ids): the token ids of each text and the end id, packed, and the part that `bounds` give an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = encoder_of(path), np.dtype(f"<u{width}")
-        for part in slices(batches, "text"):
-            ids, ends = encode(part.column("text"))
-            n = len(ends) - 1
+        for rows in slices(batches, "text", 1 << 20):
+            ids, ends = encode(rows.column("text"))
+            n, part = len(ends) - 1, np.searchsorted(np.array(bounds, np.int64), rows.column("id").to_numpy(), side="right")
             packed = np.insert(ids, ends[1:], end_id).astype(kind)
             cut = (ends + np.arange(n + 1)) * width
-            yield pa.record_batch({"id": part.column("id"), "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None,
+            yield pa.record_batch({"part": pa.array(part.astype(np.int32)), "id": rows.column("id"), "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None,
                 pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())})
 
     narrow = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, "id long, ids binary")
+    return narrow.mapInArrow(run, "part int, id long, ids binary")
 
 
 def part_bounds(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> list[int]:
@@ -218,11 +218,6 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
     width = 2 if tokenizer_of(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     bounds = part_bounds(docs, id_col, text_col, part_bytes)
 
-    def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = np.searchsorted(np.array(bounds, np.int64), b.column("id").to_numpy(), side="right")
-            yield pa.record_batch({"part": pa.array(part.astype(np.int32)), "id": b.column("id"), "ids": b.column("ids")})
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root)
@@ -257,12 +252,13 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
         if held:
             yield close()
 
-    rows = encoded(docs, path, end_id, width, id_col, text_col).mapInArrow(part_of, "part int, id long, ids binary")
+    rows = encoded(docs, path, end_id, width, bounds, id_col, text_col)
     # one part is one task
     totals = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "ids").mapInArrow(write,
         "part int, n_docs long, n_ids long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    return materialize(totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
+    with bounded_batches(docs.sparkSession):
+        return materialize(totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
 
 
 def read_part(store: pyarrow.fs.FileSystem, root: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
