@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bit_sums, bounded_batches, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, shingle_hashes,
-    slices, word_codes, written)
+from .common import (bit_sums, both_ways, bounded_batches, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, settled,
+    shingle_hashes, slices, word_codes, written)
 
 PERMS, BANDS = 64, 16
 NODE_SIZE = 1024
@@ -200,7 +200,7 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
 
 def labelled(edges: DataFrame) -> DataFrame:
     """Adds a label to the edges (a, b): the least text that is two steps from a, at most. Texts of a group share a few labels."""
-    ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = both_ways(edges)
     one = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("label"))
     two = ends.join(one, "b").groupBy("a").agg(F.min("label").alias("label"))
     return edges.join(two, "a")
@@ -209,7 +209,7 @@ def labelled(edges: DataFrame) -> DataFrame:
 def dealt(edges: DataFrame, owner: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """Adds the task t to the edges (a, b). Edges of one label are one task; if their texts have over `most` bytes, they are
     cut into blocks by hash, and the edges between two blocks are one task."""
-    edges = materialize(labelled(edges))
+    edges = settled(labelled(edges))
     members = edges.select("label", F.explode(F.array("a", "b")).alias("h")).distinct().join(owner.select("h", "size"), "h")
     blocks = members.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / most)).alias("blocks"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
@@ -248,17 +248,17 @@ def verified(edges: DataFrame, pool: DataFrame, owner: DataFrame, width: int, le
                     yes.append(i)
             yield pa.record_batch({"a": pa.array(a[yes]), "b": pa.array(b[yes])})
 
-    tasks = materialize(dealt(edges, owner, most))
+    tasks = settled(dealt(edges, owner, most))
     sent = tasks.select("t", F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = pool.join(sent.hint("shuffle_hash"), "h").select("t", F.lit(0).alias("edge"), F.col("h").alias("a"), F.col("h").alias("b"), "text")
     rows = texts.union(tasks.select("t", F.lit(1), "a", "b", F.lit(None).cast("string")))
     with bounded_batches(rows.sparkSession):
-        return materialize(rows.repartition("t").sortWithinPartitions("t", "edge").mapInArrow(run, "a long, b long"))
+        return settled(rows.repartition("t").sortWithinPartitions("t", "edge").mapInArrow(run, "a long, b long"))
 
 
 def pool_of(texts: DataFrame, wanted: DataFrame, owner: DataFrame) -> DataFrame:
     """Rows (h, text) of the texts h in wanted, one each, written once for all comparisons."""
-    wanted = materialize(wanted.distinct().join(owner.select("h", "id"), "h"))
+    wanted = settled(wanted.distinct().join(owner.select("h", "id"), "h"))
     texts = texts.where(perhaps(wanted.select("id", "h")))  # so that the others aren't shuffled
     # by id too, so that the copies of a common text aren't dealt to one task
     own = texts.join(wanted.hint("shuffle_hash"), (texts["h"] == wanted["h"]) & texts["id"].eqNullSafe(wanted["id"]), "left_semi").select("h", "text")
@@ -281,7 +281,7 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
     shared = narrow.groupBy("path", "key").count().where("count > 1").drop("count")
     shared_texts = materialize(narrow.join(shared, ["path", "key"]))
     nodes = shared_texts.join(items.select("h", "sig", "bands"), "h")
-    left_before, small_edges = None, materialize(more(items.select("h", "fp"))) if more else None
+    left_before, small_edges = None, settled(more(items.select("h", "fp"))) if more else None
     wanted = shared_texts.select("h")
     pool = pool_of(texts, wanted.union(small_edges.select(F.explode(F.array("a", "b")))) if more else wanted, owner)
     while True:
@@ -309,14 +309,14 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
         # of the two leaders of a node, the second one may leave with the first one, but not the first with the second
         gone = gone.join(counted.select("path", "key", "l1"), ["path", "key"]).where("h <> l1").select("path", "key", "h").distinct()
         nodes = large.join(gone, ["path", "key", "h"], "left_anti")
-    tested = materialize(small_edges.distinct())
-    out = materialize(out.union(verified(tested, pool, owner, width, least)).distinct())
+    tested = settled(small_edges.distinct())
+    out = settled(out.union(verified(tested, pool, owner, width, least)).distinct())
     for best in (8, None):
         roots = connected_components(out).select(F.col("node").alias("h"), "root")
         rooted = items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        new = materialize(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
+        new = settled(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            out = materialize(out.union(verified(new, pool, owner, width, least)).distinct())
+            out = settled(out.union(verified(new, pool, owner, width, least)).distinct())
             tested = tested.union(new)
     return out
 
@@ -330,15 +330,15 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"))
     size = F.max(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")
-    ids = materialize(rows.groupBy("id", "h").agg(F.count("*").alias("n"), size))
+    ids = settled(rows.groupBy("id", "h").agg(F.count("*").alias("n"), size))
     first = ids.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "size")).alias("first"))
-    owner = materialize(first.select("h", "first.id", "first.n", "first.size"))
+    owner = settled(first.select("h", "first.id", "first.n", "first.size"))
     roots = connected_components(similar_links(rows, owner, width, least, node_size, more)).select(F.col("node").alias("h"), "root")
     named = first.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of, at, own = fresh(docs, "of", "at", "own")
     stay = named.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "h")).alias("s")).select(F.col("s.id").alias(of), F.col("s.h").alias(at))
-    stay = materialize(stay)
-    gone = materialize(ids.join(stay, (F.col("h") == F.col(at)) & F.col("id").eqNullSafe(F.col(of)), "left_anti").select(F.col("id").alias(id_col), F.col("h").alias(own)))
+    stay = settled(stay)
+    gone = settled(ids.join(stay, (F.col("h") == F.col(at)) & F.col("id").eqNullSafe(F.col(of)), "left_anti").select(F.col("id").alias(id_col), F.col("h").alias(own)))
     mine = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     doubtful = perhaps(gone)  # only rows that may go are shuffled
     judged = mine.where(doubtful).join(stay.hint("shuffle_hash"), (F.col(own) == F.col(at)) & F.col(f"`{id_col}`").eqNullSafe(F.col(of)), "left_semi")
