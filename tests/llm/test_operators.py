@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -341,6 +342,25 @@ def test_word_encoder():
         assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in ODD * 2]
 
 
+def test_word_encoder_encodes_parts_once():
+    class Counting:
+        taken, tokenizer = 0, Tokenizer.from_file(TOKENIZER)
+
+        def encode_batch_fast(self, texts, **options):
+            self.taken += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encode, counting = token_files.WordEncoder(TOKENIZER), Counting()
+    encode.tokenizer = counting
+    words = ["".join(c) + end for c in itertools.product("hH", "eE", "lL", "oO") for end in ("", ",", ".", "'s")]
+    odd, letters = random.Random(3), [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180), 0x130, 0x178, 0x212A, 0x212B, 0x301)]
+    some = ["".join(odd.choices(letters, k=odd.randint(1, 6))) for _ in range(5000)]
+    same = lambda text: [encode(pa.array([text]))[0].tolist(), Counting.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert len({str(x) for x in same(" ".join(words))}) == 1 and counting.taken < 20
+    assert len({str(x) for x in same(" ".join(some))}) == 1
+    assert all(len({str(x) for x in same(x)}) == 1 for x in some[:500])
+
+
 @pytest.mark.parametrize("part_bytes", [100, 1 << 20])
 def test_token_files(spark, tmp_path, part_bytes):
     tokenizer = Tokenizer.from_file(TOKENIZER)
