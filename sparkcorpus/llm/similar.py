@@ -13,7 +13,8 @@ that are similar leave it (they still are in their other nodes). If few leave, t
 What forests and leaders leave out is made up for once groups are known (`across`): in each node, whatever its size, the texts
 outside the node's largest group are compared, by their estimates, with all texts of the node that are of another group,
 which are read in blocks of NODE_SIZE. Every such pair that wasn't checked before and whose estimate is within SLACK is checked, the best eight
-of each text first, as these join most groups. So the groups are those of all pairs that share a band, at every size of node.
+of each text first, as these join most groups; if no text had more than eight, these were all. So the groups are those of all pairs that share a
+band, at every size of node.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and wordless texts have the empty set and are
 copies of each other. A very long text is read whole, in memory of some 20 times its size. Rows are told apart by id and
@@ -151,7 +152,7 @@ def candidates(nodes: DataFrame, floor: float) -> DataFrame:
 
 def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | None = None) -> DataFrame:
     """Edges (a, b) between texts of different groups that share a band and have an estimate of `floor` or more; of each text
-    in each block only the `best` ones, if that is given. texts: rows (h, sig, bands, root).
+    in each block only the `best` ones, if that is given; if that left out any, there is one row of nulls. texts: rows (h, sig, bands, root).
 
     Texts outside the largest group of a node are sent to all blocks of the node; a task holds a block and streams them past.
     """
@@ -165,7 +166,7 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
     sent = nodes.where("root <> main").select("path", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), "h", "root", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []
+        now, kept, cut = None, [], 0
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("path", "key", "block", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
@@ -188,10 +189,12 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
                     alike = (own_sig == sig[i]).sum(axis=1)
                     at = np.flatnonzero((alike >= floor * PERMS - 1e-9) & (own_root != root[i]))
                     if best is not None and len(at) > best:
-                        at = at[np.argsort(-alike[at], kind="stable")[:best]]
+                        at, cut = at[np.argsort(-alike[at], kind="stable")[:best]], 1
                     found.append(np.stack([np.maximum(own_h[at], h[i]), np.minimum(own_h[at], h[i])], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        if cut:
+            yield pa.record_batch({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
         give_back_memory()
 
     both = held.union(sent).repartition("path", "key", "block").sortWithinPartitions("path", "key", "block", "kind", "h")
@@ -265,11 +268,19 @@ def pool_of(texts: DataFrame, wanted: DataFrame, owner: DataFrame) -> DataFrame:
     return written(own if owner.where("n > 1").isEmpty() else own.dropDuplicates(["h"]), "near-texts")
 
 
-def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: float = 0.8, node_size: int = NODE_SIZE,
+def rooted_by(edges: DataFrame) -> DataFrame:
+    """Rows (h, root) of the texts of the edges (a, b): root is the smallest text that is reachable."""
+    return settled(connected_components(edges).select(F.col("node").alias("h"), "root"))
+
+
+def similar_groups(texts: DataFrame, owner: DataFrame, width: int = 5, least: float = 0.8, node_size: int = NODE_SIZE,
     more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Edges (a, b) between the distinct texts of rows (id, h, text), with the groups that pairs of similarity `least` or
-    more make. owner: rows (h, id, n, size), one to read each text from: it's that of n rows, and has so many bytes. more:
-    further candidates (a, b) from rows (h, fp)."""
+    """Rows (h, root) of the distinct texts of rows (id, h, text) that are in one of the groups that pairs of similarity `least`
+    or more make. owner: rows (h, id, n, size), one to read each text from: it's that of n rows, and has so many bytes. more:
+    further candidates (a, b) from rows (h, fp).
+
+    Groups are found again only after new links, and from what is known of them: each such step is some ten queries.
+    """
     with bounded_batches(texts.sparkSession):
         sketch = materialize(sketches(texts, width).dropDuplicates(["h"]))
     names = materialize(sketch.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")))
@@ -310,15 +321,19 @@ def similar_links(texts: DataFrame, owner: DataFrame, width: int = 5, least: flo
         gone = gone.join(counted.select("path", "key", "l1"), ["path", "key"]).where("h <> l1").select("path", "key", "h").distinct()
         nodes = large.join(gone, ["path", "key", "h"], "left_anti")
     tested = settled(small_edges.distinct())
-    out = settled(out.union(verified(tested, pool, owner, width, least)).distinct())
+    roots = rooted_by(out.union(verified(tested, pool, owner, width, least)))
     for best in (8, None):
-        roots = connected_components(out).select(F.col("node").alias("h"), "root")
         rooted = items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        new = settled(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
+        found = settled(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
+        new = found.where("a is not null")
         if not new.isEmpty():
-            out = settled(out.union(verified(new, pool, owner, width, least)).distinct())
+            close = verified(new, pool, owner, width, least)
+            if not close.isEmpty():
+                roots = rooted_by(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(close))
             tested = tested.union(new)
-    return out
+        if found.where("a is null").isEmpty():  # of fewer groups there are no other pairs
+            break
+    return roots
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, node_size: int = NODE_SIZE,
@@ -333,7 +348,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = settled(rows.groupBy("id", "h").agg(F.count("*").alias("n"), size))
     first = ids.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "size")).alias("first"))
     owner = settled(first.select("h", "first.id", "first.n", "first.size"))
-    roots = connected_components(similar_links(rows, owner, width, least, node_size, more)).select(F.col("node").alias("h"), "root")
+    roots = similar_groups(rows, owner, width, least, node_size, more)
     named = first.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     of, at, own = fresh(docs, "of", "at", "own")
     stay = named.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "h")).alias("s")).select(F.col("s.id").alias(of), F.col("s.h").alias(at))

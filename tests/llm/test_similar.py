@@ -100,3 +100,30 @@ def test_families_through_the_stage(spark, family):
     docs = [*enumerate(family), *enumerate(other, 1000)]
     want = {docs[i][0] for i in groups(len(docs), similar_pairs([shingle_set(t) for _, t in docs]))}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), "").collect()} == want
+
+
+@pytest.fixture
+def calls(monkeypatch):
+    """How often groups were found, and texts compared across groups."""
+    counts = collections.Counter()
+    for name in ("connected_components", "across"):
+        def counted(*args, f=getattr(similar, name), name=name):
+            counts[name] += 1
+            return f(*args)
+
+        monkeypatch.setattr(similar, name, counted)
+    return counts
+
+
+def test_groups_are_found_again_only_after_new_links(spark, copies, calls):
+    """Each time is some ten queries, whose plans and threads the driver holds."""
+    assert similar.drop_similar(spark.createDataFrame(list(enumerate(copies[:24])), SCHEMA)).count()
+    assert calls == {"connected_components": 1, "across": 1}
+
+
+def test_pairs_beyond_the_best_of_a_text_are_told(spark):
+    """Three texts of one node, no two of one group, with equal estimates."""
+    texts = spark.createDataFrame([(i, bytes(similar.PERMS), [7], i) for i in range(3)], "h long, sig binary, bands array<long>, root long")
+    found = {best: [tuple(r) for r in similar.across(texts, 0.6, best=best).collect()] for best in (1, 2, None)}
+    assert (None, None) in found[1]
+    assert sorted(found[2]) == sorted(found[None]) == [(1, 0), (2, 0), (2, 1)]
