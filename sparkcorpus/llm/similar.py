@@ -13,8 +13,8 @@ that are similar leave it (they still are in their other nodes). If few leave, t
 What forests and leaders leave out is made up for once groups are known (`across`): in each node, whatever its size, the texts
 outside the node's largest group are compared, by their estimates, with all texts of the node that are of another group,
 which are read in blocks of NODE_SIZE. Every such pair that wasn't checked before and whose estimate is within SLACK is checked, the best eight
-of each text first, as these join most groups; if no text had more than eight, these were all. So the groups are those of all pairs that share a
-band, at every size of node.
+of each text first, as these join most groups. Nodes where a text had more than eight are few, but their pairs are as many as the square of their
+texts: they aren't listed, but checked where the texts meet (`beyond`). So the groups are those of all pairs that share a band, at every size of node.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and wordless texts have the empty set and are
 copies of each other. A very long text is read whole, in memory of some 20 times its size. Rows are told apart by id and
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (bit_sums, both_ways, bounded_batches, connected_components, fresh, give_back_memory, hash_words, majority, materialize, mix, perhaps, settled,
@@ -150,33 +150,44 @@ def candidates(nodes: DataFrame, floor: float) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | None = None) -> DataFrame:
+def mixed_nodes(texts: DataFrame) -> DataFrame:
+    """Rows (path, key, h, root, n, main): the texts of nodes of several groups, from rows (h, bands, root). main is the node's largest group."""
+    narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
+    sizes = narrow.groupBy("path", "key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    return narrow.join(mixed.where("groups > 1").drop("groups"), ["path", "key"])
+
+
+def in_blocks(nodes: DataFrame, blocks: Column, *columns: str) -> DataFrame:
+    """Rows (path, key, block, kind, h, root, columns) by (path, key, block) in order of kind: a node's texts are held (kind 0) in one
+    of its blocks each, and those outside its largest group are sent to all of them (kind 1)."""
+    named = lambda block, kind: ("path", "key", block.alias("block"), F.lit(kind).alias("kind"), "h", "root", *columns)
+    held = nodes.select(*named(F.pmod(F.xxhash64("h"), blocks).cast("int"), 0))
+    sent = nodes.where("root <> main").select(*named(F.explode(F.sequence(F.lit(0), blocks - 1)), 1))
+    return held.union(sent).repartition("path", "key", "block").sortWithinPartitions("path", "key", "block", "kind", "h")
+
+
+def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int = 8) -> DataFrame:
     """Edges (a, b) between texts of different groups that share a band and have an estimate of `floor` or more; of each text
-    in each block only the `best` ones, if that is given; if that left out any, there is one row of nulls. texts: rows (h, sig, bands, root).
+    in each block only the `best` ones. Nodes where that left out any are rows of (path, key). texts: rows (h, sig, bands, root).
 
     Texts outside the largest group of a node are sent to all blocks of the node; a task holds a block and streams them past.
     """
     # nodes of several groups are few: they are found without the estimates, which are then read for their members
-    narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
-    sizes = narrow.groupBy("path", "key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    nodes = materialize(narrow.join(mixed.where("groups > 1"), ["path", "key"]).join(texts.select("h", "sig"), "h"))
-    blocks = F.ceil(F.col("n") / rows).cast("int")
-    held = nodes.select("path", "key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "h", "root", "sig")
-    sent = nodes.where("root <> main").select("path", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), "h", "root", "sig")
+    nodes = materialize(mixed_nodes(texts).join(texts.select("h", "sig"), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept, cut = None, [], 0
+        now, kept = None, []
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("path", "key", "block", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            found, cut = [np.zeros((0, 2), np.int64)], set()
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
                 h, root = (batch.column(c).to_numpy()[x:y] for c in ("h", "root"))
                 sig = np.frombuffer(b"".join(batch.column("sig").slice(x, y - x).to_pylist()), np.uint8).reshape(y - x, PERMS)
-                if (node := tuple(key[x, :3])) != now:
+                if (node := tuple(key[x, :3].tolist())) != now:
                     now, kept = node, []
                 if not key[x, 3]:
                     kept.append((h, root, sig))
@@ -186,19 +197,63 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int | No
                 kept = [tuple(np.concatenate(c) for c in zip(*kept, strict=True))]
                 (own_h, own_root, own_sig), = kept
                 for i in range(y - x):
-                    alike = (own_sig == sig[i]).sum(axis=1)
-                    at = np.flatnonzero((alike >= floor * PERMS - 1e-9) & (own_root != root[i]))
-                    if best is not None and len(at) > best:
-                        at, cut = at[np.argsort(-alike[at], kind="stable")[:best]], 1
+                    same = (own_sig == sig[i]).sum(axis=1)
+                    at = np.flatnonzero((same >= floor * PERMS - 1e-9) & (own_root != root[i]))
+                    if len(at) > best:
+                        at = at[np.argsort(-same[at], kind="stable")[:best]]
+                        cut.add(node[:2])
                     found.append(np.stack([np.maximum(own_h[at], h[i]), np.minimum(own_h[at], h[i])], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-        if cut:
-            yield pa.record_batch({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+            pairs, nodes = np.unique(np.concatenate(found), axis=0), np.array(sorted(cut), np.int64).reshape(-1, 2)
+            for x, y in ((pairs, None), (None, nodes)):
+                n = len(pairs) if y is None else len(nodes)
+                yield pa.record_batch([pa.nulls(n, pa.int64()) if z is None else pa.array(z[:, j]) for z in (x, y) for j in (0, 1)], ["a", "b", "path", "key"])
         give_back_memory()
 
-    both = held.union(sent).repartition("path", "key", "block").sortWithinPartitions("path", "key", "block", "kind", "h")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return in_blocks(nodes, F.ceil(F.col("n") / rows).cast("int"), "sig").mapInArrow(run, "a long, b long, path long, key long").distinct()
+
+
+def beyond(texts: DataFrame, cut: DataFrame, pool: DataFrame, owner: DataFrame, floor: float, width: int, least: float, rows: int = NODE_SIZE, most: int = BLOCK_BYTES) -> DataFrame:
+    """Edges (a, b) between texts of different groups, checked on the whole shingle sets: those in the nodes (path, key) of `cut` with
+    an estimate of `floor` or more. A text has one edge to a group in each block. texts: rows (h, sig, bands, root).
+
+    A pair that shares several bands is compared in the node of the first one: if that isn't of `cut`, it has been checked before.
+    """
+    nodes = mixed_nodes(texts).join(cut, ["path", "key"], "left_semi").join(owner.select("h", "size"), "h")
+    bytes_ = nodes.groupBy("path", "key").agg(F.sum("size").alias("bytes"))
+    nodes = materialize(nodes.drop("size").join(bytes_, ["path", "key"]))
+    wanted = nodes.select("h").distinct()
+    whole = texts.select("h", "sig", "bands").join(wanted, "h", "left_semi").join(pool, "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+        for part in slices(batches, "text", 1 << 20):
+            key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("path", "key", "block")], axis=1)
+            kind, h, root = (part.column(c).to_numpy() for c in ("kind", "h", "root"))
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, PERMS)
+            bands = np.array(part.column("bands").flatten()).reshape(-1, BANDS)
+            found, ends = shingles(part.column("text"), width)
+            close = []
+            for i in range(part.num_rows):
+                if (node := tuple(key[i].tolist())) != now:
+                    now, kept, own = node, [], None
+                if not kind[i]:
+                    kept.append((h[i], root[i], sig[i].copy(), bands[i].copy(), found[ends[i] : ends[i + 1]].copy()))
+                    continue
+                if own is None:
+                    own = [np.array(c) for c in list(zip(*kept, strict=True))[:4]] or [np.zeros(0, np.int64)] * 2 + [np.zeros((0, PERMS), np.uint8), np.zeros((0, BANDS), np.int64)]
+                own_h, own_root, own_sig, own_bands = own
+                may = ((own_sig == sig[i]).sum(axis=1) >= floor * PERMS - 1e-9) & (own_root != root[i])
+                at, joined = np.flatnonzero(may), set()
+                for j in at[(own_bands[at] == bands[i]).argmax(axis=1) == node[0]]:
+                    if own_root[j] not in joined and alike(found[ends[i] : ends[i + 1]], kept[j][4], least):
+                        joined.add(own_root[j])
+                        close.append((max(h[i], own_h[j]), min(h[i], own_h[j])))
+            pairs = np.array(close, np.int64).reshape(-1, 2)
+            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("bytes") / most)).cast("int")
+    with bounded_batches(texts.sparkSession):
+        return settled(in_blocks(nodes.join(whole, "h"), blocks, "sig", "bands", "text").mapInArrow(run, "a long, b long").distinct())
 
 
 def labelled(edges: DataFrame) -> DataFrame:
@@ -322,17 +377,16 @@ def similar_groups(texts: DataFrame, owner: DataFrame, width: int = 5, least: fl
         nodes = large.join(gone, ["path", "key", "h"], "left_anti")
     tested = settled(small_edges.distinct())
     roots = rooted_by(out.union(verified(tested, pool, owner, width, least)))
-    for best in (8, None):
-        rooted = items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        found = settled(across(rooted, least - SLACK, node_size, best).join(tested, ["a", "b"], "left_anti"))
-        new = found.where("a is not null")
-        if not new.isEmpty():
-            close = verified(new, pool, owner, width, least)
-            if not close.isEmpty():
-                roots = rooted_by(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(close))
-            tested = tested.union(new)
-        if found.where("a is null").isEmpty():  # of fewer groups there are no other pairs
-            break
+    joined = lambda roots, close: rooted_by(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(close))
+    rooted = lambda roots: items.select("h", "sig", "bands").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    found = settled(across(rooted(roots), least - SLACK, node_size).join(tested, ["a", "b"], "left_anti"))
+    new, cut = found.where("a is not null").select("a", "b"), found.where("a is null").select("path", "key")
+    if not new.isEmpty():
+        close = verified(new, pool, owner, width, least)
+        roots = roots if close.isEmpty() else joined(roots, close)
+    if not cut.isEmpty():
+        close = beyond(rooted(roots), cut, pool, owner, least - SLACK, width, least, node_size)
+        roots = roots if close.isEmpty() else joined(roots, close)
     return roots
 
 
