@@ -150,9 +150,8 @@ def candidates(nodes: DataFrame, floor: float) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def mixed_nodes(texts: DataFrame) -> DataFrame:
-    """Rows (path, key, h, root, n, main): the texts of nodes of several groups, from rows (h, bands, root). main is the node's largest group."""
-    narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
+def mixed_nodes(narrow: DataFrame) -> DataFrame:
+    """Those of the rows (path, key, h, root) whose node has several groups, with its n texts and its largest group, main."""
     sizes = narrow.groupBy("path", "key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main"))
     return narrow.join(mixed.where("groups > 1").drop("groups"), ["path", "key"])
@@ -174,7 +173,8 @@ def across(texts: DataFrame, floor: float, rows: int = NODE_SIZE, best: int = 8)
     Texts outside the largest group of a node are sent to all blocks of the node; a task holds a block and streams them past.
     """
     # nodes of several groups are few: they are found without the estimates, which are then read for their members
-    nodes = materialize(mixed_nodes(texts).join(texts.select("h", "sig"), "h"))
+    narrow = texts.select("h", "root", F.posexplode("bands").alias("path", "key"))
+    nodes = materialize(mixed_nodes(narrow).join(texts.select("h", "sig"), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, []
@@ -218,11 +218,11 @@ def beyond(texts: DataFrame, cut: DataFrame, pool: DataFrame, owner: DataFrame,
 
     A pair that shares several bands is compared in the node of the first one: if that isn't of `cut`, it has been checked before.
     """
-    nodes = mixed_nodes(texts).join(cut, ["path", "key"], "left_semi").join(owner.select("h", "size"), "h")
-    bytes_ = nodes.groupBy("path", "key").agg(F.sum("size").alias("bytes"))
-    nodes = materialize(nodes.drop("size").join(bytes_, ["path", "key"]))
-    wanted = nodes.select("h").distinct()
-    whole = texts.select("h", "sig", "bands").join(wanted, "h", "left_semi").join(pool, "h")
+    # in small queries, each of which the driver holds the plan and the threads of
+    every = texts.select("h", "root", "sig", "bands", F.posexplode("bands").alias("p", "key")).withColumn("path", F.col("p").cast("long")).drop("p")
+    own = materialize(every.where(perhaps(cut)).join(cut, ["path", "key"], "left_semi").join(owner.select("h", "size"), "h"))
+    bytes_ = own.groupBy("path", "key").agg(F.sum("size").alias("bytes"))
+    nodes = written(mixed_nodes(own).join(bytes_, ["path", "key"]).join(pool, "h"), "large-nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, []
@@ -253,7 +253,7 @@ def beyond(texts: DataFrame, cut: DataFrame, pool: DataFrame, owner: DataFrame,
 
     blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("bytes") / most)).cast("int")
     with bounded_batches(texts.sparkSession):
-        return settled(in_blocks(nodes.join(whole, "h"), blocks, "sig", "bands", "text").mapInArrow(run, "a long, b long").distinct())
+        return settled(in_blocks(nodes, blocks, "sig", "bands", "text").mapInArrow(run, "a long, b long").distinct())
 
 
 def labelled(edges: DataFrame) -> DataFrame:
