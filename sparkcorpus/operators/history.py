@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import matched
 from .questions import latest
 
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
@@ -12,10 +13,10 @@ USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 def compatible_inputs(indexes: DataFrame, datasets: DataFrame) -> DataFrame:
     """Rows (index_id, dataset_id, launchable, reason) for the pairs of one corpus."""
-    pairs = indexes.select(F.col("id").alias("index_id"), "corpus_id", "status",
-        "vector_index_id").join(datasets.select(F.col("id").alias("dataset_id"), "corpus_id"), "corpus_id")
     reason = F.when(F.col("status") != "ready", "index_not_ready").when(F.col("vector_index_id").isNull(), "no_vector_index")
-    return pairs.select("index_id", "dataset_id", reason.isNull().alias("launchable"), reason.alias("reason"))
+    own = indexes.select(F.col("id").alias("index_id"), "corpus_id", reason.isNull().alias("launchable"), reason.alias("reason"))
+    pairs = matched(own, datasets.select(F.col("id").alias("dataset_id"), "corpus_id"), "corpus_id")
+    return pairs.select("index_id", "dataset_id", "launchable", "reason")
 
 
 def launch_checks(requests: DataFrame, indexes: DataFrame, datasets: DataFrame) -> DataFrame:
