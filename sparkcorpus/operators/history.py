@@ -34,10 +34,9 @@ def launch_checks(requests: DataFrame, indexes: DataFrame, datasets: DataFrame)
 
 def expand_runs(runs: DataFrame, examples: DataFrame) -> DataFrame:
     """Rows (run_id, example_id, ordinal, status, total_examples): one pending row for each question of a run's dataset."""
-    total = examples.groupBy("dataset_id").agg(F.count("*").alias("total_examples"))
-    return runs.select(F.col("id").alias("run_id"), "dataset_id").join(total,
-        "dataset_id").join(examples.select("dataset_id", "example_id", "ordinal"), "dataset_id").select("run_id", "example_id", "ordinal",
-        F.lit("pending").alias("status"), "total_examples")
+    own = runs.select(F.col("id").alias("run_id"), "dataset_id")
+    pairs = matched(own, examples.select("dataset_id", "example_id", "ordinal"), "dataset_id", n_right="total_examples")
+    return pairs.select("run_id", "example_id", "ordinal", F.lit("pending").alias("status"), "total_examples")
 
 
 def runs_without_examples(runs: DataFrame, examples: DataFrame) -> DataFrame:

@@ -17,6 +17,14 @@ def test_launchable_pairs_of_one_corpus(spark, monkeypatch):
     assert tasks(got) > 8
 
 
+def test_runs_of_one_dataset(spark, monkeypatch):
+    monkeypatch.setattr(pairs.matched, "__defaults__", (None, 16))
+    examples = spark.range(90).select(F.lit("d").alias("dataset_id"), F.col("id").alias("example_id"), F.col("id").alias("ordinal"))
+    got = history.expand_runs(spark.range(100).select("id", F.lit("d").alias("dataset_id")), examples)
+    assert sorted(map(tuple, got.collect())) == [(r, e, e, "pending", 90) for r in range(100) for e in range(90)]
+    assert tasks(got) > 8
+
+
 def test_odd_keys(spark):
     """Null keys, keys of one side, equal rows, null values, and names that the join could take for its own."""
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (None, "c")], "k int, n string")
