@@ -15,6 +15,8 @@ link is a pair of tokens, one of A and one of B, whose bytes overlap.
    about BLOCK_BYTES of text: a block lists its distinct id pairs once, with their number, and its documents refer to them. Pairs
    are summed over blocks, and the sums go back to each block, so that what is shuffled is a row for each pair of a block and
    not for each link. The blocks are written once; texts are read and encoded once.
+4. A block is one row of packed bytes and a short row for each pair, and both are brought together by a sort, row by row: Spark
+   holds as many blocks at a time as one, however many a task has.
 
 Edge cases: null and empty texts, and texts whose tokens don't give back a blank and the text, have no tokens: zeros, and no
 groups. Strings of special tokens are plain text. A very long text is one block, in memory some 20 times. Rows with null or equal ids, and equal
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded_batches, slices, written
 
 #: Text of one block, about, and pieces that are encoded together.
 BLOCK_BYTES, TOGETHER = 4 << 20, 1024
@@ -243,15 +245,29 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     return narrow.mapInArrow(run, f"id {kind}, a array<int>, b array<int>, a_ends array<int>, b_ends array<int>")
 
 
+def packed(parts: dict[str, pa.Array]) -> bytes:
+    """Arrays of any lengths as bytes."""
+    row = pa.record_batch({c: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for c, x in parts.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(body: pa.Buffer) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(body, options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+    return {c: row.column(c)[0].values for c in row.schema.names}
+
+
 def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (block, docs, pieces, pairs, pair_n): documents with their sums and pieces, pieces with their links as places in
-    `pairs`, and the distinct pairs of linked ids of the block with their number."""
+    """Rows (block, body, at, pair, n). A block has one row with a body: documents with their sums and pieces, and pieces with their
+    links as places of pairs; and a row for each of its distinct pairs of linked ids, with its place and number."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = aligner_of(a_path, b_path), (TaskContext.get().partitionId() << 33) - 1
-        for part in slices(batches, "text", BLOCK_BYTES):
+        # batches are about a block; one that is a little more isn't cut
+        for part in slices(batches, "text", BLOCK_BYTES + BLOCK_BYTES // 4):
             found, of, groups = own.texts(part.column("text"))
             block += 1
             size = np.stack([np.diff(x) for x in (found.a_at, found.b_at, found.group_at, found.link_at)], axis=1)
@@ -268,18 +284,19 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
             doc = pa.StructArray.from_arrays([part.column("id"), *(pa.array([r[2 + k] for r in rows], pa.int64()) for k in range(4)),
                 pa.array([r[6] for r in rows], pa.string()), codes, pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32()))],
                 ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pieces", "times"])
-            lists = {"docs": doc, "ends": pa.array(ends), "links": pa.array(at.astype(np.int32)), "pairs": pa.array(pairs), "pair_n": pa.array(total)}
-            yield pa.record_batch({"block": pa.array([block], pa.int64()),
-                **{c: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for c, x in lists.items()}})
+            body = packed({"docs": doc, "ends": pa.array(ends), "links": pa.array(at.astype(np.int32))})
+            del found, of, groups, rows, codes, doc
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([body], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
+                pa.nulls(1, pa.int64())], ["block", "body", "at", "pair", "n"])
+            yield pa.record_batch([pa.array(np.full(len(pairs), block)), pa.nulls(len(pairs), pa.binary()), pa.array(np.arange(len(pairs), dtype=np.int32)),
+                pa.array(pairs), pa.array(total)], ["block", "body", "at", "pair", "n"])
 
-    doc = f"struct<id:{kind},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,pieces:array<int>,times:array<int>>"
-    return narrow.mapInArrow(run, f"block long, docs array<{doc}>, ends array<int>, links array<int>, pairs array<long>, pair_n array<long>")
+    return narrow.mapInArrow(run, "block long, body binary, at int, pair long, n long")
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
     """Rows (pair, n, best): how many links of the corpus hold a pair of ids, and whether no pair with its B id has more."""
-    each = made.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
-    each = written(each, "pair-counts")
+    each = written(made.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     highest = each.groupBy(b.alias("b")).agg(F.max("n").alias("most"))  # one row for each id of B
     return each.join(F.broadcast(highest), b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -287,27 +304,40 @@ def pair_counts(made: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one for each row of docs."""
-    made = written(blocks(docs, a_path, b_path, id_col, text_col), "aligned")
-    asked = made.select("block", F.posexplode("pairs").alias("at", "pair")).join(pair_counts(made), "pair")
-    scored = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("scores"))
-    scored = scored.select("block", F.col("scores.n").alias("count"), F.col("scores.best").alias("best"))
-    rows = made.select("block", "docs", "ends", "links").join(scored, "block", "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def scored(parts: dict[str, pa.Array], score: np.ndarray) -> pa.RecordBatch:
+        """Rows of a block's documents; score: of each pair, twice its count, and one more if it's a best one."""
+        doc, ends, links = parts["docs"], parts["ends"].to_numpy(), parts["links"].to_numpy()
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[ends]) for x in (score >> 1, score & 1)]
+        pieces, times = doc.field("pieces"), doc.field("times")
+        at = pieces.offsets.to_numpy()
+        codes, n = pieces.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+        total, good = (np.diff(np.concatenate([[0], np.cumsum(x[codes] * n)])[at - at[0]]) for x in sums)
+        return pa.record_batch({**{c: doc.field(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")}, "n_best": pa.array(good, pa.int64()),
+            "count_sum": pa.array(total, pa.int64()), "groups_sha256": doc.field("groups_sha256")})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, score = None, np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                values = {c: batch.column(c)[i].values for c in ("docs", "ends", "links", "count", "best")}
-                ends, links, count, best = (np.zeros(0, np.int64) if values[c] is None else values[c].to_numpy(zero_copy_only=False).astype(np.int64)
-                    for c in ("ends", "links", "count", "best"))
-                sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[ends]) for x in (count, best)]
-                doc = values["docs"]
-                pieces, times = doc.field("pieces"), doc.field("times")
-                at = pieces.offsets.to_numpy()
-                codes, n = pieces.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-                total, good = (np.diff(np.concatenate([[0], np.cumsum(x[codes] * n)])[at - at[0]]) for x in sums)
-                yield pa.record_batch({**{c: doc.field(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")}, "n_best": pa.array(good, pa.int64()),
-                    "count_sum": pa.array(total, pa.int64()), "groups_sha256": doc.field("groups_sha256")})
-
-    return rows.select("docs", "ends", "links", "count", "best").mapInArrow(run,
-        f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+            order = batch.column("order").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(order)) + 1).tolist(), len(order)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y > x and order[x] % 2:
+                    score[batch.column("at").slice(x, y - x).to_numpy()] = batch.column("score").slice(x, y - x).to_numpy()
+                elif y > x:
+                    if parts is not None:
+                        yield scored(parts, score)
+                    parts = unpacked(batch.column("body")[x].as_buffer())
+                    score = np.zeros((pc.max(parts["links"]).as_py() or 0) + 1, np.int64)
+        if parts is not None:
+            yield scored(parts, score)
+
+    with bounded_batches(docs.sparkSession, BLOCK_BYTES):
+        made = written(blocks(docs, a_path, b_path, id_col, text_col), "aligned")
+        scores = made.where("pair is not null").select("block", "at", "pair").join(pair_counts(made), "pair").select((F.col("block") * 2 + 1).alias("order"),
+            "at", (F.col("n") * 2 + F.col("best").cast("long")).alias("score"))
+        both = made.where("body is not null").select((F.col("block") * 2).alias("order"), "body").unionByName(scores, allowMissingColumns=True)
+        both = both.repartition(F.shiftright("order", 1)).sortWithinPartitions("order")  # a body, then its pairs
+        return written(both.mapInArrow(run,
+            f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"), "alignment")

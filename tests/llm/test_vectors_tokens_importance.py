@@ -160,6 +160,21 @@ def test_alignment_of_documents(spark, plain_aligned):
         assert not want or ";".join(map("|".join, zip(cut(r.a, r.a_ends), cut(r.b, r.b_ends), strict=True))) == want[2]
 
 
+def test_alignment_of_many_blocks_in_a_task(spark, plain_aligned, monkeypatch):
+    """Rows are short and batches bounded, however many blocks a task has."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").coalesce(1)
+    rows, limits = [(r.doc_id, r.text) for r in table.collect()], []
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 2000)
+    write = alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df, name: limits.append((name, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None))) or write(df, name))
+    got = alignment.statistics(table, A, B)
+    assert key(map(tuple, got.collect())) == key(plain_statistics(rows, plain_aligned))
+    assert limits == [("aligned", "2000"), ("pair-counts", "2000"), ("alignment", "2000")] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    made = alignment.blocks(table, A, B)
+    assert not any(kind.startswith("array") for _, kind in made.dtypes)
+    assert made.where("body is not null").count() > 10
+
+
 def test_alignment_of_nothing(spark):
     assert alignment.statistics(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 
