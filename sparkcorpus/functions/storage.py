@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,19 @@ def materialize(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def bounded(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Actions in here hand rows to Python in batches of about `most` bytes, one row at least, and remove their shuffle files when
+    they end. Choices of the session stay."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(most), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    wanted = {k: v for k, v in wanted.items() if spark.conf.get(k, None) in (None, "false")}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

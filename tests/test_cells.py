@@ -1,9 +1,12 @@
 """Exact search in cells against all distances."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkcorpus.functions.storage import shared_folder
 from sparkcorpus.operators import cells, search
 
 
@@ -58,3 +61,27 @@ def test_fewer_vectors_than_places(spark):
     for metric in search.METRICS:
         check(cells.top_k_in_cells(asked, cells.cells(rows, metric), 5), x, 5, metric)
     assert cells.cells(rows.limit(0)) is None
+
+
+def test_files_grow_with_the_vectors(spark):
+    """Random directions, of which nothing can be left out: questions aren't written once for each block."""
+    x = np.random.default_rng(3).normal(size=(3000, 32))
+    rows, asked = tables(spark, x)
+    rows, asked = rows.localCheckpoint(), asked.localCheckpoint()
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    before = size()
+    found = cells.top_k_in_cells(asked, cells.cells(rows, cell_rows=40, block_rows=64), 6)
+    assert 0 < size() - before < 4 * x.nbytes
+    check(found, x, 6, "cosine")
+
+
+def test_large_numbers_and_ties(spark):
+    """Inner products far from 1, whole ones that tie, and floats of 32 bits."""
+    x = np.random.default_rng(4).integers(-3, 4, (400, 6)).astype(float) * 1024
+    rows, asked = tables(spark, x)
+    for metric in search.METRICS:
+        check(cells.top_k_in_cells(asked, cells.cells(rows, metric, cell_rows=40, block_rows=64), 5), x, 5, metric)
+    single = lambda t: t.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    check(cells.top_k_in_cells(asked, cells.cells(single(rows)), 5), x, 5, "cosine")
+    check(cells.top_k_in_cells(single(asked), cells.cells(rows, "euclidean"), 5), x, 5, "euclidean")
